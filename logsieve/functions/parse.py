@@ -208,5 +208,6 @@ def parse_lines(df: DataFrame, value_col: str = "value") -> DataFrame:
         pick("status", empty),
         pick("extras", F.col("_pf.extras")),
         F.lit(0).alias("duplicate_count"),
+        F.when(js, F.lit("json")).otherwise(F.lit("plain")).alias("line_format"),
         err.alias("parse_error"),
     )

@@ -130,7 +130,11 @@ def event_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed entries from ``events`` (rejects removed)."""
-    return event_parsed(spark, sf_dir).where(F.col("parse_error").isNull()).drop("parse_error", "value")
+    return (
+        event_parsed(spark, sf_dir)
+        .where(F.col("parse_error").isNull())
+        .drop("parse_error", "value")
+    )
 
 
 def document_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
