@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import (
+    GO_NON_SPACE,
+    GO_SPACE,
     JSON_TYPED_KEYS,
     MAX_LINE_BYTES,
     REJECT_FORMAT,
@@ -50,38 +52,71 @@ def _plain(value: Column) -> dict[str, Column]:
     return {"ok": (p1 > 0) & (p2 > 0), "level": level, "raw_ts": raw_ts, "body": body}
 
 
+# A non-space run: the complement of GO_SPACE.
+_NS = GO_NON_SPACE
+# Start of a word containing '='.
+_KV_WORD = "(?<!" + _NS + ")" + _NS[:-1] + "&&[^=]]*="
+# key=value words other than caller / user_id; group 1 key, group 2 value.
+_EXTRA_KV = "(?<!" + _NS + ")(?!caller=|user_id=)(" + _NS[:-1] + "&&[^=]]*)=(" + _NS + "*)"
+
+
+def _last_value(body: Column, key: str) -> Column:
+    """Value of the last ``key=`` word in ``body`` (null when absent)."""
+    vals = F.regexp_extract_all(body, F.lit("(?<!" + _NS + ")" + key + "=(" + _NS + "*)"), 1)
+    return F.try_element_at(vals, F.lit(-1))
+
+
 def _plain_fields(body: Column) -> dict[str, Column]:
-    words = go_fields(body)
-    first_kv = F.array_position(F.transform(words, lambda w: w.contains("=")), True)
-    message = F.array_join(
-        F.when(first_kv == 0, words).otherwise(F.slice(words, F.lit(1), first_kv - 1)), " "
-    )
-    pairs = F.transform(
-        F.filter(words, lambda w: w.contains("=")),
-        lambda w: F.struct(
-            F.substring_index(w, "=", 1).alias("k"),
-            F.substring(w, F.instr(w, "=") + 1, F.lit(1 << 30)).alias("v"),
+    """P3-P4 without per-element lambdas: regex extraction and array built-ins
+    (all code-generated); only a line with a repeated key takes the slower
+    last-wins branch."""
+    kv_at = F.regexp_instr(body, F.lit(_KV_WORD))
+    head = F.when(kv_at > 0, F.substring(body, F.lit(1), kv_at - 1)).otherwise(body)
+    message = F.array_join(F.array_remove(F.split(head, f"{GO_SPACE}+"), ""), " ")
+    keys = F.regexp_extract_all(body, F.lit(_EXTRA_KV), 1)
+    values = F.regexp_extract_all(body, F.lit(_EXTRA_KV), 2)
+    last_first = F.array_distinct(F.reverse(keys))
+    deduped = F.map_from_arrays(
+        last_first,
+        F.transform(
+            last_first,
+            lambda k: F.try_element_at(F.reverse(values), F.array_position(F.reverse(keys), k).cast("int")),
         ),
     )
-    caller = F.try_element_at(F.filter(pairs, lambda p: p["k"] == "caller"), F.lit(-1))["v"]
-    user = F.try_element_at(F.filter(pairs, lambda p: p["k"] == "user_id"), F.lit(-1))["v"]
-    others = F.reverse(F.filter(pairs, lambda p: ~p["k"].isin("caller", "user_id")))
-    # last occurrence of a key wins
-    keys = F.array_distinct(F.transform(others, lambda p: p["k"]))
-    extras = F.map_from_arrays(
-        keys,
-        F.transform(keys, lambda k: F.try_element_at(F.filter(others, lambda p: p["k"] == k), F.lit(1))["v"]),
-    )
+    extras = F.when(F.size(last_first) == F.size(keys), F.map_from_arrays(keys, values)).otherwise(deduped)
+    caller = _last_value(body, "caller")
     return {
         "message": message,
         "source": F.coalesce(F.regexp_replace(caller, '^"+|"+$', ""), F.lit("")),
-        "user": F.coalesce(user, F.lit("")),
+        "user": F.coalesce(_last_value(body, "user_id"), F.lit("")),
         "extras": extras,
     }
 
 
+_TYPED_LOWER = tuple(k.lower() for k in JSON_TYPED_KEYS)
+_KEY_SEP = "\u0001"
+_TYPED_EXACT_RE = "(?:^|\\x{01})(?:" + "|".join(JSON_TYPED_KEYS) + ")(?=\\x{01}|$)"
+_TYPED_LOWER_RE = "(?:^|\\x{01})(?:" + "|".join(_TYPED_LOWER) + ")(?=\\x{01}|$)"
+
+
+def _variant_text(v: Column) -> Column:
+    """A JSON value as extras text: strings as is, numbers without a
+    trailing '.0', everything else as compact JSON (object keys sorted)."""
+    kind = F.schema_of_variant(v)
+    return (
+        F.when(kind == "STRING", v.cast("string"))
+        .when(kind.isin("DOUBLE", "FLOAT") | kind.startswith("DECIMAL"),
+              F.regexp_replace(F.to_json(v), r"\.0$", ""))
+        .otherwise(F.to_json(v))
+    )
+
+
 def _json(value: Column) -> dict[str, Column]:
-    """One JSON object per line, strict syntax, typed keys must be strings."""
+    """One JSON object per line, strict syntax, typed keys must be strings.
+
+    Fast path: typed keys appear with their exact spelling, so each is one map
+    lookup. A line with an odd-cased typed key (matched too, as in the
+    original) takes the slower per-entry branch."""
     arr = F.from_json(
         F.concat(F.lit("["), value, F.lit(',{"' + _SENTINEL_RAW + '":0}]')),
         "array<map<string,variant>>",
@@ -94,33 +129,44 @@ def _json(value: Column) -> dict[str, Column]:
         & ~value.contains(_SENTINEL_RAW)
     )
     obj = F.try_element_at(arr, F.lit(1))
+    keys = F.map_keys(obj)
+    joined = F.array_join(keys, _KEY_SEP)
+    exact = F.regexp_count(joined, F.lit(_TYPED_EXACT_RE)) == F.regexp_count(
+        F.lower(joined), F.lit(_TYPED_LOWER_RE)
+    )
     entries = F.map_entries(obj)
 
     def typed(name: str) -> Column:
-        hits = F.filter(entries, lambda e: F.lower(e["key"]) == name.lower())
-        strings = F.filter(hits, lambda e: F.schema_of_variant(e["value"]) == "STRING")
-        return F.coalesce(
-            F.try_element_at(strings, F.lit(-1))["value"].cast("string"), F.lit("")
+        v = F.try_element_at(obj, F.lit(name))
+        fast = F.when(F.schema_of_variant(v) == "STRING", v.cast("string"))
+        hits = F.filter(
+            entries,
+            lambda e: (F.lower(e["key"]) == name.lower())
+            & (F.schema_of_variant(e["value"]) == "STRING"),
         )
+        slow = F.try_element_at(hits, F.lit(-1))["value"].cast("string")
+        return F.coalesce(F.when(exact, fast).otherwise(slow), F.lit(""))
+
+    def bad(name: str) -> Column:
+        v = F.try_element_at(obj, F.lit(name))
+        return v.isNotNull() & ~F.schema_of_variant(v).isin("STRING", "VOID")
 
-    bad_type = F.exists(
+    fast_bad = bad(JSON_TYPED_KEYS[0])
+    for k in JSON_TYPED_KEYS[1:]:
+        fast_bad = fast_bad | bad(k)
+    slow_bad = F.exists(
         entries,
-        lambda e: F.lower(e["key"]).isin(*[k.lower() for k in JSON_TYPED_KEYS])
+        lambda e: F.lower(e["key"]).isin(*_TYPED_LOWER)
         & ~F.schema_of_variant(e["value"]).isin("STRING", "VOID"),
     )
-    kind = F.schema_of_variant
-    extras = F.transform_values(
-        F.map_filter(obj, lambda k, v: ~k.isin(*JSON_TYPED_KEYS)),
-        lambda k, v: F.when(kind(v) == "STRING", v.cast("string"))
-        .when(
-            kind(v).isin("DOUBLE", "FLOAT") | kind(v).startswith("DECIMAL"),
-            F.regexp_replace(F.to_json(v), r"\.0$", ""),
-        )
-        .otherwise(F.to_json(v)),
+    extra_keys = F.array_except(keys, F.array(*[F.lit(k) for k in JSON_TYPED_KEYS]))
+    extras = F.map_from_arrays(
+        extra_keys,
+        F.transform(extra_keys, lambda k: _variant_text(F.try_element_at(obj, k))),
     )
     return {
         "ok": syntax_ok,
-        "bad_type": bad_type,
+        "bad_type": F.when(exact, F.coalesce(fast_bad, F.lit(False))).otherwise(slow_bad),
         "raw_ts": typed("timestamp"),
         "level": typed("level"),
         "message": typed("msg"),
@@ -148,7 +194,7 @@ def parse_lines(df: DataFrame, value_col: str = "value") -> DataFrame:
     staged = _barrier(
         df,
         _too_long=F.octet_length(value) >= MAX_LINE_BYTES,
-        _is_json=go_trim(value).startswith("{"),
+        _is_json=value.startswith("{") | value.rlike(f"^{GO_SPACE}+\\{{"),
     )
     j = _json(value)
     p = _plain(value)

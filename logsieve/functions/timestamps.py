@@ -39,7 +39,8 @@ _CANONICAL = "$1$5$8$11$14|$2$6$9$12$15|$3$7$10$13$16|$4$17"
 
 def parse_timestamp(raw: Column, trim: bool = False) -> Column:
     s = go_trim(raw) if trim else raw
-    parts = F.split(F.regexp_replace(s, TIMESTAMP_SHAPES, _CANONICAL), r"\|", 4)
+    canonical = F.regexp_replace(s, TIMESTAMP_SHAPES, _CANONICAL)
+    parts = F.split(canonical, r"\|", 4)
     date = F.translate(F.try_element_at(parts, F.lit(1)), "/", "-")
     frac = F.substring(F.try_element_at(parts, F.lit(3)), 1, 6)  # microseconds
     written = F.try_element_at(parts, F.lit(4))
@@ -48,7 +49,8 @@ def parse_timestamp(raw: Column, trim: bool = False) -> Column:
         date, F.lit(" "), F.try_element_at(parts, F.lit(2)),
         F.when(frac != "", F.concat(F.lit("."), frac)).otherwise(F.lit("")),
     )
-    wall = F.when(s.rlike(TIMESTAMP_SHAPES), wall_str.try_cast("timestamp_ntz"))
+    # the shapes never contain '|', so an unchanged string did not match
+    wall = F.when(canonical != s, wall_str.try_cast("timestamp_ntz"))
     sign = F.when(F.substring(offset, 1, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
     minutes = sign * (
         F.substring(offset, 2, 2).cast("int") * 60 + F.substring(offset, 5, 2).cast("int")

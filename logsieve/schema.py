@@ -11,10 +11,10 @@ from __future__ import annotations
 # --- fixed values -----------------------------------------------------------
 # Characters Go's unicode.IsSpace accepts (strings.Fields / strings.TrimSpace),
 # written as a Java regex character class.
-GO_SPACE = (
-    r"[\t\n\x{0B}\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-)
+# ASCII controls and NEL, plus the Unicode separator category (Zs, Zl, Zp).
+GO_SPACE = r"[\t\n\x0B\f\r\x{85}\p{Z}]"
+# The complement: one non-space character.
+GO_NON_SPACE = r"[^\t\n\x0B\f\r\x{85}\p{Z}]"
 # RE2's \s (used by the message normaliser): no vertical tab.
 RE2_SPACE = r"[\t\n\f\r ]"
 
