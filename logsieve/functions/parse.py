@@ -22,7 +22,7 @@ from ..schema import (
     REJECT_TIMESTAMP,
     REJECT_TOO_LONG,
 )
-from .text import go_fields, go_trim
+from .text import go_trim, pinned
 from .timestamps import parse_timestamp
 
 # Key of the map appended after the object: only present at index 1 when the
@@ -111,17 +111,22 @@ def _variant_text(v: Column) -> Column:
     )
 
 
-def _json(value: Column) -> dict[str, Column]:
-    """One JSON object per line, strict syntax, typed keys must be strings.
-
-    Fast path: typed keys appear with their exact spelling, so each is one map
-    lookup. A line with an odd-cased typed key (matched too, as in the
-    original) takes the slower per-entry branch."""
-    arr = F.from_json(
+def json_array(value: Column) -> Column:
+    """The line parsed as ``[object, sentinel]`` (null when not JSON)."""
+    return F.from_json(
         F.concat(F.lit("["), value, F.lit(',{"' + _SENTINEL_RAW + '":0}]')),
         "array<map<string,variant>>",
         _JSON_OPTIONS,
     )
+
+
+def _json(value: Column, arr: Column) -> dict[str, Column]:
+    """One JSON object per line, strict syntax, typed keys must be strings.
+
+    ``arr`` is ``json_array(value)``, computed in an earlier stage so lambdas
+    below do not re-parse the line. Fast path: typed keys appear with their
+    exact spelling, so each is one map lookup. A line with an odd-cased typed
+    key (matched too, as in the original) takes the slower per-entry branch."""
     syntax_ok = (
         arr.isNotNull()
         & (F.size(arr) == 2)
@@ -180,26 +185,22 @@ def _json(value: Column) -> dict[str, Column]:
     }
 
 
-def _barrier(df: DataFrame, **cols: Column) -> DataFrame:
-    """Add columns through a one-row Generate so the optimizer cannot inline
-    them into every later reference (keeps generated code under the 64 KB
-    method limit and evaluates each expensive expression once per row)."""
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
-
-
 def parse_lines(df: DataFrame, value_col: str = "value") -> DataFrame:
     """Add entry columns and ``parse_error`` to a frame of raw lines."""
     value = F.col(value_col)
     base = df.columns
-    staged = _barrier(
+    staged = pinned(
         df,
         _too_long=F.octet_length(value) >= MAX_LINE_BYTES,
         _is_json=value.startswith("{") | value.rlike(f"^{GO_SPACE}+\\{{"),
     )
-    j = _json(value)
+    staged = pinned(
+        staged, _arr=F.when(~F.col("_too_long") & F.col("_is_json"), json_array(value))
+    )
+    j = _json(value, F.col("_arr"))
     p = _plain(value)
     json_fields = ("level", "message", "source", "user", "log_source", "ack_id", "type", "status")
-    staged = _barrier(
+    staged = pinned(
         staged,
         _j=F.when(
             ~F.col("_too_long") & F.col("_is_json"),
@@ -217,7 +218,7 @@ def parse_lines(df: DataFrame, value_col: str = "value") -> DataFrame:
         ),
     )
     pf = _plain_fields(F.col("_p.body"))
-    staged = _barrier(
+    staged = pinned(
         staged,
         _pf=F.when(
             F.col("_p.ok"),

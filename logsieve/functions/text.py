@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import GO_SPACE
@@ -37,3 +37,10 @@ def extras_text(extras: Column) -> Column:
         ),
         ", ",
     )
+
+
+def pinned(df: DataFrame, **cols: Column) -> DataFrame:
+    """Add columns through a one-row Generate so the optimizer cannot inline
+    them into later references (evaluates each expensive expression once per
+    row, also when it is used inside a lambda, and keeps generated code small)."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))

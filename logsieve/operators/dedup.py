@@ -38,11 +38,13 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import (
     bytes_text,
+    early_decision,
+    jaccard_decision,
     normalize,
-    similar_message,
     source_gate,
     words,
 )
+from ..functions.text import pinned
 from ..schema import ENTRY_COLUMNS
 from ..session import ensure_checkpoint_dir
 
@@ -88,7 +90,7 @@ def _near_buckets(df: DataFrame) -> DataFrame:
     return df.withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
 
 
-def candidate_pairs(attrs: DataFrame) -> DataFrame:
+def candidate_pairs(attrs: DataFrame, branches: bool = False):
     """``(x, y)`` node pairs (unordered roles) that may be similar."""
     # token index: one row per distinct token of a node
     index = attrs.select("node", "lvl", "bucket", F.explode("wset").alias("token"))
@@ -130,57 +132,84 @@ def candidate_pairs(attrs: DataFrame) -> DataFrame:
         "node", "lvl", "bucket",
         F.substring(bytes_text(F.col("norm")), 1, F.least(F.col("nlen"), F.lit(_GRAM)).cast("int")).alias("gram"),
     )
-    grams = _window_grams(attrs)
-    tiny = _near_buckets(short).alias("s").join(grams.alias("g"), ["lvl", "bucket", "gram"]).where(
+    probe = _near_buckets(short)
+    # only texts in a (level, length bucket) that some short text can reach
+    reach = probe.select("lvl", "bucket").distinct()
+    grams = _window_grams(attrs.join(reach, ["lvl", "bucket"], "left_semi"))
+    tiny = probe.alias("s").join(grams.alias("g"), ["lvl", "bucket", "gram"]).where(
         F.col("g.node") != F.col("s.node")
     ).select(F.col("s.node").alias("x"), F.col("g.node").alias("y"))
 
+    parts = {"equal": eq, "jaccard": jac, "contains": cont, "short": tiny}
+    if branches:
+        return parts
     return eq.unionByName(jac).unionByName(cont).unionByName(tiny)
 
 
 def _window_grams(attrs: DataFrame) -> DataFrame:
     """Grams of texts that a <= 2-word text longer than half of them can sit
     in: texts whose longest 1-2-word window exceeds half their length."""
-    lens = F.transform("words", lambda w: F.octet_length(w))
+    with_lens = pinned(attrs, _lens=F.transform("words", lambda w: F.octet_length(w)))
+    lens = F.col("_lens")
     pair_spans = F.transform(
         F.sequence(F.lit(1), F.greatest(F.size("words"), F.lit(1))),
-        lambda i: F.coalesce(F.element_at(lens, i), F.lit(0))
+        lambda i: F.coalesce(F.try_element_at(lens, i), F.lit(0))
         + F.coalesce(F.try_element_at(lens, (i + 1).cast("int")) + 1, F.lit(0)),
     )
-    widest = F.array_max(pair_spans)
-    dominated = attrs.where((F.col("nlen") > 0) & (widest * 2 > F.col("nlen")))
+    dominated = with_lens.where((F.col("nlen") > 0) & (F.array_max(pair_spans) * 2 > F.col("nlen")))
     # tiny texts: every gram length up to _GRAM; others: _GRAM only
     lengths = F.when(
         F.col("nlen") < 2 * _GRAM, F.sequence(F.lit(1), F.lit(_GRAM))
     ).otherwise(F.array(F.lit(_GRAM)))
-    # grams are taken over bytes (one character per byte), like the lengths
-    starts = dominated.select(
-        "node", "lvl", "bucket", bytes_text(F.col("norm")).alias("b8"), "nlen",
-        F.explode(lengths).alias("q"),
-    ).where(F.col("q") <= F.col("nlen")).select(
-        "node", "lvl", "bucket", "b8", "q",
-        F.explode(F.sequence(F.lit(1), F.col("nlen") - F.col("q") + 1)).alias("pos"),
-    )
-    return starts.select(
-        "node", "lvl", "bucket", F.substring("b8", F.col("pos"), F.col("q")).alias("gram")
-    ).distinct()
+    # grams are taken over bytes (one character per byte), like the lengths;
+    # built as an array so the exploded rows do not carry the whole text
+    b8 = bytes_text(F.col("norm"))
+    grams = F.flatten(F.transform(
+        F.filter(lengths, lambda q: q <= F.col("nlen")),
+        lambda q: F.transform(
+            F.sequence(F.lit(1), F.col("nlen") - q + 1), lambda pos: F.substring(b8, pos, q)
+        ),
+    ))
+    return dominated.select("node", "lvl", "bucket", F.explode(F.array_distinct(grams)).alias("gram"))
 
 
 def similar_edges(attrs: DataFrame) -> DataFrame:
-    """``(a, b)`` with a before b, passing D5 and D4(a as leader, b)."""
+    """``(a, b)`` with a before b, passing D5 and D4(a as leader, b).
+
+    The cheap rules (equality, length ratio, containment, word-count ratio)
+    decide most candidates on the pair row; the word overlap of the rest is
+    counted relationally (pair x words of b x distinct words of a, summed),
+    which stays code-generated and spreads over the cluster."""
     cand = candidate_pairs(attrs).select(
         F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")
     ).distinct()
-    a = attrs.select(*[F.col(c).alias(f"a_{c}") for c in attrs.columns])
-    b = attrs.select(*[F.col(c).alias(f"b_{c}") for c in attrs.columns])
+    cols = ("node", "lsrc", "norm", "nlen", "nwords")
+    a = attrs.select(*[F.col(c).alias(f"a_{c}") for c in cols], F.size("wset").alias("a_ndistinct"))
+    b = attrs.select(*[F.col(c).alias(f"b_{c}") for c in cols])
     pairs = cand.join(a, F.col("a") == F.col("a_node")).join(b, F.col("b") == F.col("b_node"))
-    ok = (
-        (F.col("a_lvl") == F.col("b_lvl"))
-        & source_gate(F.col("a_lsrc"), F.col("b_lsrc"))
-        & similar_message(F.col("a_norm"), F.col("b_norm"), F.col("a_wset"), F.col("b_words"),
-                          F.col("a_nwords"))
+    pairs = pairs.where(source_gate(F.col("a_lsrc"), F.col("b_lsrc")))
+    early = early_decision(F.col("a_norm"), F.col("b_norm"), F.col("a_nwords"), F.col("b_nwords"))
+    staged = pinned(pairs, early=early)
+    decided = staged.where(F.col("early")).select("a", "b")
+    open_pairs = staged.where(F.col("early").isNull())
+
+    b_words = attrs.select("node", F.explode("words").alias("token")).groupBy("node", "token").agg(
+        F.count(F.lit(1)).alias("mult")
+    )
+    a_set = attrs.select("node", F.explode("wset").alias("token"))
+    common = (
+        open_pairs.select("a", "b")
+        .join(b_words.withColumnRenamed("node", "b"), "b")
+        .join(a_set.withColumnRenamed("node", "a"), ["a", "token"])
+        .groupBy("a", "b").agg(F.sum("mult").alias("common"))
+    )
+    scored = open_pairs.join(common, ["a", "b"], "left").withColumn(
+        "common", F.coalesce("common", F.lit(0))
+    )
+    ok = jaccard_decision(
+        F.col("common"), F.col("a_ndistinct"), F.col("b_nwords"), F.col("a_norm"), F.col("b_norm")
     )
-    return pairs.where(ok).select("a", "b")
+    return decided.unionByName(scored.where(ok).select("a", "b"))
 
 
 def greedy_leaders(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:

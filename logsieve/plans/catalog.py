@@ -223,3 +223,151 @@ QUERIES: dict[str, Query] = {
     "notif_statuses": q_notif_statuses,
     "report_stats": q_report_stats,
 }
+
+
+# --- near-duplicate trimming ---------------------------------------------------
+
+def _docs(spark, sf_dir):
+    return tb.document_entries(spark, sf_dir)
+
+
+def q_normalize(spark, sf_dir):
+    from ..functions.similarity import normalize
+
+    docs = tb.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tb.spread(docs).select("doc_id", normalize(F.coalesce("text", F.lit(""))).alias("norm"))
+
+
+def q_exact_collapse(spark, sf_dir):
+    from ..operators.dedup import entry_nodes
+
+    nodes = entry_nodes(_docs(spark, sf_dir))
+    return nodes.select(F.col("node.p").alias("node_id"), "lvl", "lsrc", "weight")
+
+
+def q_similar_pairs(spark, sf_dir):
+    from ..operators.dedup import _node_attrs, entry_nodes, similar_edges
+
+    attrs = _node_attrs(entry_nodes(_docs(spark, sf_dir)))
+    return similar_edges(attrs).select(F.col("a.p").alias("a_id"), F.col("b.p").alias("b_id"))
+
+
+def q_trim(spark, sf_dir):
+    from ..operators.dedup import trim
+
+    return trim(_entries(spark, sf_dir)).select(
+        F.col("ord.p").alias("event_id"), "level", "source", "message", "duplicate_count"
+    )
+
+
+def q_trim_documents(spark, sf_dir):
+    from ..operators.dedup import trim
+
+    return trim(_docs(spark, sf_dir)).select(
+        F.col("ord.p").alias("doc_id"), "level", "source", "duplicate_count"
+    )
+
+
+def q_trim_report(spark, sf_dir):
+    from ..operators.dedup import trim, trim_report
+
+    docs = _docs(spark, sf_dir)
+    return trim_report(docs, trim(docs))
+
+
+def q_dedup_summary(spark, sf_dir):
+    from ..operators.dedup import trim
+
+    s = st.summary(trim(_docs(spark, sf_dir)), weighted=True)
+    return s.select("total", "unique_rows", "total_with_duplicates", "is_deduplicated")
+
+
+QUERIES.update({
+    "normalize": q_normalize,
+    "exact_collapse": q_exact_collapse,
+    "similar_pairs": q_similar_pairs,
+    "trim": q_trim,
+    "trim_documents": q_trim_documents,
+    "trim_report": q_trim_report,
+    "dedup_summary": q_dedup_summary,
+})
+
+
+# --- tail sample, bundle and exports ------------------------------------------
+
+TAIL_N = 100
+CONVERSATION_TAIL_N = 5
+
+
+def q_tail_sample(spark, sf_dir):
+    from ..operators.bundle import tail_sample
+
+    return tail_sample(_entries(spark, sf_dir), TAIL_N).select("i", "line_id", "level", "message")
+
+
+def q_bundle_lines(spark, sf_dir):
+    from ..operators.bundle import bundle_lines, tail_sample
+
+    return bundle_lines(tail_sample(_entries(spark, sf_dir), TAIL_N)).select("i", "block")
+
+
+def q_bundle_prompt(spark, sf_dir):
+    from ..operators.bundle import bundle_lines, bundle_prompt, tail_sample
+
+    return bundle_prompt(bundle_lines(tail_sample(_entries(spark, sf_dir), TAIL_N)))
+
+
+def q_conversation_bundles(spark, sf_dir):
+    from ..operators.bundle import bundle_lines, bundle_prompt, tail_per_group
+
+    conv = tb.conversation_entries(spark, sf_dir)
+    lines = bundle_lines(tail_per_group(conv, "conv_id", CONVERSATION_TAIL_N))
+    return bundle_prompt(lines, group="conv_id")
+
+
+def q_preview(spark, sf_dir):
+    from ..operators.bundle import preview
+    from ..operators.dedup import trim
+
+    return preview(trim(_docs(spark, sf_dir))).select(F.col("ord.p").alias("doc_id"), "preview")
+
+
+def q_csv_rows(spark, sf_dir):
+    return _entries(spark, sf_dir).select("line_id", *_csv_columns())
+
+
+def _csv_columns():
+    from ..schema import CSV_HEADER
+    from ..sinks import rfc3339
+
+    values = (
+        rfc3339(F.col("wall_ts"), F.col("tz_offset"), fraction=False),
+        F.col("level"), F.col("source"), F.col("message"), F.col("user"),
+        F.col("log_source"), F.col("ack_id"), F.col("type"), F.col("status"),
+        extras_text(F.col("extras")),
+    )
+    return [v.alias(h) for v, h in zip(values, CSV_HEADER)]
+
+
+def q_json_rows(spark, sf_dir):
+    from ..sinks import json_object
+
+    return _entries(spark, sf_dir).select("line_id", json_object().alias("json"))
+
+
+def q_pretty_rows(spark, sf_dir):
+    from ..sinks import pretty_block
+
+    return _entries(spark, sf_dir).select("line_id", pretty_block().alias("text"))
+
+
+QUERIES.update({
+    "tail_sample": q_tail_sample,
+    "bundle_lines": q_bundle_lines,
+    "bundle_prompt": q_bundle_prompt,
+    "conversation_bundles": q_conversation_bundles,
+    "preview": q_preview,
+    "csv_rows": q_csv_rows,
+    "json_rows": q_json_rows,
+    "pretty_rows": q_pretty_rows,
+})

@@ -186,3 +186,179 @@ SELECT stat, item, count, CAST(row_number() OVER (PARTITION BY stat ORDER BY cou
 FROM c"""
 
 SQL["report_stats"] = _with(_STAT_ITEMS)
+
+
+# --- near-duplicate trimming -------------------------------------------------
+from ..functions.similarity import NORMALIZE_RULES  # noqa: E402
+
+_GO_SPACE_CHARS = "\t\n\x0b\x0c\r \x85\xa0 " + "".join(
+    chr(c) for c in range(0x2000, 0x200B)) + "    　"
+
+
+def duck_norm(col: str) -> str:
+    e = f"lower({col})"
+    for pattern, repl in NORMALIZE_RULES:
+        e = f"regexp_replace({e}, '{pattern.replace(chr(39), chr(39) * 2)}', '{repl}', 'g')"
+    e = f"regexp_replace({e}, '[\\t\\n\\f\\r ]+', ' ', 'g')"
+    return f"trim({e}, '{_GO_SPACE_CHARS}')"
+
+
+DOC_ENTRIES = "ent AS (SELECT doc_id AS id, coalesce(lang, '') AS lvl_raw, coalesce(source, '') AS src_raw, coalesce(text, '') AS msg FROM documents)"
+EVENT_ENTRIES = f"""{EV},
+ent AS (SELECT event_id AS id, level AS lvl_raw, source AS src_raw, message AS msg FROM ev)"""
+
+
+def nodes_sql(entries: str) -> str:
+    return f"""{entries},
+n0 AS (SELECT id, lower(lvl_raw) AS lvl, lower(src_raw) AS lsrc, {duck_norm('msg')} AS norm FROM ent),
+nodes AS (SELECT min(id) AS id, lvl, lsrc, norm, count(*) AS weight FROM n0 GROUP BY lvl, lsrc, norm)"""
+
+
+def edges_sql(entries: str) -> str:
+    return nodes_sql(entries) + """,
+nb AS (SELECT id, lvl, lsrc, norm, strlen(norm) AS nlen,
+         CASE WHEN norm = '' THEN []::VARCHAR[] ELSE string_split(norm, ' ') END AS w FROM nodes),
+nc AS (SELECT *, list_distinct(w) AS ws, len(w) AS nw FROM nb),
+p AS (SELECT a.id AS a, b.id AS b, a.norm AS m1, b.norm AS m2, a.nlen AS l1, b.nlen AS l2,
+             a.nw AS n1, b.nw AS n2, len(a.ws) AS d1
+      FROM nc a JOIN nc b ON a.lvl = b.lvl AND a.id < b.id
+      WHERE a.lsrc = b.lsrc OR (strlen(a.lsrc) > 0 AND strlen(b.lsrc) > 0 AND
+            1 - levenshtein(a.lsrc, b.lsrc) / greatest(strlen(a.lsrc), strlen(b.lsrc)) > 0.7)),
+r AS (SELECT *, CASE WHEN m1 = m2 THEN true
+                     WHEN NOT (2 * least(l1, l2) > greatest(l1, l2)) THEN false
+                     WHEN contains(m1, m2) OR contains(m2, m1) THEN true
+                     WHEN NOT (2 * least(n1, n2) >= greatest(n1, n2)) THEN false
+                END AS early FROM p),
+wl AS (SELECT id, unnest(w) AS word FROM nc),
+wd AS (SELECT DISTINCT id, unnest(ws) AS word FROM nc),
+cc AS (SELECT r.a, r.b, count(*) AS c FROM r JOIN wl ON wl.id = r.b
+       JOIN wd ON wd.id = r.a AND wd.word = wl.word WHERE r.early IS NULL GROUP BY r.a, r.b),
+jj AS (SELECT r.*, coalesce(cc.c, 0) AS c, r.d1 + r.n2 - coalesce(cc.c, 0) AS tot
+       FROM r LEFT JOIN cc ON cc.a = r.a AND cc.b = r.b),
+edges AS (SELECT a, b FROM jj WHERE CASE
+   WHEN early IS NOT NULL THEN early
+   WHEN tot = 0 THEN false
+   WHEN c / tot >= CAST(0.8 AS DOUBLE) THEN true
+   WHEN c / tot >= CAST(0.8 AS DOUBLE) * CAST(0.8 AS DOUBLE) THEN
+     1 - levenshtein(lower(m1), lower(m2)) / greatest(strlen(m1), strlen(m2)) >= CAST(0.8 AS DOUBLE)
+   ELSE false END)"""
+
+
+def trim_sql(entries: str) -> str:
+    """Greedy leaders by a recursive CTE over the nodes in input order."""
+    return edges_sql(entries) + """,
+ordered AS (SELECT id, weight, CAST(row_number() OVER (ORDER BY id) AS BIGINT) AS k FROM nodes),
+inc AS (SELECT o.k, list(oa.k) FILTER (WHERE oa.k IS NOT NULL) AS incs
+        FROM ordered o LEFT JOIN edges e ON e.b = o.id LEFT JOIN ordered oa ON oa.id = e.a GROUP BY o.k),
+rec(k, leaders) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT rec.k + 1,
+    CASE WHEN list_has_any(rec.leaders, coalesce(inc.incs, CAST([] AS BIGINT[]))) THEN rec.leaders
+         ELSE list_append(rec.leaders, rec.k + 1) END
+  FROM rec JOIN inc ON inc.k = rec.k + 1),
+fin AS (SELECT leaders FROM rec ORDER BY k DESC LIMIT 1),
+lead AS (SELECT unnest(leaders) AS k FROM fin),
+assign AS (
+  SELECT o.k, o.weight,
+    CASE WHEN o.k IN (SELECT k FROM lead) THEN o.k
+         ELSE (SELECT min(x) FROM (SELECT unnest(i.incs) AS x) t WHERE x IN (SELECT k FROM lead)) END AS leader_k
+  FROM ordered o JOIN inc i ON i.k = o.k),
+counts AS (SELECT leader_k, CAST(sum(weight) AS INTEGER) AS duplicate_count FROM assign GROUP BY leader_k),
+trimmed AS (SELECT o.id, c.duplicate_count FROM counts c JOIN ordered o ON o.k = c.leader_k)"""
+
+
+SQL["normalize"] = "SELECT doc_id, " + duck_norm("coalesce(text, '')") + " AS norm FROM documents"
+SQL["exact_collapse"] = "WITH " + nodes_sql(DOC_ENTRIES) + "\nSELECT id AS node_id, lvl, lsrc, weight FROM nodes"
+SQL["similar_pairs"] = "WITH " + edges_sql(DOC_ENTRIES) + "\nSELECT a AS a_id, b AS b_id FROM edges"
+SQL["trim"] = "WITH " + trim_sql(EVENT_ENTRIES) + """
+SELECT t.id AS event_id, ev.level, ev.source, ev.message, t.duplicate_count
+FROM trimmed t JOIN ev ON ev.event_id = t.id"""
+SQL["trim_documents"] = "WITH " + trim_sql(DOC_ENTRIES) + """
+SELECT t.id AS doc_id, coalesce(d.lang, '') AS level, coalesce(d.source, '') AS source, t.duplicate_count
+FROM trimmed t JOIN documents d ON d.doc_id = t.id"""
+SQL["trim_report"] = "WITH " + trim_sql(DOC_ENTRIES) + """
+SELECT (SELECT count(*) FROM documents) AS original, (SELECT count(*) FROM trimmed) AS final,
+       (SELECT count(*) FROM documents) - (SELECT count(*) FROM trimmed) AS removed"""
+SQL["dedup_summary"] = "WITH " + trim_sql(DOC_ENTRIES) + """
+SELECT CAST(sum(CASE WHEN duplicate_count > 1 THEN duplicate_count ELSE 1 END) AS BIGINT) AS total,
+  count(*) AS unique_rows,
+  CAST(sum(greatest(duplicate_count, 1)) AS BIGINT) AS total_with_duplicates,
+  max(duplicate_count) > 1 AND sum(greatest(duplicate_count, 1)) > count(*) AS is_deduplicated
+FROM trimmed"""
+
+
+# --- tail sample, bundle and exports ------------------------------------------
+NL = "chr(10)"
+TS_TEXT = "strftime(wall_ts, '%Y-%m-%d %H:%M:%S')"
+ZONE = "CASE WHEN tz_offset = '+00:00' THEN 'Z' ELSE tz_offset END"
+FRAC = ("CASE WHEN rtrim(strftime(wall_ts, '%f'), '0') = '' THEN '' "
+        "ELSE '.' || rtrim(strftime(wall_ts, '%f'), '0') END")
+BLOCK = (f"concat(i, '. [', {TS_TEXT}, '] [', level, '] ', source, ': ', message, {NL}, "
+         f"CASE WHEN \"user\" <> '' THEN concat('   User: ', \"user\", {NL}) ELSE '' END, "
+         f"CASE WHEN source <> '' THEN concat('   Source: ', source, {NL}) ELSE '' END, "
+         f"CASE WHEN extras_text <> '' THEN concat('   Extras: ', extras_text, {NL}) ELSE '' END, {NL})")
+TAIL = """, tail AS (SELECT * FROM ev ORDER BY event_id DESC LIMIT 100),
+t AS (SELECT CAST(row_number() OVER (ORDER BY event_id) AS INTEGER) AS i, * FROM tail)"""
+
+SQL["tail_sample"] = _with(TAIL + "\nSELECT i, line_id, level, message FROM t")
+SQL["bundle_lines"] = _with(TAIL + f"\nSELECT i, {BLOCK} AS block FROM t")
+SQL["bundle_prompt"] = _with(TAIL + f""", b AS (SELECT i, {BLOCK} AS block FROM t)
+SELECT count(*) AS entries, CAST(count(*) AS BIGINT) AS represented, false AS has_duplicates,
+  concat(count(*), ' server log entries') AS description,
+  concat('Here are ', count(*), ' server log entries to analyze:', {NL}, {NL},
+         string_agg(block, '' ORDER BY i), {NL}, {NL},
+         'Please provide a detailed analysis of these logs.') AS prompt
+FROM b""")
+SQL["conversation_bundles"] = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS level, coalesce(text, '') AS message,
+                  TIMESTAMP '2024-01-01 00:00:00' + to_hours(conv_id) + to_minutes(turn) AS wall_ts
+           FROM conversations),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rd FROM c),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM r WHERE rd <= 5),
+b AS (SELECT conv_id, i, concat(i, '. [', {TS_TEXT}, '] [', level, '] : ', message, {NL}, {NL}) AS block FROM t)
+SELECT conv_id, count(*) AS entries, CAST(count(*) AS BIGINT) AS represented, false AS has_duplicates,
+  concat(count(*), ' server log entries') AS description,
+  concat('Here are ', count(*), ' server log entries to analyze:', {NL}, {NL},
+         string_agg(block, '' ORDER BY i), {NL}, {NL},
+         'Please provide a detailed analysis of these logs.') AS prompt
+FROM b GROUP BY conv_id"""
+SQL["preview"] = "WITH " + trim_sql(DOC_ENTRIES) + """
+SELECT t.id AS doc_id,
+  concat(CASE WHEN length(coalesce(d.text, '')) > 80 THEN left(d.text, 77) || '...' ELSE coalesce(d.text, '') END,
+         CASE WHEN t.duplicate_count > 1 THEN concat(' (×', t.duplicate_count, ')') ELSE '' END) AS preview
+FROM trimmed t JOIN documents d ON d.doc_id = t.id"""
+SQL["csv_rows"] = _with(f"""SELECT line_id,
+  strftime(wall_ts, '%Y-%m-%dT%H:%M:%S') || {ZONE} AS "Timestamp",
+  level AS "Level", source AS "Source", message AS "Message", "user" AS "User",
+  log_source AS "LogSource", ack_id AS "AckID", type AS "Type", status AS "Status",
+  extras_text AS "Extras" FROM ev""")
+SQL["json_rows"] = _with(f"""SELECT line_id, concat(
+  '{{"timestamp":"', strftime(wall_ts, '%Y-%m-%dT%H:%M:%S'), {FRAC}, {ZONE}, '"',
+  ',"level":', to_json(level), ',"message":', to_json(message), ',"source":', to_json(source),
+  ',"user":', to_json("user"),
+  CASE WHEN log_source <> '' THEN concat(',"log_source":', to_json(log_source), ',"ack_id":', to_json(ack_id),
+       ',"type":', to_json(type), ',"status":', to_json(status)) ELSE '' END,
+  ',"extras":{{',
+  CASE WHEN line_format = 'json' THEN concat('"cents":', to_json(CAST(CAST(round(e.value * 100) AS BIGINT) AS VARCHAR)),
+       ',"props":', to_json(replace(e.props, ' ', '')), ',"retry":',
+       CASE WHEN ev.event_id % 3 = 0 THEN '"true"' ELSE '"false"' END)
+  ELSE concat('"cents":', to_json(CAST(CAST(round(e.value * 100) AS BIGINT) AS VARCHAR)),
+       ',"k":', to_json(json_extract_string(e.props, '$.k'))) END,
+  '}}}}') AS json
+FROM ev JOIN events e ON e.event_id = ev.event_id""")
+SQL["pretty_rows"] = _with(f"""SELECT line_id, concat(
+  {TS_TEXT}, ' [', level, '] ', source, ' → ', message, {NL},
+  CASE WHEN "user" <> '' THEN concat('  User: ', "user", {NL}) ELSE '' END,
+  CASE WHEN source <> '' THEN concat('  Source: ', source, {NL}) ELSE '' END,
+  CASE WHEN log_source = 'notifications' THEN concat('  Log Source: ', log_source, {NL},
+       CASE WHEN ack_id <> '' THEN concat('  Ack ID: ', ack_id, {NL}) ELSE '' END,
+       CASE WHEN type <> '' THEN concat('  Type: ', type, {NL}) ELSE '' END,
+       CASE WHEN status <> '' THEN concat('  Status: ', status, {NL}) ELSE '' END) ELSE '' END,
+  CASE WHEN line_format = 'json' THEN concat('  cents: ', CAST(round(e.value * 100) AS BIGINT), {NL},
+       '  props: ', replace(e.props, ' ', ''), {NL},
+       '  retry: ', CASE WHEN ev.event_id % 3 = 0 THEN 'true' ELSE 'false' END, {NL})
+  ELSE concat('  cents: ', CAST(round(e.value * 100) AS BIGINT), {NL},
+       '  k: ', json_extract_string(e.props, '$.k'), {NL}) END,
+  repeat('-', 80)) AS text
+FROM ev JOIN events e ON e.event_id = ev.event_id""")

@@ -1,0 +1,133 @@
+"""K1-K5: entry exports. Each ``*_rows`` function is a column projection (one
+row per entry, distributed); the writers persist them with Spark's own sinks
+(JSON Lines / CSV / text folders). ``json_array`` builds the single indented
+array form for small results only."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import extras_text
+from ..schema import CSV_HEADER, NOTIFICATION_LOG_SOURCE
+
+
+def _frac_trimmed(ts: Column) -> Column:
+    f = F.regexp_replace(F.date_format(ts, "SSSSSS"), "0+$", "")
+    return F.when(f == "", F.lit("")).otherwise(F.concat(F.lit("."), f))
+
+
+def _zone(offset: Column) -> Column:
+    return F.when(offset == "+00:00", F.lit("Z")).otherwise(offset)
+
+
+def rfc3339(wall: Column, offset: Column, fraction: bool = True) -> Column:
+    """Entry time with its own offset; 'Z' for a zero offset."""
+    base = F.date_format(wall, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.concat(base, _frac_trimmed(wall) if fraction else F.lit(""), _zone(offset))
+
+
+def _blank_to_null(c: str) -> Column:
+    return F.when(F.col(c) != "", F.col(c))
+
+
+def json_object(entries: DataFrame | None = None) -> Column:
+    """K1: one entry as a JSON object; empty strings, empty extras and a zero
+    duplicate count are omitted; extras keys sorted."""
+    extras = F.when(
+        F.size("extras") > 0, F.map_from_entries(F.array_sort(F.map_entries("extras")))
+    )
+    dc = F.when(F.coalesce(F.col("duplicate_count"), F.lit(0)) != 0, F.col("duplicate_count"))
+    return F.to_json(
+        F.struct(
+            rfc3339(F.col("wall_ts"), F.col("tz_offset")).alias("timestamp"),
+            F.col("level").alias("level"),
+            F.col("message").alias("message"),
+            _blank_to_null("source").alias("source"),
+            _blank_to_null("user").alias("user"),
+            _blank_to_null("log_source").alias("log_source"),
+            _blank_to_null("ack_id").alias("ack_id"),
+            _blank_to_null("type").alias("type"),
+            _blank_to_null("status").alias("status"),
+            extras.alias("extras"),
+            dc.alias("duplicate_count"),
+        ),
+        {"ignoreNullFields": "true"},
+    )
+
+
+def json_rows(entries: DataFrame) -> DataFrame:
+    return entries.select("*", json_object().alias("json"))
+
+
+def write_json_lines(entries: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """K1/K3 at scale: one JSON object per line, one file per partition."""
+    json_rows(entries).select(F.col("json").alias("value")).write.mode(mode).text(path)
+
+
+def json_array(entries: DataFrame) -> str:
+    """K1's single indented array (``[]`` when empty), for small results: the
+    rows are ordered by input order and gathered on the driver."""
+    import json
+
+    rows = json_rows(entries).orderBy("ord").select("json").collect()
+    if not rows:
+        return "[]"
+    return json.dumps([json.loads(r[0]) for r in rows], indent=2, ensure_ascii=False)
+
+
+def csv_rows(entries: DataFrame) -> DataFrame:
+    """K2: the ten export columns (no duplicate count)."""
+    values = (
+        rfc3339(F.col("wall_ts"), F.col("tz_offset"), fraction=False),
+        F.col("level"), F.col("source"), F.col("message"), F.col("user"),
+        F.col("log_source"), F.col("ack_id"), F.col("type"), F.col("status"),
+        extras_text(F.col("extras")),
+    )
+    return entries.select(*[v.alias(h) for v, h in zip(values, CSV_HEADER)])
+
+
+def write_csv(entries: DataFrame, path: str, mode: str = "overwrite") -> None:
+    (csv_rows(entries).write.mode(mode)
+     .option("header", True).option("quote", '"').option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .csv(path))
+
+
+def pretty_block() -> Column:
+    """K5: the human-readable block of one entry (no terminal colours)."""
+    dc = F.coalesce(F.col("duplicate_count"), F.lit(0))
+    notif = F.col("log_source") == NOTIFICATION_LOG_SOURCE
+
+    def line(label: str, col: str, cond: Column | None = None) -> Column:
+        c = (F.col(col) != "") if cond is None else cond
+        return F.when(c, F.concat(F.lit(f"  {label}: "), F.col(col), F.lit("\n"))).otherwise(F.lit(""))
+
+    extras_lines = F.array_join(
+        F.transform(F.array_sort(F.map_entries("extras")),
+                    lambda e: F.concat(F.lit("  "), e["key"], F.lit(": "), e["value"], F.lit("\n"))),
+        "",
+    )
+    return F.concat(
+        F.date_format("wall_ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" ["), F.col("level"), F.lit("] "),
+        F.col("source"), F.lit(" → "), F.col("message"),
+        F.when(dc > 1, F.concat(F.lit(" (repeated "), dc.cast("string"), F.lit(" times)"))).otherwise(F.lit("")),
+        F.lit("\n"),
+        line("User", "user"),
+        line("Source", "source"),
+        line("Log Source", "log_source", notif),
+        line("Ack ID", "ack_id", notif & (F.col("ack_id") != "")),
+        line("Type", "type", notif & (F.col("type") != "")),
+        line("Status", "status", notif & (F.col("status") != "")),
+        extras_lines,
+        F.lit("-" * 80),
+    )
+
+
+def pretty_rows(entries: DataFrame) -> DataFrame:
+    return entries.select("*", pretty_block().alias("text"))
+
+
+def write_text(rows: DataFrame, column: str, path: str, mode: str = "overwrite") -> None:
+    """K4/K5: one text column to a text folder."""
+    rows.select(F.col(column).alias("value")).write.mode(mode).text(path)
