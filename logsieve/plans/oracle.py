@@ -271,16 +271,16 @@ trimmed AS (SELECT o.id, c.duplicate_count FROM counts c JOIN ordered o ON o.k =
 SQL["normalize"] = "SELECT doc_id, " + duck_norm("coalesce(text, '')") + " AS norm FROM documents"
 SQL["exact_collapse"] = "WITH " + nodes_sql(DOC_ENTRIES) + "\nSELECT id AS node_id, lvl, lsrc, weight FROM nodes"
 SQL["similar_pairs"] = "WITH " + edges_sql(DOC_ENTRIES) + "\nSELECT a AS a_id, b AS b_id FROM edges"
-SQL["trim"] = "WITH " + trim_sql(EVENT_ENTRIES) + """
+SQL["trim"] = "WITH RECURSIVE " + trim_sql(EVENT_ENTRIES) + """
 SELECT t.id AS event_id, ev.level, ev.source, ev.message, t.duplicate_count
 FROM trimmed t JOIN ev ON ev.event_id = t.id"""
-SQL["trim_documents"] = "WITH " + trim_sql(DOC_ENTRIES) + """
+SQL["trim_documents"] = "WITH RECURSIVE " + trim_sql(DOC_ENTRIES) + """
 SELECT t.id AS doc_id, coalesce(d.lang, '') AS level, coalesce(d.source, '') AS source, t.duplicate_count
 FROM trimmed t JOIN documents d ON d.doc_id = t.id"""
-SQL["trim_report"] = "WITH " + trim_sql(DOC_ENTRIES) + """
+SQL["trim_report"] = "WITH RECURSIVE " + trim_sql(DOC_ENTRIES) + """
 SELECT (SELECT count(*) FROM documents) AS original, (SELECT count(*) FROM trimmed) AS final,
        (SELECT count(*) FROM documents) - (SELECT count(*) FROM trimmed) AS removed"""
-SQL["dedup_summary"] = "WITH " + trim_sql(DOC_ENTRIES) + """
+SQL["dedup_summary"] = "WITH RECURSIVE " + trim_sql(DOC_ENTRIES) + """
 SELECT CAST(sum(CASE WHEN duplicate_count > 1 THEN duplicate_count ELSE 1 END) AS BIGINT) AS total,
   count(*) AS unique_rows,
   CAST(sum(greatest(duplicate_count, 1)) AS BIGINT) AS total_with_duplicates,
@@ -323,7 +323,7 @@ SELECT conv_id, count(*) AS entries, CAST(count(*) AS BIGINT) AS represented, fa
          string_agg(block, '' ORDER BY i), {NL}, {NL},
          'Please provide a detailed analysis of these logs.') AS prompt
 FROM b GROUP BY conv_id"""
-SQL["preview"] = "WITH " + trim_sql(DOC_ENTRIES) + """
+SQL["preview"] = "WITH RECURSIVE " + trim_sql(DOC_ENTRIES) + """
 SELECT t.id AS doc_id,
   concat(CASE WHEN length(coalesce(d.text, '')) > 80 THEN left(d.text, 77) || '...' ELSE coalesce(d.text, '') END,
          CASE WHEN t.duplicate_count > 1 THEN concat(' (×', t.duplicate_count, ')') ELSE '' END) AS preview
