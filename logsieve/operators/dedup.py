@@ -58,10 +58,11 @@ _GRAM = 6
 
 def entry_nodes(entries: DataFrame) -> DataFrame:
     """One row per (lower level, lower source, normalised message)."""
+    norm = F.col("norm") if "norm" in entries.columns else normalize(F.col("message"))
     keyed = entries.select(
         F.lower("level").alias("lvl"),
         F.lower("source").alias("lsrc"),
-        normalize(F.col("message")).alias("norm"),
+        norm.alias("norm"),
         F.col("ord"),
         F.struct(*[F.col(c) for c in ENTRY_COLUMNS]).alias("row"),
     )

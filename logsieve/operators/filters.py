@@ -36,12 +36,14 @@ def user_contains(user: str) -> Column:
 
 def not_before(start: str) -> Column:
     """ts >= start (inclusive)."""
-    return F.col("ts") >= F.lit(parse_bound(start)).cast("timestamp_ntz")
+    parse_bound(start)
+    return F.col("ts") >= F.lit(start).cast("timestamp_ntz")
 
 
 def not_after(end: str) -> Column:
     """ts <= end (inclusive)."""
-    return F.col("ts") <= F.lit(parse_bound(end)).cast("timestamp_ntz")
+    parse_bound(end)
+    return F.col("ts") <= F.lit(end).cast("timestamp_ntz")
 
 
 def search(term: str) -> Column:
@@ -121,4 +123,12 @@ def apply_filters(entries: DataFrame, **kwargs: str) -> DataFrame:
     if kwargs.get("regex"):
         validate_regex(entries.sparkSession, kwargs["regex"])
     pred = entry_filter(**kwargs)
-    return entries if pred is None else entries.where(pred)
+    if pred is None:
+        return entries
+    if "dt" in entries.columns:
+        # staged entries are partitioned by the UTC date of ts: prune partitions
+        if kwargs.get("start"):
+            pred = pred & (F.col("dt") >= F.to_date(F.lit(kwargs["start"]).cast("timestamp_ntz")))
+        if kwargs.get("end"):
+            pred = pred & (F.col("dt") <= F.to_date(F.lit(kwargs["end"]).cast("timestamp_ntz")))
+    return entries.where(pred)

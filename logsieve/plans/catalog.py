@@ -13,6 +13,7 @@ from ..functions.text import extras_text
 from ..operators import filters as flt
 from ..operators import stats as st
 from ..sources import tables as tb
+from ..sources.staging import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,8 +32,13 @@ FILTER_ALL = dict(level="click", user="u1", start="2024-01-03 00:00:00.000",
 BROWSE_TERM = "VIEW"
 
 
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered event lines, parsed once per session and staged as Parquet."""
+    return stage(spark, "event_parsed", sf_dir, lambda: tb.event_parsed(spark, sf_dir))
+
+
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tb.event_entries(spark, sf_dir)
+    return _parsed(spark, sf_dir).where(F.col("parse_error").isNull()).drop("parse_error", "value")
 
 
 def _entry_rows(df: DataFrame) -> DataFrame:
@@ -52,7 +58,7 @@ def q_parse_timestamps(spark, sf_dir):
 
 
 def q_rejects(spark, sf_dir):
-    parsed = tb.event_parsed(spark, sf_dir)
+    parsed = _parsed(spark, sf_dir)
     return parsed.where(F.col("parse_error").isNotNull()).select(
         "line_id", F.col("parse_error").alias("reason"), "line_format"
     )
@@ -228,7 +234,14 @@ QUERIES: dict[str, Query] = {
 # --- near-duplicate trimming ---------------------------------------------------
 
 def _docs(spark, sf_dir):
-    return tb.document_entries(spark, sf_dir)
+    """Document entries with their normalised message, staged once per session."""
+    from ..functions.similarity import normalize
+
+    return stage(
+        spark, "document_entries", sf_dir,
+        lambda: tb.spread(tb.document_entries(spark, sf_dir)).withColumn("norm", normalize(F.col("message"))),
+        date_col=None,
+    )
 
 
 def q_normalize(spark, sf_dir):
