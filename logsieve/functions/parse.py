@@ -23,7 +23,7 @@ from ..schema import (
     REJECT_TOO_LONG,
 )
 from .text import go_trim, pinned
-from .timestamps import parse_timestamp
+from .timestamps import timestamp_from_parts, timestamp_parts
 
 # Key of the map appended after the object: only present at index 1 when the
 # parser consumed exactly one object and nothing but white space after it.
@@ -66,15 +66,23 @@ def _last_value(body: Column, key: str) -> Column:
     return F.try_element_at(vals, F.lit(-1))
 
 
-def _plain_fields(body: Column) -> dict[str, Column]:
-    """P3-P4 without per-element lambdas: regex extraction and array built-ins
-    (all code-generated); only a line with a repeated key takes the slower
-    last-wins branch."""
-    kv_at = F.regexp_instr(body, F.lit(_KV_WORD))
+def _plain_arrays(body: Column) -> dict[str, Column]:
+    """Regex extractions of P3-P4, pinned once per row."""
+    return {
+        "kv_at": F.regexp_instr(body, F.lit(_KV_WORD)),
+        "keys": F.regexp_extract_all(body, F.lit(_EXTRA_KV), 1),
+        "values": F.regexp_extract_all(body, F.lit(_EXTRA_KV), 2),
+        "caller": _last_value(body, "caller"),
+        "user": _last_value(body, "user_id"),
+    }
+
+
+def _plain_fields(body: Column, arr: Column) -> dict[str, Column]:
+    """P3-P4 from the pinned extractions (``arr`` = struct of ``_plain_arrays``);
+    only a line with a repeated key takes the slower last-wins branch."""
+    kv_at, keys, values = arr["kv_at"], arr["keys"], arr["values"]
     head = F.when(kv_at > 0, F.substring(body, F.lit(1), kv_at - 1)).otherwise(body)
     message = F.array_join(F.array_remove(F.split(head, f"{GO_SPACE}+"), ""), " ")
-    keys = F.regexp_extract_all(body, F.lit(_EXTRA_KV), 1)
-    values = F.regexp_extract_all(body, F.lit(_EXTRA_KV), 2)
     last_first = F.array_distinct(F.reverse(keys))
     deduped = F.map_from_arrays(
         last_first,
@@ -84,11 +92,10 @@ def _plain_fields(body: Column) -> dict[str, Column]:
         ),
     )
     extras = F.when(F.size(last_first) == F.size(keys), F.map_from_arrays(keys, values)).otherwise(deduped)
-    caller = _last_value(body, "caller")
     return {
         "message": message,
-        "source": F.coalesce(F.regexp_replace(caller, '^"+|"+$', ""), F.lit("")),
-        "user": F.coalesce(_last_value(body, "user_id"), F.lit("")),
+        "source": F.coalesce(F.regexp_replace(arr["caller"], '^"+|"+$', ""), F.lit("")),
+        "user": F.coalesce(arr["user"], F.lit("")),
         "extras": extras,
     }
 
@@ -120,6 +127,14 @@ def json_array(value: Column) -> Column:
     )
 
 
+def _exact_keys(arr: Column) -> Column:
+    """True when every typed key present is spelled exactly (the fast path)."""
+    joined = F.array_join(F.map_keys(F.try_element_at(arr, F.lit(1))), _KEY_SEP)
+    return F.regexp_count(joined, F.lit(_TYPED_EXACT_RE)) == F.regexp_count(
+        F.lower(joined), F.lit(_TYPED_LOWER_RE)
+    )
+
+
 def _json(value: Column, arr: Column) -> dict[str, Column]:
     """One JSON object per line, strict syntax, typed keys must be strings.
 
@@ -135,10 +150,7 @@ def _json(value: Column, arr: Column) -> dict[str, Column]:
     )
     obj = F.try_element_at(arr, F.lit(1))
     keys = F.map_keys(obj)
-    joined = F.array_join(keys, _KEY_SEP)
-    exact = F.regexp_count(joined, F.lit(_TYPED_EXACT_RE)) == F.regexp_count(
-        F.lower(joined), F.lit(_TYPED_LOWER_RE)
-    )
+    exact = F.col("_exact")
     entries = F.map_entries(obj)
 
     def typed(name: str) -> Column:
@@ -186,7 +198,10 @@ def _json(value: Column, arr: Column) -> dict[str, Column]:
 
 
 def parse_lines(df: DataFrame, value_col: str = "value") -> DataFrame:
-    """Add entry columns and ``parse_error`` to a frame of raw lines."""
+    """Add entry columns and ``parse_error`` to a frame of raw lines.
+
+    Stages are pinned so every regex / JSON parse runs once per row: values
+    used inside CASE branches are not shared by subexpression elimination."""
     value = F.col(value_col)
     base = df.columns
     staged = pinned(
@@ -194,39 +209,38 @@ def parse_lines(df: DataFrame, value_col: str = "value") -> DataFrame:
         _too_long=F.octet_length(value) >= MAX_LINE_BYTES,
         _is_json=value.startswith("{") | value.rlike(f"^{GO_SPACE}+\\{{"),
     )
+    json_line = ~F.col("_too_long") & F.col("_is_json")
+    plain_line = ~F.col("_too_long") & ~F.col("_is_json")
+    p = _plain(value)
+    staged = pinned(
+        staged,
+        _arr=F.when(json_line, json_array(value)),
+        _p=F.when(plain_line, F.struct(*[c.alias(k) for k, c in p.items()])),
+    )
+    pa = _plain_arrays(F.col("_p.body"))
     staged = pinned(
-        staged, _arr=F.when(~F.col("_too_long") & F.col("_is_json"), json_array(value))
+        staged,
+        _exact=F.when(json_line, _exact_keys(F.col("_arr"))),
+        _pa=F.when(F.col("_p.ok"), F.struct(*[c.alias(k) for k, c in pa.items()])),
     )
     j = _json(value, F.col("_arr"))
-    p = _plain(value)
     json_fields = ("level", "message", "source", "user", "log_source", "ack_id", "type", "status")
+    pf = _plain_fields(F.col("_p.body"), F.col("_pa"))
     staged = pinned(
         staged,
         _j=F.when(
-            ~F.col("_too_long") & F.col("_is_json"),
+            json_line,
             F.struct(
                 j["ok"].alias("ok"), j["bad_type"].alias("bad_type"),
-                j["raw_ts"].alias("raw_ts"),
                 *[j[k].alias(k) for k in json_fields],
                 j["extras"].alias("extras"),
             ),
         ),
-        _p=F.when(
-            ~F.col("_too_long") & ~F.col("_is_json"),
-            F.struct(p["ok"].alias("ok"), p["level"].alias("level"),
-                     p["raw_ts"].alias("raw_ts"), p["body"].alias("body")),
-        ),
-    )
-    pf = _plain_fields(F.col("_p.body"))
-    staged = pinned(
-        staged,
-        _pf=F.when(
-            F.col("_p.ok"),
-            F.struct(*[c.alias(k) for k, c in pf.items()]),
-        ),
-        _t=F.when(F.col("_is_json"), parse_timestamp(F.col("_j.raw_ts"), trim=True))
-        .when(F.col("_p.ok"), parse_timestamp(F.col("_p.raw_ts"))),
+        _pf=F.when(F.col("_p.ok"), F.struct(*[c.alias(k) for k, c in pf.items()])),
+        _tsp=F.when(json_line, timestamp_parts(j["raw_ts"], trim=True))
+        .when(F.col("_p.ok"), timestamp_parts(F.col("_p.raw_ts"))),
     )
+    staged = pinned(staged, _t=timestamp_from_parts(F.col("_tsp")))
     err = (
         F.when(F.col("_too_long"), F.lit(REJECT_TOO_LONG))
         .when(F.col("_is_json") & ~F.col("_j.ok"), F.lit(REJECT_JSON))

@@ -37,10 +37,18 @@ TIMESTAMP_SHAPES = (
 _CANONICAL = "$1$5$8$11$14|$2$6$9$12$15|$3$7$10$13$16|$4$17"
 
 
-def parse_timestamp(raw: Column, trim: bool = False) -> Column:
+def timestamp_parts(raw: Column, trim: bool = False) -> Column:
+    """``[date, time, fraction, offset]`` of an accepted shape, else null.
+    Computed once per row (pin it) and turned into values by
+    ``timestamp_from_parts``."""
     s = go_trim(raw) if trim else raw
     canonical = F.regexp_replace(s, TIMESTAMP_SHAPES, _CANONICAL)
-    parts = F.split(canonical, r"\|", 4)
+    # the shapes never contain '|', so an unchanged string did not match
+    return F.when(canonical != s, F.split(canonical, r"\|", 4))
+
+
+def timestamp_from_parts(parts: Column) -> Column:
+    """struct<ts (UTC instant), wall_ts, tz_offset> from ``timestamp_parts``."""
     date = F.translate(F.try_element_at(parts, F.lit(1)), "/", "-")
     frac = F.substring(F.try_element_at(parts, F.lit(3)), 1, 6)  # microseconds
     written = F.try_element_at(parts, F.lit(4))
@@ -49,8 +57,7 @@ def parse_timestamp(raw: Column, trim: bool = False) -> Column:
         date, F.lit(" "), F.try_element_at(parts, F.lit(2)),
         F.when(frac != "", F.concat(F.lit("."), frac)).otherwise(F.lit("")),
     )
-    # the shapes never contain '|', so an unchanged string did not match
-    wall = F.when(canonical != s, wall_str.try_cast("timestamp_ntz"))
+    wall = wall_str.try_cast("timestamp_ntz")
     sign = F.when(F.substring(offset, 1, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
     minutes = sign * (
         F.substring(offset, 2, 2).cast("int") * 60 + F.substring(offset, 5, 2).cast("int")
@@ -60,3 +67,8 @@ def parse_timestamp(raw: Column, trim: bool = False) -> Column:
         wall.isNotNull(),
         F.struct(ts.alias("ts"), wall.alias("wall_ts"), offset.alias("tz_offset")),
     )
+
+
+def parse_timestamp(raw: Column, trim: bool = False) -> Column:
+    """P7 as a single expression (convenient; pin ``timestamp_parts`` in hot paths)."""
+    return timestamp_from_parts(timestamp_parts(raw, trim))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parse import parse_lines
+from ..functions.text import pinned
 
 # Columns read from each table (the scans prune to these).
 EVENT_COLUMNS = ("event_id", "ts", "user_id", "event_type", "value", "props")
@@ -104,17 +105,13 @@ _BAD_LINE = """
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw lines ``(file_path, ord, line_id, value)`` rendered from ``events``."""
     ev = spread(table(spark, sf_dir, "events").select(*EVENT_COLUMNS))
-    staged = (
-        ev.selectExpr(*_RENDER)
-        .selectExpr(
-            "*",
-            "CASE WHEN off = '+02:00' THEN ms + INTERVAL 2 HOURS "
-            "WHEN off = '-05:30' THEN ms - INTERVAL '5:30' HOUR TO MINUTE "
-            "ELSE ms END AS wall",
-        )
-        .selectExpr("*", _TS_TEXT)
-        .selectExpr("*", _JSON_OBJECT)
-    )
+    # pinned stages: each rendered piece is computed once per row
+    staged = pinned(ev.selectExpr(*_RENDER), wall=F.expr(
+        "CASE WHEN off = '+02:00' THEN ms + INTERVAL 2 HOURS "
+        "WHEN off = '-05:30' THEN ms - INTERVAL '5:30' HOUR TO MINUTE "
+        "ELSE ms END"))
+    staged = pinned(staged, ts_text=F.expr(_TS_TEXT.replace("AS ts_text", "")))
+    staged = pinned(staged, obj=F.expr(_JSON_OBJECT.replace("AS obj", "")))
     lines = staged.selectExpr(
         "event_id",
         f"array(named_struct('kind', 0L, 'value', {_GOOD_LINE}),"
