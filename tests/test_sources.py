@@ -87,3 +87,19 @@ def test_support_packet(spark, three_files):
     with zipfile.ZipFile(empty, "w") as z:
         z.writestr("config.json", "{}")
     assert packet_entries(spark, empty).count() == 0
+
+
+def test_command_flow(spark, three_files):
+    from logsieve.plans.commands import file_entries, process
+
+    _, paths = three_files
+    e = file_entries(spark, paths)
+    lines = process(e, "analyze")
+    assert any(x.startswith("6 entries") for x in lines)
+    arr = process(e, "json")
+    assert arr.startswith("[") and '"message": "System started"' in arr
+    d = tempfile.mkdtemp(prefix="logsieve-cmd-")
+    process(e, "csv", path=os.path.join(d, "out"))
+    assert os.path.exists(os.path.join(d, "out", "_SUCCESS"))
+    trimmed = process(e, "analyze", trim=True, trim_json_path=os.path.join(d, "trim"))
+    assert any(x.startswith("6 entries") for x in trimmed)
