@@ -52,6 +52,8 @@ from ..session import ensure_checkpoint_dir
 # |words2|; a later message's prefix keeps tokens while the repeats from that
 # token on still exceed this share (0.38 leaves a margin for float rounding).
 _PREFIX_SHARE = 0.38
+# The same bound for a pair, a little below 16/41 = 0.3902 for float safety.
+_OVERLAP_SHARE = 0.39
 # Character-gram length for short-text containment.
 _GRAM = 6
 
@@ -110,12 +112,28 @@ def candidate_pairs(attrs: DataFrame, branches: bool = False):
     tail = Window.partitionBy("node").orderBy(F.desc("df"), F.desc("token")).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    prefix = ranked.withColumn("from_here", F.sum("mult").over(tail)).where(
-        F.col("from_here") > F.col("nwords") * F.lit(_PREFIX_SHARE)
-    ).select("node", "lvl", "bucket", "token")
-    jac = _near_buckets(prefix).alias("p").join(index.alias("i"), ["lvl", "bucket", "token"]).where(
-        F.col("i.node") < F.col("p.node")
-    ).select(F.col("i.node").alias("x"), F.col("p.node").alias("y"))
+    in_prefix = F.col("from_here") > F.col("nwords") * F.lit(_PREFIX_SHARE)
+    marked = ranked.withColumn("from_here", F.sum("mult").over(tail)).withColumn(
+        # repeats outside the prefix (the prefix is cut where they fall below the share)
+        "suffix_mass",
+        F.coalesce(F.max(F.when(~in_prefix, F.col("from_here"))).over(Window.partitionBy("node")), F.lit(0)),
+    )
+    prefix = marked.where(in_prefix).select("node", "lvl", "bucket", "token", "mult", "nwords", "suffix_mass")
+    sized_index = attrs.select(
+        "node", "lvl", "bucket", F.size("wset").alias("ndistinct"), F.explode("wset").alias("token")
+    )
+    # overlap upper bound: matched prefix repeats + every repeat outside the
+    # prefix; a Jaccard-path edge needs overlap >= 16/41 (|set a| + |words b|)
+    jac = (
+        _near_buckets(prefix).alias("p").join(sized_index.alias("i"), ["lvl", "bucket", "token"])
+        .where(F.col("i.node") < F.col("p.node"))
+        .groupBy(F.col("i.node").alias("x"), F.col("p.node").alias("y"))
+        .agg(F.sum("p.mult").alias("matched"), F.first("p.suffix_mass").alias("suffix_mass"),
+             F.first("p.nwords").alias("nwords"), F.first("i.ndistinct").alias("ndistinct"))
+        .where(F.col("matched") + F.col("suffix_mass")
+               >= F.lit(_OVERLAP_SHARE) * (F.col("ndistinct") + F.col("nwords")))
+        .select("x", "y")
+    )
 
     # rule 2, >= 3 words: the rarest inner word of the shorter text
     inner = attrs.where(F.col("nwords") >= 3).select(
