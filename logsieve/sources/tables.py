@@ -28,10 +28,12 @@ def spread(df: DataFrame) -> DataFrame:
     """Parsing is CPU-heavy per row: when a scan yields fewer splits than the
     cluster has cores (a small file, one row group), hash-spread the rows
     first. Large inputs already come in many splits and are left alone."""
-    sc = df.sparkSession.sparkContext
-    if df.rdd.getNumPartitions() < sc.defaultParallelism:
-        return df.repartition(sc.defaultParallelism)
-    return df
+    try:
+        sc = df.sparkSession.sparkContext
+        few = df.rdd.getNumPartitions() < sc.defaultParallelism
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session)
+        return df
+    return df.repartition(sc.defaultParallelism) if few else df
 
 
 # --- fixed values: how an event is written as a log line ---------------------

@@ -103,3 +103,18 @@ def test_command_flow(spark, three_files):
     assert os.path.exists(os.path.join(d, "out", "_SUCCESS"))
     trimmed = process(e, "analyze", trim=True, trim_json_path=os.path.join(d, "trim"))
     assert any(x.startswith("6 entries") for x in trimmed)
+
+
+def test_broken_member_is_skipped_whole(spark, three_files):
+    d, _ = three_files
+    p = os.path.join(d, "broken.zip")
+    with zipfile.ZipFile(p, "w", compression=zipfile.ZIP_STORED) as z:
+        z.writestr("a/logs/good.log", "\n".join(FILE1))
+        z.writestr("a/logs/bad.log", "\n".join(FILE2))
+    raw = bytearray(open(p, "rb").read())
+    marker = FILE2[1].encode()
+    at = raw.find(marker)
+    raw[at:at + 5] = b"XXXXX"  # breaks the member's CRC
+    open(p, "wb").write(bytes(raw))
+    rows = packet_entries(spark, p).orderBy("ord").collect()
+    assert [r.message for r in rows] == ["System started", "Connection failed"]
