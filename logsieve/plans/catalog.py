@@ -346,20 +346,9 @@ def q_preview(spark, sf_dir):
 
 
 def q_csv_rows(spark, sf_dir):
-    return _entries(spark, sf_dir).select("line_id", *_csv_columns())
+    from ..sinks import csv_columns
 
-
-def _csv_columns():
-    from ..schema import CSV_HEADER
-    from ..sinks import rfc3339
-
-    values = (
-        rfc3339(F.col("wall_ts"), F.col("tz_offset"), fraction=False),
-        F.col("level"), F.col("source"), F.col("message"), F.col("user"),
-        F.col("log_source"), F.col("ack_id"), F.col("type"), F.col("status"),
-        extras_text(F.col("extras")),
-    )
-    return [v.alias(h) for v, h in zip(values, CSV_HEADER)]
+    return _entries(spark, sf_dir).select("line_id", *csv_columns())
 
 
 def q_json_rows(spark, sf_dir):

@@ -76,15 +76,19 @@ def json_array(entries: DataFrame) -> str:
     return json.dumps([json.loads(r[0]) for r in rows], indent=2, ensure_ascii=False)
 
 
-def csv_rows(entries: DataFrame) -> DataFrame:
-    """K2: the ten export columns (no duplicate count)."""
+def csv_columns() -> list[Column]:
+    """K2: the ten export columns (no duplicate count), time in RFC 3339 seconds."""
     values = (
         rfc3339(F.col("wall_ts"), F.col("tz_offset"), fraction=False),
         F.col("level"), F.col("source"), F.col("message"), F.col("user"),
         F.col("log_source"), F.col("ack_id"), F.col("type"), F.col("status"),
         extras_text(F.col("extras")),
     )
-    return entries.select(*[v.alias(h) for v, h in zip(values, CSV_HEADER)])
+    return [v.alias(h) for v, h in zip(values, CSV_HEADER)]
+
+
+def csv_rows(entries: DataFrame) -> DataFrame:
+    return entries.select(*csv_columns())
 
 
 def write_csv(entries: DataFrame, path: str, mode: str = "overwrite") -> None:
