@@ -262,9 +262,10 @@ def greedy_leaders(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000)
             .checkpoint()
         )
         leader_sets.append(new_leaders)
-    leaders = leader_sets[0] if leader_sets else involved.limit(0)
-    for extra in leader_sets[1:]:
-        leaders = leaders.unionByName(extra)
+        if len(leader_sets) >= 16:
+            # keep the plan short on long chains: fold the rounds' leaders
+            leader_sets = [_union(leader_sets).checkpoint()]
+    leaders = _union(leader_sets) if leader_sets else involved.limit(0)
     # an absorbed node belongs to its smallest-order leader
     claims = edges.join(leaders.withColumnRenamed("node", "a"), "a", "left_semi").groupBy("b").agg(
         F.min("a").alias("leader")
@@ -280,6 +281,13 @@ def greedy_leaders(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000)
     )
 
 
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def trim(entries: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """The leader entries with ``duplicate_count`` = entries they stand for."""
     ensure_checkpoint_dir(entries.sparkSession)

@@ -83,3 +83,12 @@ def test_trim_matches_greedy_on_random_fixtures(spark):
         got = sorted((r.ord.p, r.duplicate_count) for r in trim(_entries(spark, rows)).collect())
         exp = sorted(G.greedy([(i, lvl, src, msg) for i, (lvl, src, msg) in enumerate(rows)]))
         assert got == exp, seed
+
+
+def test_long_chain_needs_many_rounds(spark):
+    letters = "ghijklmnopqrstuvwxyz"
+    vocab = [f"w{a}{b}" for a in letters for b in letters][:80]
+    rows = [("info", "svc/a.go:1", " ".join(vocab[i:i + 10])) for i in range(60)]
+    got = sorted((r.ord.p, r.duplicate_count) for r in trim(_entries(spark, rows)).collect())
+    exp = sorted(G.greedy([(i, lvl, src, msg) for i, (lvl, src, msg) in enumerate(rows)]))
+    assert got == exp and len(exp) == 30
