@@ -97,11 +97,8 @@ def candidate_pairs(attrs: DataFrame, branches: bool = False):
     """``(x, y)`` node pairs (unordered roles) that may be similar."""
     # token index: one row per distinct token of a node
     index = attrs.select("node", "lvl", "bucket", F.explode("wset").alias("token"))
-    # rule 1: equal messages with different sources
-    h = attrs.select("node", "lvl", "bucket", F.xxhash64("norm").alias("h"))
-    eq = h.alias("x").join(h.alias("y"), ["lvl", "bucket", "h"]).where(
-        F.col("x.node") < F.col("y.node")
-    ).select(F.col("x.node").alias("x"), F.col("y.node").alias("y"))
+    # rule 1: equal messages with different sources (see _equal_message_pairs)
+    eq = _equal_message_pairs(attrs)
 
     # rules 4-6: prefix tokens of the later message against the token index
     freq = index.groupBy("lvl", "token").agg(F.count(F.lit(1)).alias("df"))
@@ -165,6 +162,44 @@ def candidate_pairs(attrs: DataFrame, branches: bool = False):
     return eq.unionByName(jac).unionByName(cont).unionByName(tiny)
 
 
+def _equal_message_pairs(attrs: DataFrame) -> DataFrame:
+    """Rule-1 candidates: same level and normalised message, different
+    (lower-cased) sources that can pass D5.
+
+    D5 needs both sources non-empty and ``1 - lev/M > 0.7``, i.e. at most
+    0.3 M byte edits. Such strings share at least ``M - 1 - 2 * edits >=
+    0.4 M - 1`` byte bigrams (counted with repeats), so with each bigram
+    occurrence as a token and a global rarity order, two matching sources share
+    a token inside both of their prefixes of ``n - ceil(0.4 len - 1) + 1``
+    tokens (Sarawagi & Kirpal's prefix filter). Sources of fewer than 3 bytes
+    can only pass by being equal, which the exact collapse already merged.
+    The join key holds the message hash, so no message group emits all of its
+    source pairs."""
+    h = attrs.select("node", "lvl", "bucket", F.xxhash64("norm").alias("h"), bytes_text(F.col("lsrc")).alias("s8"))
+    shared = h.groupBy("lvl", "bucket", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    cand = h.join(shared.drop("n"), ["lvl", "bucket", "h"], "left_semi").where(F.length("s8") >= 3)
+    pinned_grams = pinned(cand, _grams=F.transform(
+        F.sequence(F.lit(1), F.length("s8") - 1), lambda i: F.substring("s8", i, 2)
+    ))
+    occ = pinned_grams.select("node", "lvl", "bucket", "h", F.length("s8").alias("slen"),
+                              F.posexplode("_grams").alias("pos", "gram"))
+    nth = Window.partitionBy("node", "gram").orderBy("pos")
+    tokens = occ.withColumn("token", F.concat(F.col("gram"), F.lit("#"), F.row_number().over(nth).cast("string")))
+    df = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    rare_first = Window.partitionBy("node").orderBy("df", "token")
+    need = F.ceil(F.col("slen") * F.lit(0.4) - F.lit(1.0) - F.lit(1e-9))
+    prefix = (
+        tokens.join(df, "token").withColumn("r", F.row_number().over(rare_first))
+        .where(F.col("r") <= (F.col("slen") - 1) - need + 1)
+        .select("node", "lvl", "bucket", "h", "token")
+    )
+    return (
+        prefix.alias("x").join(prefix.alias("y"), ["lvl", "bucket", "h", "token"])
+        .where(F.col("x.node") < F.col("y.node"))
+        .select(F.col("x.node").alias("x"), F.col("y.node").alias("y"))
+    )
+
+
 def _window_grams(attrs: DataFrame) -> DataFrame:
     """Grams of texts that a <= 2-word text longer than half of them can sit
     in: texts whose longest 1-2-word window exceeds half their length."""

@@ -92,3 +92,15 @@ def test_long_chain_needs_many_rounds(spark):
     got = sorted((r.ord.p, r.duplicate_count) for r in trim(_entries(spark, rows)).collect())
     exp = sorted(G.greedy([(i, lvl, src, msg) for i, (lvl, src, msg) in enumerate(rows)]))
     assert got == exp and len(exp) == 30
+
+
+def test_equal_messages_across_many_sources(spark):
+    rnd = random.Random(7)
+    stems = ["api/users.go", "api/user.go", "app/login.go", "db/conn.go", "x", "ab", "abc", "abcd"]
+    rows = []
+    for i in range(120):
+        src = rnd.choice(stems) + (f":{rnd.randint(1, 30)}" if rnd.random() < 0.8 else "")
+        rows.append(("warn", src, rnd.choice(["cache miss", "cache miss for key", "db timeout"])))
+    got = sorted((r.ord.p, r.duplicate_count) for r in trim(_entries(spark, rows)).collect())
+    exp = sorted(G.greedy([(i, lvl, src, msg) for i, (lvl, src, msg) in enumerate(rows)]))
+    assert got == exp
