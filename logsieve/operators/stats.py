@@ -289,7 +289,20 @@ def stat_items(entries: DataFrame, weighted: bool = True) -> DataFrame:
     )
 
 
-def ranked(stat_counts: DataFrame) -> DataFrame:
-    """Rank items inside each statistic (count desc, item asc)."""
+# Statistics kept as top-10 lists (their item count grows with the data);
+# the level, time-bucket and bucket-by-level statistics are bounded and kept whole.
+LIST_STATS = ("source", "user", "error", "pattern", "notif_type", "notif_status")
+
+
+def ranked(stat_counts: DataFrame, top: int = 10) -> DataFrame:
+    """Rank items inside each statistic (count desc, item asc).
+
+    List statistics keep their ``top`` items: the ``rank <= top`` filter lets
+    Spark cut each statistic to ``top`` rows per partition before the shuffle
+    (WindowGroupLimit), so a statistic with millions of distinct items never
+    lands whole in one task."""
     w = Window.partitionBy("stat").orderBy(F.desc("count"), F.asc("item"))
-    return stat_counts.withColumn("rank", F.row_number().over(w))
+    is_list = F.col("stat").isin(*LIST_STATS)
+    lists = stat_counts.where(is_list).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    whole = stat_counts.where(~is_list).withColumn("rank", F.row_number().over(w))
+    return lists.unionByName(whole)

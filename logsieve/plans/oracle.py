@@ -182,8 +182,10 @@ _STAT_ITEMS = f"""
   UNION ALL SELECT 'notif_type', type, w FROM ev WHERE log_source = 'notifications' AND type <> ''
   UNION ALL SELECT 'notif_status', status, w FROM ev WHERE log_source = 'notifications' AND status <> ''
 ), c AS (SELECT stat, item, CAST(sum(w) AS BIGINT) AS count FROM items GROUP BY 1, 2)
-SELECT stat, item, count, CAST(row_number() OVER (PARTITION BY stat ORDER BY count DESC, item) AS INTEGER) AS rank
-FROM c"""
+, r AS (SELECT stat, item, count,
+  CAST(row_number() OVER (PARTITION BY stat ORDER BY count DESC, item) AS INTEGER) AS rank FROM c)
+SELECT * FROM r
+WHERE stat NOT IN ('source', 'user', 'error', 'pattern', 'notif_type', 'notif_status') OR rank <= 10"""
 
 SQL["report_stats"] = _with(_STAT_ITEMS)
 

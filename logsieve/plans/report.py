@@ -52,9 +52,7 @@ def analysis_report(entries: DataFrame, weighted: bool = True, verbose: bool = F
     counts: dict[str, list[tuple[str, int]]] = defaultdict(list)
     # only what the text shows reaches the driver: every level, the 24/7/12
     # time buckets, and the top 10 of each list statistic
-    shown = st.ranked(st.stat_items(entries, weighted)).where(
-        F.col("stat").isin("level", "hour", "weekday", "month") | (F.col("rank") <= 10)
-    ).where(~F.col("stat").endswith("_level"))
+    shown = st.ranked(st.stat_items(entries, weighted)).where(~F.col("stat").endswith("_level"))
     for r in shown.orderBy("stat", "rank").collect():
         counts[r["stat"]].append((r["item"], int(r["count"])))
 
