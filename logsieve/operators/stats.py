@@ -301,6 +301,12 @@ def ranked(stat_counts: DataFrame, top: int = 10) -> DataFrame:
     Spark cut each statistic to ``top`` rows per partition before the shuffle
     (WindowGroupLimit), so a statistic with millions of distinct items never
     lands whole in one task."""
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(stat_counts.sparkSession)
+    # one aggregation feeds both ranking branches (reliable checkpoint of the
+    # counts, whose size is the number of distinct items, not of entries)
+    stat_counts = stat_counts.checkpoint()
     w = Window.partitionBy("stat").orderBy(F.desc("count"), F.asc("item"))
     is_list = F.col("stat").isin(*LIST_STATS)
     lists = stat_counts.where(is_list).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
