@@ -77,9 +77,9 @@ LABELLED_URLS = (
 )
 BUCKETS = 4096
 GRAMS = (3, 4)
-EPOCHS = 120
-RATE = 2.0
-L2 = 0.01
+EPOCHS = 200
+RATE = 10.0
+L2 = 0.001
 
 _SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
