@@ -1,3 +1,28 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-SQL: dict[str, str] = {}
+# Words of decontamination: runs of letters, digits and non-ASCII characters.
+_WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+DECONTAMINATE = rf"""
+WITH items AS (
+  SELECT item_id, text, ws, least(5, len(ws)) AS k
+  FROM (SELECT DISTINCT item_id, text, regexp_extract_all(lower(text), '{_WORDS}') AS ws FROM benchmark)
+  WHERE len(ws) > 0),
+item_grams AS (
+  SELECT DISTINCT item_id, text, k, array_to_string(ws[i:i + k - 1], ' ') AS gram
+  FROM (SELECT *, unnest(range(1, len(ws) - k + 2)) AS i FROM items)),
+item_sizes AS (SELECT item_id, text, count(*) AS n_shingles FROM item_grams GROUP BY ALL),
+docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(text), '{_WORDS}') AS ws
+         FROM documents),
+doc_grams AS (
+  SELECT DISTINCT r, doc_id, k, array_to_string(ws[i:i + k - 1], ' ') AS gram
+  FROM (SELECT r, doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i
+        FROM docs, (SELECT DISTINCT k FROM items)))
+SELECT doc_id, item_id, n_shingles::INT AS n_shingles, count(*)::INT AS n_found,
+       count(*)::DOUBLE / n_shingles AS containment
+FROM doc_grams JOIN item_grams USING (k, gram) JOIN item_sizes USING (item_id, text)
+GROUP BY r, doc_id, item_id, text, n_shingles
+HAVING count(*) >= 0.8::DOUBLE * n_shingles
+"""
+
+SQL: dict[str, str] = {"op6_decontaminate": DECONTAMINATE}
