@@ -25,4 +25,37 @@ GROUP BY r, doc_id, item_id, text, n_shingles
 HAVING count(*) >= 0.8::DOUBLE * n_shingles
 """
 
-SQL: dict[str, str] = {"op6_decontaminate": DECONTAMINATE}
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+grams AS (
+  SELECT r, doc_id, CASE WHEN len(ws) < 5 THEN ws ELSE ws[i:i + 4] END AS g
+  FROM (SELECT *, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM words WHERE len(ws) > 0)),
+counted AS (SELECT r, doc_id, g, count(*) AS c FROM grams GROUP BY ALL),
+bag AS (
+  SELECT r, doc_id, sum(c) AS size, md5(string_agg(array_to_string(g, ' ') || ':' || c, chr(10) ORDER BY g)) AS b
+  FROM counted GROUP BY r, doc_id),
+reps AS (SELECT b, any_value(size) AS size, min(doc_id) AS rep, min(r) AS r FROM bag GROUP BY b),
+items AS (SELECT reps.rep, reps.size, counted.g, counted.c FROM reps JOIN counted USING (r)),
+common AS (
+  SELECT x.rep AS u, y.rep AS v, x.size AS su, y.size AS sv, sum(least(x.c, y.c)) AS n_common
+  FROM items x JOIN items y ON x.g = y.g AND x.rep < y.rep
+   AND least(x.size, y.size) >= 0.8::DOUBLE * greatest(x.size, y.size)
+  GROUP BY ALL),
+link AS (
+  SELECT u, v FROM common WHERE n_common >= 0.8::DOUBLE * (su + sv - n_common)
+  UNION ALL SELECT v, u FROM common WHERE n_common >= 0.8::DOUBLE * (su + sv - n_common)),
+reach AS (SELECT rep AS node, rep AS root FROM reps
+          UNION SELECT link.v, reach.root FROM reach JOIN link ON link.u = reach.node),
+roots AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
+SELECT bag.doc_id, roots.root AS class_id, reps.rep AS bag_id, bag.size::BIGINT AS n_shingles
+FROM bag JOIN reps USING (b) JOIN roots ON roots.node = reps.rep
+UNION ALL
+SELECT doc_id, doc_id, doc_id, 0::BIGINT FROM words WHERE len(ws) = 0
+"""
+
+SQL: dict[str, str] = {
+    "op5_near_duplicates": NEAR_DUPLICATES,
+    "op6_decontaminate": DECONTAMINATE,
+}
