@@ -55,7 +55,31 @@ UNION ALL
 SELECT doc_id, doc_id, doc_id, 0::BIGINT FROM words WHERE len(ws) = 0
 """
 
+REPEATED_BYTES = """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+wins AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s
+         FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM docs WHERE len(h) >= 100)),
+least_doc AS (SELECT s, min(doc_id) AS m FROM wins GROUP BY s),
+hit AS (SELECT doc_id, i FROM wins JOIN least_doc USING (s) WHERE doc_id > m),
+marked AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh
+           FROM hit),
+runs AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM marked),
+spans AS (SELECT doc_id, min(i) AS lo, max(i) + 50 AS hi FROM runs GROUP BY doc_id, r),
+pieces AS (
+  SELECT doc_id, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS a, lo AS b FROM spans
+  UNION ALL SELECT doc_id, max(hi), NULL FROM spans GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(CASE WHEN b IS NULL THEN substr(h, 2 * a + 1) ELSE substr(h, 2 * a + 1, 2 * (b - a)) END, ''
+                            ORDER BY a) AS k
+  FROM pieces JOIN docs USING (doc_id) GROUP BY doc_id),
+lost AS (SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM docs LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 SQL: dict[str, str] = {
+    "op4_repeated_bytes": REPEATED_BYTES,
     "op5_near_duplicates": NEAR_DUPLICATES,
     "op6_decontaminate": DECONTAMINATE,
 }

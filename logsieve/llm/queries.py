@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, decontaminate, mixing, urls
+from . import bagminhash, bwt_dedup, decontaminate, mixing, urls
 from .common import table
 
 
+def op4_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("removed")
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -28,6 +32,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_repeated_bytes": op4_repeated_bytes,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_decontaminate": op6_decontaminate,
     "op7_mix_sources": op7_mix_sources,
