@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, bwt_dedup, decontaminate, mixing, urls
+from . import bagminhash, bwt_dedup, decontaminate, langid, mixing, urls
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
     return judged.select("page_id", "host", "path", "rule", "score", "verdict")
@@ -36,5 +40,6 @@ QUERIES = {
     "op5_near_duplicates": op5_near_duplicates,
     "op6_decontaminate": op6_decontaminate,
     "op7_mix_sources": op7_mix_sources,
+    "op9_language_id": op9_language_id,
     "op10_url_filter": op10_url_filter,
 }
