@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, bwt_dedup, decontaminate, langid, mixing, toxicity, urls
+from . import bagminhash, bwt_dedup, decontaminate, langid, line_crf, mixing, toxicity, urls
 from .common import table
 
 
+def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_crf.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt_dedup.repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("removed")
 
@@ -40,6 +44,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_line_quality": op2_line_quality,
     "op4_repeated_bytes": op4_repeated_bytes,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_decontaminate": op6_decontaminate,

@@ -64,20 +64,25 @@ def word_hashes(texts: list[bytes], separators: np.ndarray) -> tuple[np.ndarray,
     return mixed(words), first
 
 
+def windows(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, number of its first word, number of the text) of every run of k
+    words within a text."""
+    n = len(words)
+    if n < k:
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    text_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    at = np.flatnonzero(text_of[:n - k + 1] == text_of[k - 1:])
+    total = np.zeros(n - k + 1, dtype=np.uint64)
+    for j in range(k):
+        total = mixed(total + words[j:n - k + 1 + j] + np.uint64(j + 1))
+    return total[at], at, text_of[at]
+
+
 def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int = SHINGLE,
                    short: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(hash, number of the text) of every run of k words within a text. With
     ``short`` a text of 1 to k-1 words has one shingle, all its words."""
-    n = len(words)
-    text_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    if n >= k:
-        total = np.zeros(n - k + 1, dtype=np.uint64)
-        for j in range(k):
-            total = mixed(total + words[j:n - k + 1 + j] + np.uint64(j + 1))
-        whole = text_of[:n - k + 1] == text_of[k - 1:]
-        out, of = total[whole], text_of[:n - k + 1][whole]
-    else:
-        out, of = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+    out, _, of = windows(words, first, k)
     if short:
         sizes = np.diff(first)
         lone = np.flatnonzero((sizes > 0) & (sizes < k))
