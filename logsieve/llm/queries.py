@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, bwt_dedup, decontaminate, langid, line_crf, mixing, toxicity, urls
+from . import bagminhash, bwt_dedup, decontaminate, langid, line_crf, mixing, pii, toxicity, urls
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op4_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt_dedup.repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("removed")
 
@@ -45,6 +49,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_line_quality": op2_line_quality,
+    "op3_personal_data": op3_personal_data,
     "op4_repeated_bytes": op4_repeated_bytes,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_decontaminate": op6_decontaminate,
