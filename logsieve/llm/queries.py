@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, bwt_dedup, decontaminate, langid, line_crf, mixing, pii, toxicity, urls
+from . import bagminhash, bwt_dedup, decontaminate, html_mincut, langid, line_crf, mixing, pii, toxicity, urls
 from .common import table
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_mincut.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,6 +52,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_main_text": op1_main_text,
     "op2_line_quality": op2_line_quality,
     "op3_personal_data": op3_personal_data,
     "op4_repeated_bytes": op4_repeated_bytes,
