@@ -24,57 +24,34 @@ RULES = (
     ("allow", "com/fr/"), ("block", "com/de/"),
 )
 
-# Default training table: 1 = keep, 0 = leave out.
-LABELLED_URLS = (
-    ("https://news.riverside.example/2021/04/city-council-votes", 1),
-    ("https://www.gardening.example/articles/pruning-roses", 1),
-    ("https://blog.hillwalker.example/en/a-week-in-the-mountains", 1),
-    ("https://docs.toolkit.example/manual/install.html", 1),
-    ("https://en.openlexicon.example/wiki/Photosynthesis", 1),
-    ("https://physics.university.example/lectures/waves", 1),
-    ("https://recipes.kitchen.example/soup/lentil", 1),
-    ("https://m.dailypaper.example/en/science/812", 1),
-    ("https://history.museum.example/exhibits/bronze-age", 1),
-    ("https://journal.medicine.example/papers/2019/112", 1),
-    ("https://library.school.example/books/review/57", 1),
-    ("https://www.travelnotes.example/fr/guide/lyon", 1),
-    ("https://blog.bookclub.example/es/resena/34", 1),
-    ("https://forum.woodwork.example/en/thread/joinery-basics", 1),
-    ("https://weather.station.example/reports/march.html", 1),
-    ("https://www.townhall.example/de/nachrichten/17", 1),
-    ("https://essays.writer.example/en/on-walking/", 1),
-    ("https://archive.paper.example/story/98", 1),
-    ("https://m.chess.example/en/lessons/endgames", 1),
-    ("https://www.birds.example/species/heron", 1),
-    ("https://tutorials.code.example/python/lists", 1),
-    ("https://blog.cyclist.example/en/257", 1),
-    ("https://stories.children.example/en/the-fox", 1),
-    ("https://www.localnews.example/en/402.html", 1),
-    ("https://casino-bonus.example/free-spins/win", 0),
-    ("https://ads.tracker.example/click?id=9", 0),
-    ("https://www.cheap-pills.example/buy-viagra-online", 0),
-    ("https://shop.deals.example/cart/checkout", 0),
-    ("https://login.portal.example/signin", 0),
-    ("https://xxx-videos.example/porn/free", 0),
-    ("https://cdn.static.example/assets/banner.gif", 0),
-    ("https://poker.casino.example/jackpot", 0),
-    ("https://www.loans-fast.example/apply-now/credit", 0),
-    ("https://track.pixel.example/beacon.gif", 0),
-    ("https://account.site.example/user/login/reset", 0),
-    ("https://adult.dating.example/hot-singles", 0),
-    ("https://www.replica-watch.example/cheap/rolex", 0),
-    ("https://download.warez.example/crack/keygen.exe", 0),
-    ("https://popup.adserver.example/banner/click", 0),
-    ("https://www.betting.example/slots/casino-bonus", 0),
-    ("https://shop.outlet.example/add-to-cart/item77", 0),
-    ("https://feeds.spam.example/seo/backlinks/cheap", 0),
-    ("https://search.index.example/tag/page/9999", 0),
-    ("https://www.escort.example/xxx/adult", 0),
-    ("https://torrent.files.example/download/movie.torrent", 0),
-    ("https://pharmacy-pills.example/viagra/cialis", 0),
-    ("https://register.club.example/signup/login", 0),
-    ("https://coupon.codes.example/deals/buy-now", 0),
+# Default training table: a site name and whether its pages are worth keeping (1)
+# or not (0). Each name is written with several sub-domains, endings and paths,
+# the same ones for either label, so that only names can tell them apart.
+GOOD_SITES = (
+    "riverside-news", "gardening", "hillwalker", "toolkit-docs", "openlexicon", "physics-notes", "village-kitchen",
+    "dailypaper", "bronze-museum", "medicine-journal", "schoolbooks", "travelnotes", "bookclub", "woodwork",
+    "weather-station", "townhall", "essays", "chess-lessons", "songbirds", "python-course", "cyclist", "foxtales",
+    "the-library", "history-of-art", "university", "thenora", "anerthe", "lamere", "verein", "cionado", "thonest",
+    "theander",
 )
+BAD_SITES = (
+    "casino-bonus", "ads-server", "adserver", "ad-track", "web-tracker", "spam-links", "spamfarm", "link-farm",
+    "cheap-meds", "pills-online", "adult-videos", "xxx-tube", "free-spins", "bets-online", "sports-betting", "bet-win",
+    "porn-cams", "poker-win", "win-prizes", "fast-loans", "click-farm", "pop-ads", "cheap-watches", "cheap-pharma",
+    "adult-dating", "warez-crack", "free-keygen", "payday-cash", "seo-spam", "casino-slots", "free-bets", "track-clicks",
+)
+_SUBS = ("", "www.", "blog.", "m.")
+_ENDS = ("com", "org", "net")
+_PATHS = ("/en/12", "/fr/7.html", "/de/345/", "/es/81?page=2&ref=x", "/en/9#top", "/news/2021/04", "/")
+
+
+def site_urls(sites, label: int, each: int = 2) -> list[tuple[str, int]]:
+    """``each`` urls of every site, going round the sub-domains, endings, paths."""
+    return [(f"https://{_SUBS[k % 4]}{site}.example.{_ENDS[k % 3]}{_PATHS[k % 7]}", label)
+            for i, site in enumerate(sites) for k in (i + 5 * j for j in range(each))]
+
+
+LABELLED_URLS = (*site_urls(GOOD_SITES, 1), *site_urls(BAD_SITES, 0))
 BUCKETS = 4096
 GRAMS = (3, 4)
 EPOCHS = 200
