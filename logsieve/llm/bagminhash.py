@@ -13,12 +13,15 @@
    Points are drawn in order of time and only until every place is taken, about
    m log m points a document.
 3. *Bands* of the signature give buckets. Within a bucket every member meets the
-   bucket's least member, a star, not all pairs; a second round repeats that per
-   bucket for members in other components, around another member. What is then
-   still apart in a bucket of at most ``SMALL`` members is paired directly (a
-   bounded number of partners a row); larger buckets are cut into blocks of
-   ``SMALL`` members, and pairs of blocks are compared inside a task that returns
-   only links. No candidate of a bucket is left out.
+   least member, the hub: a star, not all pairs, and gets its exact similarity to
+   it. Members that are in one component after that need no more comparison. In
+   the buckets that still hold several components two members x and y can only be
+   near when their distances to the hub differ by at most 1 - 0.8, as 1 minus the
+   weighted Jaccard similarity is a metric; for most chance collisions that says
+   no. Where at most ``SMALL`` members are outside a bucket's largest component,
+   they meet the others directly (a row has at most ``SMALL`` partners); larger
+   buckets are cut into blocks, and pairs of blocks are compared inside a task
+   that returns only links. No candidate of a bucket is left out.
 4. *Verification* is the exact multiset overlap, sum min / sum max >= 0.8.
 5. Links make connected components; a class is named by its least doc_id.
 
@@ -45,6 +48,7 @@ from .components import components
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 6
 SMALL = 24
+BLOCK = 256
 
 _U = np.uint64
 _GOLDEN = _U(0x9E3779B97F4A7C15)
@@ -178,38 +182,33 @@ def overlap(x, cx, y, cy) -> int:
     return int(np.minimum(cx[same], cy[at[same]]).sum())
 
 
-def _verified(threshold: float):
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for u, v, x, cx, y, cy in zip(f["u"], f["v"], f["xi"], f["xc"], f["yi"], f["yc"]):
-                both = overlap(x, cx, y, cy)
-                if both >= threshold * (int(cx.sum()) + int(cy.sum()) - both):
-                    out.append((u, v))
-            yield pd.DataFrame(out, columns=["u", "v"])
-
-    return scan
+def _similarities(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        out = []
+        for x, cx, y, cy in zip(f["xi"], f["xc"], f["yi"], f["yc"]):
+            both = overlap(x, cx, y, cy)
+            out.append(both / (int(cx.sum()) + int(cy.sum()) - both))
+        yield pd.DataFrame({"u": f["u"], "v": f["v"], "sim": out})
 
 
 def _block_links(threshold: float):
     """Links between the members of two blocks (or within one) of a bucket."""
 
     def link(frame: pd.DataFrame) -> pd.DataFrame:
-        side, reps = frame["side"].to_numpy(), frame["rep"].to_numpy()
-        comps, sizes = frame["root"].to_numpy(), [int(c.sum()) for c in frame["counts"]]
+        side, reps, far = frame["side"].to_numpy(), frame["rep"].to_numpy(), frame["far"].to_numpy()
+        comps, sizes = frame["root"].to_numpy(), frame["size"].to_numpy()
         items, counts = frame["items"].tolist(), frame["counts"].tolist()
         same = not (side == 1).any()
         left = np.flatnonzero(side == 0)
         right = left if same else np.flatnonzero(side == 1)
         out = []
         for i in left:
-            for j in right:
-                if (not same or i < j) and comps[i] != comps[j]:
-                    small, large = sorted((sizes[i], sizes[j]))
-                    if small >= threshold * large:
-                        both = overlap(items[i], counts[i], items[j], counts[j])
-                        if both >= threshold * (small + large - both):
-                            out.append((reps[i], reps[j]))
+            may = (comps[right] != comps[i]) & (np.abs(far[right] - far[i]) <= 1 - threshold + 1e-9)
+            may &= np.minimum(sizes[right], sizes[i]) >= threshold * np.maximum(sizes[right], sizes[i])
+            for j in right[may & (right > i)] if same else right[may]:
+                both = overlap(items[i], counts[i], items[j], counts[j])
+                if both >= threshold * (sizes[i] + sizes[j] - both):
+                    out.append((reps[i], reps[j]))
         return pd.DataFrame(out, columns=["u", "v"])
 
     return link
@@ -225,78 +224,70 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, bands: i
     full = bags.filter("size > 0")
     reps = keep(full.groupBy("b1", "b2", "size").agg(
         F.min("doc_id").alias("rep"), F.max("bands").alias("bands")), "reps")
-    members = reps.select("rep", "size", F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).filter("n > 1")
-    members = keep(members.join(shared, "key"), "buckets")
-    fits = F.least("size", "hub_size") >= F.lit(threshold) * F.greatest("size", "hub_size")
-    sizes = reps.select(F.col("rep").alias("hub"), F.col("size").alias("hub_size"))
-
-    def paired(rows_: DataFrame) -> DataFrame:
-        return (rows_.filter("rep <> hub").join(sizes, "hub").filter(fits)
-                .select(F.least("hub", "rep").alias("u"), F.greatest("hub", "rep").alias("v")).distinct())
-
-    tried = keep(paired(members), "pairs")
+    every = reps.select("rep", "size", F.explode("bands").alias("key"))
+    shared = every.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).filter("n > 1")
+    members = keep(every.join(shared, "key"), "buckets")
     texts = docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"])
     counted = keep(spread(texts.select(F.col("doc_id").alias("rep"), "text")).mapInPandas(
         _counted_bags, "rep long, items array<long>, counts array<int>"), "counted")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def similarities(pairs: DataFrame, name: str) -> DataFrame:
         x = counted.select(F.col("rep").alias("u"), F.col("items").alias("xi"), F.col("counts").alias("xc"))
         y = counted.select(F.col("rep").alias("v"), F.col("items").alias("yi"), F.col("counts").alias("yc"))
-        return keep(pairs.join(y, "v").join(x, "u").mapInPandas(_verified(threshold), "u long, v long"), "verified")
-
-    links = verified(tried)
-    roots = keep(components(links), "roots")
-
-    def apart() -> DataFrame:
-        """Members of the buckets that still hold several components."""
-        named = members.select("key", "rep", "size").join(
-            roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select(
-            "key", "rep", "size", F.coalesce("root", "rep").alias("root"))
-        # a bucket of two had its only pair verified
-        split = named.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"),
-                                         F.min(F.xxhash64("rep", "key")).alias("turn")).filter("n > 2 and r0 < r1")
-        return named.join(split, "key")
-
-    # a second star, around another member of each bucket
-    rest = keep(apart(), "apart")
-    centres = rest.filter(F.xxhash64("rep", "key") == F.col("turn")).select(
-        "key", F.col("rep").alias("hub"), F.col("root").alias("hub_root"))
-    more = paired(rest.join(centres, "key").filter("root <> hub_root")).join(tried, ["u", "v"], "left_anti")
-    more = keep(more, "pairs")
-    if not more.isEmpty():
-        links = links.unionByName(verified(more))
-        roots = keep(components(links), "roots")
-        tried = tried.unionByName(more)
-        rest = keep(apart(), "apart")
-    # small buckets: all members that are still apart
-    mine = rest.filter(F.col("n") <= SMALL)
-    left = mine.select("key", F.col("rep").alias("hub"), F.col("root").alias("hub_root"))
-    # every row has at most SMALL partners
-    close = paired(mine.join(left, "key").filter("rep < hub and root <> hub_root")).join(tried, ["u", "v"], "left_anti")
-    close = keep(close, "pairs")
-    if not close.isEmpty():
-        links = links.unionByName(verified(close))
-        roots = keep(components(links), "roots")
-        rest = keep(apart(), "apart")
-    # larger buckets: pairs of blocks, compared within a task
-    wide = rest.filter(F.col("n") > SMALL)
-    if not wide.isEmpty():
-        blocks = F.ceil(F.col("n") / SMALL).cast("int")
-        placed = wide.select("key", "rep", "root", blocks.alias("k"),
-                             F.pmod(F.xxhash64("rep", F.lit(7)), blocks).cast("int").alias("b"))
-        every = F.sequence(F.lit(0), F.col("k") - 1)
-        met = placed.select("key", "rep", "root", "b", F.explode(every).alias("o")).select(
-            "key", "rep", "root", F.least("b", "o").alias("b0"), F.greatest("b", "o").alias("b1"),
-            (F.col("b") > F.col("o")).cast("int").alias("side"))
-        found = met.join(counted, "rep").groupBy("key", "b0", "b1").applyInPandas(
-            _block_links(threshold), "u long, v long")
-        links = links.unionByName(keep(found, "block-links"))
-        roots = keep(components(links), "roots")
-    named = reps.select("b1", "b2", "size", F.col("rep").alias("bag_id")).join(
+        return keep(pairs.join(y, "v").join(x, "u").mapInPandas(_similarities, "u long, v long, sim double"), name)
+
+    stars = similarities(members.filter("rep <> hub").select(
+        F.col("hub").alias("u"), F.col("rep").alias("v")).distinct(), "stars")
+    near = F.col("sim") >= threshold - 1e-12
+    roots = keep(components(stars.filter(near).select("u", "v")), "roots")
+    # members of the buckets that still hold several components, with their distance to the hub
+    named = members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn(
+        "root", F.coalesce("root", "rep"))
+    sizes = named.groupBy("key", "root").agg(F.count("*").alias("k"))
+    split = sizes.groupBy("key").agg(
+        F.sum("k").alias("n"), F.count("*").alias("n_roots"),
+        F.max(F.struct("k", "root")).alias("largest")).filter("n > 2 and n_roots > 1")
+    far = stars.select(F.col("u").alias("hub"), F.col("v").alias("rep"), (1 - F.col("sim")).alias("far"))
+    apart = keep(named.drop("n").join(split.select("key", "n", "largest"), "key").join(far, ["hub", "rep"], "left").select(
+        "key", "rep", "size", "root", "hub", F.coalesce("far", F.lit(0.0)).alias("far"),
+        (F.col("root") != F.col("largest.root")).alias("outside"), (F.col("n") - F.col("largest.k")).alias("n_outside"),
+        "n"), "apart")
+    found = [stars.filter(near).select("u", "v")]
+    few = apart.filter(F.col("n_outside") <= SMALL)
+    out = few.filter("outside").select("key", *[F.col(c).alias(f"{c}2") for c in ("rep", "size", "root", "far")])
+    reach = F.lit(1 - threshold + 1e-9)
+    # every row has at most SMALL partners; two outsiders meet once, by order
+    direct = few.join(out, "key").filter(
+        (F.col("root") != F.col("root2")) & (~F.col("outside") | (F.col("rep") < F.col("rep2")))
+        & (F.col("rep") != F.col("hub")) & (F.col("rep2") != F.col("hub"))
+        & (F.abs(F.col("far") - F.col("far2")) <= reach)
+        & (F.least("size", "size2") >= F.lit(threshold) * F.greatest("size", "size2"))).select(
+        F.least("rep", "rep2").alias("u"), F.greatest("rep", "rep2").alias("v")).distinct()
+    found.append(similarities(direct, "direct").filter(near).select("u", "v"))
+    # wide buckets: pairs of blocks, compared within a task
+    wide = apart.filter(F.col("n_outside") > SMALL)
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    placed = wide.withColumn("b", F.pmod(F.xxhash64("rep", F.lit(7)), blocks).cast("int"))
+    met = placed.select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o")).select(
+        "key", "rep", "size", "root", "far", F.least("b", "o").alias("b0"), F.greatest("b", "o").alias("b1"),
+        (F.col("b") > F.col("o")).cast("int").alias("side"))
+    found.append(keep(met.join(counted, "rep").groupBy("key", "b0", "b1").applyInPandas(
+        _block_links(threshold), "u long, v long"), "block-links"))
+    if not (found[1].isEmpty() and found[2].isEmpty()):
+        roots = components(found[0].unionByName(found[1]).unionByName(found[2]))
+    ids = reps.select("b1", "b2", "size", F.col("rep").alias("bag_id")).join(
         roots.select(F.col("node").alias("bag_id"), "root"), "bag_id", "left")
-    grouped = full.join(named, ["b1", "b2", "size"]).select(
+    grouped = full.join(ids, ["b1", "b2", "size"]).select(
         "doc_id", F.coalesce("root", "bag_id").alias("class_id"), "bag_id", F.col("size").alias("n_shingles"))
     lone = bags.filter("size = 0").select(
         "doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("bag_id"), F.col("size").alias("n_shingles"))
     return grouped.unionByName(lone)
+
+
+def drop_near_duplicates(documents: DataFrame, **options) -> DataFrame:
+    """The rows of ``documents``, all columns, that are the least of their class;
+    of repeated rows one stays."""
+    late = near_duplicates(documents, **options).filter("doc_id <> class_id").select("doc_id").distinct()
+    kept = documents.join(late, "doc_id", "left_anti").select(documents.columns)
+    twice = documents.groupBy("doc_id").count().filter("count > 1 and doc_id is not null")
+    return kept if twice.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
