@@ -168,3 +168,9 @@ def contained_items(documents: DataFrame, items: DataFrame, threshold: float = T
         F.collect_list(F.struct("item_id", F.col("item_text").alias("text"), "k")).alias("items")))
     return hit.select("row", "doc_id", "text").join(lists, "row").select(
         "doc_id", "text", "items").mapInPandas(_verify(threshold), PAIRS)
+
+
+def drop_contaminated(documents: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """The rows of ``documents``, all columns, that contain no item. Rows with a
+    null doc_id can't be named by a pair and stay."""
+    return documents.join(contained_items(documents, items, **options).select("doc_id").distinct(), "doc_id", "left_anti")

@@ -158,3 +158,13 @@ def mix(documents: DataFrame, **options) -> DataFrame:
     words the mix takes from a document, repeats counted)."""
     found = copies(document_sizes(documents), **options)
     return found.withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def mixed_documents(documents: DataFrame, **options) -> DataFrame:
+    """The mix itself: each row of ``documents`` as often as it is taken, with
+    copy_no (1, 2, ...)."""
+    found = mix(documents, **options).groupBy("doc_id").agg(F.max("copies").alias("copies")).filter("copies > 0")
+    found = found.withColumnRenamed("doc_id", "mixed_id")
+    kept = [c for c in documents.columns if c != "copy_no"]
+    return (documents.select(kept).join(found, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
+            .select(*kept, F.explode(F.sequence(F.lit(1), "copies")).alias("copy_no")))

@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -253,10 +254,8 @@ def _score(model):
     return scan
 
 
-def score_toxicity(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document."""
-    spark = documents.sparkSession
-    out = F.coalesce(remainder(F.col("doc_id"), FOLDS) == HELD, F.lit(False))
+def fitted_model(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple:
+    """(lexicon, voters, weights) from the labels that may be learned from."""
     docs = documents.select(F.col("doc_id").cast("long"), "text")
     learn = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).filter(
         "doc_id is not null and toxic in (0, 1)").filter(remainder(F.col("doc_id"), FOLDS) != HELD)
@@ -270,9 +269,29 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, per_class: int = PER
         lexicon = np.array(sorted(np.int64(r.hash).view(_U) for r in rows if r.kind == "word"), dtype=_U)
         levels = [(r.hash, r.level) for r in rows if r.kind == "voter"]
         weights = np.array([r.weight for r in sorted((r for r in rows if r.kind == "weight"), key=lambda r: r.hash)])
-        fitted = (lexicon, levels, weights)
-    else:
-        fitted = default_model()
-    model = spark.sparkContext.broadcast(fitted)
-    return spread(docs.withColumn("held_out", out)).mapInPandas(
+        return lexicon, levels, weights
+    return default_model()
+
+
+def score_toxicity(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document."""
+    model = documents.sparkSession.sparkContext.broadcast(fitted_model(documents, labels, per_class))
+    out = F.coalesce(remainder(F.col("doc_id"), FOLDS) == HELD, F.lit(False))
+    return spread(documents.select(F.col("doc_id").cast("long"), "text", out.alias("held_out"))).mapInPandas(
         _score(model), "doc_id long, held_out boolean, score double, predicted int")
+
+
+def drop_toxic(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
+    """The rows of ``documents``, all columns, that are not predicted toxic."""
+    model = documents.sparkSession.sparkContext.broadcast(fitted_model(documents, labels, per_class))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, levels, w = model.value
+        features = Features(lexicon, levels)
+        for batch in batches:
+            texts, clean = batch.column("text").to_pylist(), np.ones(batch.num_rows, dtype=bool)
+            for a, b in S.batches(texts, 2 << 20):
+                clean[a:b] = features(texts[a:b])[1] @ w[:-1] + w[-1] < 0
+            yield batch.filter(pa.array(clean))
+
+    return documents.mapInArrow(scan, documents.schema)
