@@ -106,15 +106,49 @@ _TYPED_EXACT_RE = "(?:^|\\x{01})(?:" + "|".join(JSON_TYPED_KEYS) + ")(?=\\x{01}|
 _TYPED_LOWER_RE = "(?:^|\\x{01})(?:" + "|".join(_TYPED_LOWER) + ")(?=\\x{01}|$)"
 
 
+def number_text(text: Column) -> Column:
+    """A JSON number as extras text: shortest digits, in full from 1e-6 up to
+    1e21, else with an exponent (``1e-7``, ``1e+21``); plain integers keep all
+    their digits."""
+    s = text.cast("double").cast("string")
+    sign = F.when(s.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    shape = r"^-?(\d+)\.(\d+)E(-?\d+)$"
+    digits = F.regexp_replace(F.concat(F.regexp_extract(s, shape, 1), F.regexp_extract(s, shape, 2)), "0+$", "")
+    exp = F.regexp_extract(s, shape, 3).try_cast("int")
+    rest = F.substring(digits, F.lit(2), F.length(digits))
+    full = F.when(F.length(digits) <= exp + 1, F.rpad(digits, exp + 1, F.lit("0"))).otherwise(
+        F.concat(F.substring(digits, F.lit(1), exp + 1), F.lit("."), F.substring(digits, exp + 2, F.length(digits))))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), F.greatest(-exp - 1, F.lit(0))), digits)
+    scientific = F.concat(
+        F.substring(digits, 1, 1), F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(F.lit("")),
+        F.when(exp > 0, F.lit("e+")).otherwise(F.lit("e-")), F.abs(exp).cast("string"))
+    return (
+        F.when(text.rlike(r"^-?\d+$"), text)
+        .when(exp.isNull(), F.regexp_replace(s, r"\.0$", ""))
+        .when((exp >= 21) | (exp < -6), F.concat(sign, scientific))
+        .when(exp >= 0, F.concat(sign, full))
+        .otherwise(F.concat(sign, small))
+    )
+
+
+# Strings, numbers and what stands between them.
+_JSON_PIECES = r'"(?:[^"\\]|\\.)*+"|-?\d[\d.eE+-]*+|[^"\d-]++'
+
+
 def _variant_text(v: Column) -> Column:
-    """A JSON value as extras text: strings as is, numbers without a
-    trailing '.0', everything else as compact JSON (object keys sorted)."""
+    """A JSON value as extras text: strings as is, everything else as compact
+    JSON (object keys sorted), numbers as in ``number_text``."""
     kind = F.schema_of_variant(v)
+    text = F.to_json(v)
+    pieces = F.transform(
+        F.regexp_extract_all(text, F.lit(_JSON_PIECES), 0),
+        lambda t: F.when(t.rlike(r"^-?\d"), number_text(t)).otherwise(t),
+    )
     return (
         F.when(kind == "STRING", v.cast("string"))
-        .when(kind.isin("DOUBLE", "FLOAT") | kind.startswith("DECIMAL"),
-              F.regexp_replace(F.to_json(v), r"\.0$", ""))
-        .otherwise(F.to_json(v))
+        .when(kind.isin("DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), number_text(text))
+        .when((kind.startswith("OBJECT") | kind.startswith("ARRAY")) & text.rlike(r"\d[.eE]"), F.array_join(pieces, ""))
+        .otherwise(text)
     )
 
 
@@ -128,11 +162,17 @@ def json_array(value: Column) -> Column:
 
 
 def _exact_keys(arr: Column) -> Column:
-    """True when every typed key present is spelled exactly (the fast path)."""
+    """True when no key is repeated and typed keys are spelled exactly (the fast path)."""
     joined = F.array_join(F.map_keys(F.try_element_at(arr, F.lit(1))), _KEY_SEP)
-    return F.regexp_count(joined, F.lit(_TYPED_EXACT_RE)) == F.regexp_count(
+    return ~_repeats(arr) & (F.regexp_count(joined, F.lit(_TYPED_EXACT_RE)) == F.regexp_count(
         F.lower(joined), F.lit(_TYPED_LOWER_RE)
-    )
+    ))
+
+
+def _repeats(arr: Column) -> Column:
+    """True when a key of the object occurs more than once (the last one counts)."""
+    keys = F.map_keys(F.try_element_at(arr, F.lit(1)))
+    return F.size(keys) != F.size(F.array_distinct(keys))
 
 
 def _json(value: Column, arr: Column) -> dict[str, Column]:
@@ -141,7 +181,8 @@ def _json(value: Column, arr: Column) -> dict[str, Column]:
     ``arr`` is ``json_array(value)``, computed in an earlier stage so lambdas
     below do not re-parse the line. Fast path: typed keys appear with their
     exact spelling, so each is one map lookup. A line with an odd-cased typed
-    key (matched too, as in the original) takes the slower per-entry branch."""
+    key (matched too, as in the original) or a repeated key takes the slower
+    per-entry branch, where the last one counts."""
     syntax_ok = (
         arr.isNotNull()
         & (F.size(arr) == 2)
@@ -177,9 +218,15 @@ def _json(value: Column, arr: Column) -> dict[str, Column]:
         & ~F.schema_of_variant(e["value"]).isin("STRING", "VOID"),
     )
     extra_keys = F.array_except(keys, F.array(*[F.lit(k) for k in JSON_TYPED_KEYS]))
+    last_keys, last_values = F.reverse(keys), F.reverse(F.map_values(obj))
     extras = F.map_from_arrays(
         extra_keys,
-        F.transform(extra_keys, lambda k: _variant_text(F.try_element_at(obj, k))),
+        F.transform(
+            extra_keys,
+            lambda k: _variant_text(
+                F.when(F.col("_repeats"), F.try_element_at(last_values, F.array_position(last_keys, k).cast("int")))
+                .otherwise(F.try_element_at(obj, k))),
+        ),
     )
     return {
         "ok": syntax_ok,
@@ -204,6 +251,8 @@ def parse_lines(df: DataFrame, value_col: str = "value") -> DataFrame:
     used inside CASE branches are not shared by subexpression elimination."""
     value = F.col(value_col)
     base = df.columns
+    # a repeated key inside a nested object is no error either; the last one counts
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     staged = pinned(
         df,
         _too_long=F.octet_length(value) >= MAX_LINE_BYTES,
@@ -221,6 +270,7 @@ def parse_lines(df: DataFrame, value_col: str = "value") -> DataFrame:
     staged = pinned(
         staged,
         _exact=F.when(json_line, _exact_keys(F.col("_arr"))),
+        _repeats=F.when(json_line, _repeats(F.col("_arr"))),
         _pa=F.when(F.col("_p.ok"), F.struct(*[c.alias(k) for k, c in pa.items()])),
     )
     j = _json(value, F.col("_arr"))
@@ -268,7 +318,7 @@ def parse_lines(df: DataFrame, value_col: str = "value") -> DataFrame:
         pick("type", empty),
         pick("status", empty),
         pick("extras", F.col("_pf.extras")),
-        F.lit(0).alias("duplicate_count"),
+        F.lit(0).cast("bigint").alias("duplicate_count"),
         F.when(js, F.lit("json")).otherwise(F.lit("plain")).alias("line_format"),
         err.alias("parse_error"),
     )

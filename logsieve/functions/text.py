@@ -23,11 +23,6 @@ def cut(c: Column, n: int, suffix: str = "...") -> Column:
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit(suffix))).otherwise(c)
 
 
-def blank(c: Column) -> Column:
-    """'' for null: the engine stores absent strings as ''."""
-    return F.coalesce(c, F.lit(""))
-
-
 def extras_text(extras: Column) -> Column:
     """``k=v`` pairs joined by ', ', sorted by key."""
     return F.array_join(

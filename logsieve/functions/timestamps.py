@@ -23,14 +23,16 @@ from ..functions.text import go_trim
 #  (c) yyyy-MM-dd HH:mm:ss.SSS Z (exactly three fraction digits, literal Z)
 #  (d) the same with a zone abbreviation; an abbreviation is read as UTC
 #  (e) yyyy-MM-dd HH:mm:ss[.f] +hh:mm
+# An offset has hours up to 24 and minutes up to 60.
+_OFFSET = r"[+-](?:[01]\d|2[0-4]):(?:[0-5]\d|60)"
 TIMESTAMP_SHAPES = (
     r"^(?:"
-    r"(\d{4}-\d{2}-\d{2})T(\d{1,2}:\d{2}:\d{2})(?:[.,](\d+))?(Z|[+-]\d{2}:\d{2})"
+    rf"(\d{{4}}-\d{{2}}-\d{{2}})T(\d{{1,2}}:\d{{2}}:\d{{2}})(?:[.,](\d+))?(Z|{_OFFSET})"
     r"|(\d{4}/\d{2}/\d{2}) (\d{1,2}:\d{2}:\d{2})(?:[.,](\d+))?"
     r"|(\d{4}-\d{2}-\d{2}) (\d{1,2}:\d{2}:\d{2})[.,](\d{3}) Z"
     r"|(\d{4}-\d{2}-\d{2}) (\d{1,2}:\d{2}:\d{2})[.,](\d{3}) "
     r"(?!GMT.)(?:[A-Z]{3}|[A-Z]{3}T|[A-Z]{4}T|WITA|ChST|MeST)"
-    r"|(\d{4}-\d{2}-\d{2}) (\d{1,2}:\d{2}:\d{2})(?:[.,](\d+))? ([+-]\d{2}:\d{2})"
+    rf"|(\d{{4}}-\d{{2}}-\d{{2}}) (\d{{1,2}}:\d{{2}}:\d{{2}})(?:[.,](\d+))? ({_OFFSET})"
     r")$"
 )
 # date|time|fraction|offset, whichever alternative matched
@@ -67,8 +69,3 @@ def timestamp_from_parts(parts: Column) -> Column:
         wall.isNotNull(),
         F.struct(ts.alias("ts"), wall.alias("wall_ts"), offset.alias("tz_offset")),
     )
-
-
-def parse_timestamp(raw: Column, trim: bool = False) -> Column:
-    """P7 as a single expression (convenient; pin ``timestamp_parts`` in hot paths)."""
-    return timestamp_from_parts(timestamp_parts(raw, trim))

@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.regex import java_pattern
 from ..functions.text import extras_text
 
 # Fixed value: the only accepted layout of --start / --end bounds.
@@ -56,11 +57,6 @@ def search(term: str) -> Column:
     )
 
 
-def java_pattern(pattern: str) -> str:
-    """Accept RE2 named groups ``(?P<name>`` in a Java pattern."""
-    return pattern.replace("(?P<", "(?<")
-
-
 def validate_regex(spark: SparkSession, pattern: str) -> str:
     """Compile the pattern once on the cluster's regex engine; raise if invalid."""
     p = java_pattern(pattern)

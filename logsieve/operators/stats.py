@@ -218,7 +218,7 @@ def dominant_level(bucket_levels: DataFrame, bucket: str) -> DataFrame:
     )
     return out.withColumn(
         "level_class",
-        F.when(F.col("share_pct") >= 50, level_class(F.col("dominant"))).otherwise(F.lit("none")),
+        F.when(F.col("top_count") * 2 >= F.col("total"), level_class(F.col("dominant"))).otherwise(F.lit("none")),
     )
 
 
@@ -247,7 +247,7 @@ def month_bars(entries: DataFrame, weighted: bool = True) -> DataFrame:
     spark = entries.sparkSession
     months = spark.createDataFrame([(i + 1, m) for i, m in enumerate(MONTHS)], "month_no int, month string")
     counts = by_month(entries, weighted)
-    joined = F.broadcast(months).join(counts, "month", "left").select(
+    joined = months.join(F.broadcast(counts), "month", "left").select(
         "month_no", "month", F.coalesce("count", F.lit(0)).cast("bigint").alias("count")
     )
     return bars(joined, 30)

@@ -4,6 +4,8 @@ not a flag precedence (SURVEY Q11)."""
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import sinks
@@ -15,10 +17,12 @@ from .report import analysis_report, write_report
 
 def file_entries(spark: SparkSession, paths: list[str], **filters: str) -> DataFrame:
     """``file`` command: one path -> its entries in line order; several paths
-    -> missing ones skipped, the rest merged by time."""
+    -> missing ones skipped with a warning, the rest merged by time."""
     if len(paths) == 1:
         return read_log_file(spark, paths[0], **filters)
-    entries, _missing = read_log_files(spark, paths, **filters)
+    entries, missing = read_log_files(spark, paths, **filters)
+    for path in missing:
+        warnings.warn(f"file '{path}' does not exist, skipped", stacklevel=2)
     return entries
 
 
@@ -38,8 +42,8 @@ def process(entries: DataFrame, output: str = "analyze", trim: bool = False,
     """The common tail of every command.
 
     ``output``: ``analyze`` (report lines; written to ``path`` when given),
-    ``json`` (JSON Lines to ``path``, else the indented array string), ``raw``
-    (pretty text rows), ``csv`` (written to ``path``). With ``trim`` the entries
+    ``json`` (JSON Lines to ``path``, else the rows with their JSON text in input
+    order; ``sinks.json_array`` joins a small result), ``raw`` (pretty text rows), ``csv`` (written to ``path``). With ``trim`` the entries
     are deduplicated first (and written as JSON Lines to ``trim_json_path``);
     the analysis then counts each kept entry once, as the original does."""
     spark = entries.sparkSession
@@ -56,13 +60,13 @@ def process(entries: DataFrame, output: str = "analyze", trim: bool = False,
         if path:
             sinks.write_json_lines(entries, path)
             return None
-        return sinks.json_array(entries)
+        return sinks.json_rows(entries).orderBy("ord")
     if output == "raw":
         rows = sinks.pretty_rows(entries)
         if path:
-            sinks.write_text(rows.orderBy("ord"), "text", path)
+            sinks.write_pretty(entries, path)
             return None
-        return rows
+        return rows.orderBy("ord")
     if output == "csv":
         if not path:
             raise ValueError("csv output needs a path")

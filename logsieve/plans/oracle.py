@@ -266,7 +266,7 @@ assign AS (
     CASE WHEN o.k IN (SELECT k FROM lead) THEN o.k
          ELSE (SELECT min(x) FROM (SELECT unnest(i.incs) AS x) t WHERE x IN (SELECT k FROM lead)) END AS leader_k
   FROM ordered o JOIN inc i ON i.k = o.k),
-counts AS (SELECT leader_k, CAST(sum(weight) AS INTEGER) AS duplicate_count FROM assign GROUP BY leader_k),
+counts AS (SELECT leader_k, CAST(sum(weight) AS BIGINT) AS duplicate_count FROM assign GROUP BY leader_k),
 trimmed AS (SELECT o.id, c.duplicate_count FROM counts c JOIN ordered o ON o.k = c.leader_k)"""
 
 

@@ -77,11 +77,3 @@ ENTRY_COLUMNS = (
     "source", "user", "log_source", "ack_id", "type", "status", "extras",
     "duplicate_count",
 )
-
-LOG_ENTRY_DDL = (
-    "file_path STRING, ord STRUCT<f: BIGINT, p: BIGINT, s: BIGINT>, "
-    "ts TIMESTAMP_NTZ, wall_ts TIMESTAMP_NTZ, tz_offset STRING, level STRING, "
-    "message STRING, source STRING, user STRING, log_source STRING, "
-    "ack_id STRING, type STRING, status STRING, extras MAP<STRING,STRING>, "
-    "duplicate_count INT"
-)

@@ -132,6 +132,25 @@ def pretty_rows(entries: DataFrame) -> DataFrame:
     return entries.select("*", pretty_block().alias("text"))
 
 
+# --- fixed values: what is said about no entries, and under the last one -------
+NO_ENTRIES = "No log entries found matching your criteria."
+FOOTER = "Displayed {} log entries"
+
+
+def pretty_footer(entries: DataFrame) -> DataFrame:
+    """K5's last line: how many entries were shown, or that there are none."""
+    n = entries.agg(F.count(F.lit(1)).alias("n"))
+    told = F.concat(F.lit(FOOTER.split("{}")[0]), F.col("n").cast("string"), F.lit(FOOTER.split("{}")[1]))
+    return n.select(F.when(F.col("n") == 0, F.lit(NO_ENTRIES)).otherwise(told).alias("text"))
+
+
+def write_pretty(entries: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """K5: all blocks in input order and the footer, as a text folder. The range
+    sort leaves the parts in order; the footer is the last one."""
+    write_text(pretty_rows(entries).orderBy("ord"), "text", path, mode)
+    write_text(pretty_footer(entries).coalesce(1), "text", path, "append")
+
+
 def write_text(rows: DataFrame, column: str, path: str, mode: str = "overwrite") -> None:
     """K4/K5: one text column to a text folder."""
     rows.select(F.col(column).alias("value")).write.mode(mode).text(path)

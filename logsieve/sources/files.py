@@ -39,8 +39,16 @@ class LogScan:
 
 
 def _resolve(spark: SparkSession, paths: list[str]) -> tuple[list[tuple[int, str]], list[str]]:
+    """(argument index, file URI) of every file below the arguments, and the
+    arguments that match nothing. Metadata only; URIs are encoded like Spark's
+    ``_metadata.file_path``."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def uri(path) -> str:
+        # through a new Path: one spelling (file:/x, not file:///x), as the scan reports it
+        return jvm.org.apache.hadoop.fs.Path(path.toString()).toUri().toString()
+
     found: list[tuple[int, str]] = []
     missing: list[str] = []
     for idx, p in enumerate(paths):
@@ -51,20 +59,33 @@ def _resolve(spark: SparkSession, paths: list[str]) -> tuple[list[tuple[int, str
             missing.append(p)
             continue
         for st in statuses:
-            found.append((idx, st.getPath().toString()))
+            if not st.isDirectory():
+                found.append((idx, uri(st.getPath())))
+                continue
+            files = fs.listFiles(st.getPath(), True)
+            while files.hasNext():
+                path = files.next().getPath()
+                if not path.getName().startswith(("_", ".")):
+                    found.append((idx, uri(path)))
     return found, missing
 
 
+#: File lists up to this long are broadcast to the scan.
+BROADCAST_FILES = 100_000
+
+
 def read_log_lines(spark: SparkSession, paths: str | list[str]) -> LogScan:
-    """One scan over every existing path; missing paths are listed, not fatal."""
+    """One scan over every existing path; missing paths are listed, not fatal.
+    A file named by several arguments is read for each, as the original does."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     found, missing = _resolve(spark, paths)
     if not found:
         empty = spark.createDataFrame([], "file_path string, ord struct<f:bigint,n:string,p:bigint,s:bigint>, value string")
         return LogScan(empty, missing)
+    unescape = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = sorted({unescape(spark.sparkContext._jvm.java.net.URI(u)).toString() for _, u in found})
     raw = (
-        spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true")
-        .text([p for _, p in found])
+        spark.read.option("lineSep", "\n").text(files)
         .select(
             F.regexp_replace("value", "\r$", "").alias("value"),
             F.col("_metadata.file_path").alias("file_path"),
@@ -72,19 +93,16 @@ def read_log_lines(spark: SparkSession, paths: str | list[str]) -> LogScan:
             F.monotonically_increasing_id().alias("row_id"),
         )
     )
-    # argument index of each file: a small dimension (one row per argument
-    # path), joined on the path prefix and broadcast by Spark's size estimate
-    args = spark.createDataFrame([(i, p) for i, p in found], "arg_idx int, arg_path string")
-    joined = raw.join(
-        args,
-        (raw["file_path"] == args["arg_path"]) | raw["file_path"].startswith(F.concat(args["arg_path"], F.lit("/"))),
-        "left",
-    ).groupBy("file_path", "block_start", "row_id", "value").agg(F.min("arg_idx").alias("arg_idx")) \
-        if len(found) > 1 else raw.withColumn("arg_idx", F.lit(found[0][0]))
-    lines = joined.select(
+    if len({i for i, _ in found}) > 1:
+        # one row per file: the lines themselves are not shuffled
+        args = spark.createDataFrame([(i, u) for i, u in found], "arg_idx bigint, file_path string")
+        raw = raw.join(F.broadcast(args) if len(found) <= BROADCAST_FILES else args, "file_path")
+    else:
+        raw = raw.withColumn("arg_idx", F.lit(found[0][0]).cast("bigint"))
+    lines = raw.select(
         "file_path",
         F.struct(
-            F.coalesce(F.col("arg_idx"), F.lit(0)).cast("bigint").alias("f"),
+            F.col("arg_idx").alias("f"),
             F.col("file_path").alias("n"),
             F.col("block_start").alias("p"),
             F.col("row_id").alias("s"),
@@ -94,6 +112,15 @@ def read_log_lines(spark: SparkSession, paths: str | list[str]) -> LogScan:
     return LogScan(lines, missing)
 
 
+def time_ordered(entries: DataFrame) -> DataFrame:
+    """Time becomes the input order (ties: argument, file, line), for every
+    operator after a merge: ``ord`` leads with the time."""
+    return entries.withColumn("ord", F.struct(
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("f"),
+        F.concat(F.lpad(F.col("ord.f").cast("string"), 10, "0"), F.lit(" "), F.col("ord.n")).alias("n"),
+        F.col("ord.p").alias("p"), F.col("ord.s").alias("s")))
+
+
 def read_log_file(spark: SparkSession, path: str, **filters: str) -> DataFrame:
     """Entries of one file (or a notification log), filtered.
     Raises if the file does not exist."""
@@ -111,4 +138,4 @@ def read_log_files(spark: SparkSession, paths: list[str], require_entries: bool
     entries = apply_filters(scan.entries(), **filters)
     if require_entries and entries.isEmpty():
         raise ValueError("no valid log entries found in any of the provided files")
-    return entries.orderBy("ts", "ord"), scan.missing
+    return time_ordered(entries).orderBy("ord"), scan.missing

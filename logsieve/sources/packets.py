@@ -2,13 +2,13 @@
 
 ``binaryFile`` lists the packets (a glob or folder of many packets is one
 scan); ``mapInPandas`` opens each archive in its task, keeps the members that
-hold logs (S5) and streams their lines out in bounded batches, so a member is
+hold logs (S5) and streams their lines out in batches bounded by lines and bytes, so a member is
 never held whole in memory. Parallelism is one task per packet; a packet is one
 binary row, so a single packet must stay under Spark's 2 GB row limit.
 
-A member that fails to decompress is skipped whole (its lines are read in a
-first pass that only checks the archive, then emitted in a second pass), like
-the original skips a member it cannot extract.
+A member that fails to decompress is left out whole (a first pass only checks
+it, a second one emits its lines) and reported with its problem, like the
+original warns about a member it cannot extract.
 """
 
 from __future__ import annotations
@@ -18,15 +18,15 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parse import parse_lines
 from ..operators.filters import apply_filters
-from ..schema import PACKET_MEMBER_FRAGMENTS, PACKET_MEMBER_SUFFIXES
+from ..schema import MAX_LINE_BYTES, PACKET_MEMBER_FRAGMENTS, PACKET_MEMBER_SUFFIXES
 
-PACKET_LINES_DDL = "packet_path string, member_idx int, member string, line_no bigint, value string"
-_BATCH = 8192
+PACKET_LINES_DDL = "packet_path string, member_idx int, member string, line_no bigint, value string, problem string"
+_BATCH_LINES, _BATCH_BYTES = 8192, 4 << 20
 
 
 def is_log_member(name: str) -> bool:
@@ -34,17 +34,6 @@ def is_log_member(name: str) -> bool:
     return name.endswith(PACKET_MEMBER_SUFFIXES) or any(f in name for f in PACKET_MEMBER_FRAGMENTS)
 
 
-def log_member(name: Column) -> Column:
-    """S5 as a column predicate."""
-    cond = None
-    for s in PACKET_MEMBER_SUFFIXES:
-        c = name.endswith(s)
-        cond = c if cond is None else cond | c
-    for f in PACKET_MEMBER_FRAGMENTS:
-        cond = cond | name.contains(f)
-    return cond
-
-
 def _member_ok(zf: zipfile.ZipFile, info: zipfile.ZipInfo) -> bool:
     try:
         with zf.open(info) as fh:
@@ -55,52 +44,83 @@ def _member_ok(zf: zipfile.ZipFile, info: zipfile.ZipInfo) -> bool:
         return False
 
 
+def _text_lines(fh) -> Iterator[str]:
+    """Lines of a member. Of a line that is too long only so much is kept that
+    the parser sees it is; the rest is read past."""
+    while raw := fh.readline(MAX_LINE_BYTES + 1):
+        whole = raw.endswith(b"\n")
+        if not whole and len(raw) > MAX_LINE_BYTES:
+            while (more := fh.readline(1 << 20)) and not more.endswith(b"\n"):
+                pass
+        text = raw[:-1] if whole else raw
+        yield (text[:-1] if text.endswith(b"\r") else text).decode("utf-8", "replace")
+
+
 def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for path, content in zip(pdf["path"], pdf["content"]):
             try:
                 zf = zipfile.ZipFile(io.BytesIO(content))
             except zipfile.BadZipFile:
+                yield _frame(path, None, None, 0, [None], "not a zip archive")
                 continue
             members = [m for m in zf.infolist() if not m.is_dir()]
             for idx, info in enumerate(members):
-                if not is_log_member(info.filename) or not _member_ok(zf, info):
+                if not is_log_member(info.filename):
+                    continue
+                if not _member_ok(zf, info):
+                    yield _frame(path, idx, info.filename, 0, [None], "member cannot be extracted")
                     continue
                 buf: list[str] = []
-                start = 0
+                start = size = 0
                 with zf.open(info) as fh:
-                    for n, raw in enumerate(io.TextIOWrapper(fh, encoding="utf-8", errors="replace", newline="\n")):
-                        line = raw[:-1] if raw.endswith("\n") else raw
-                        buf.append(line[:-1] if line.endswith("\r") else line)
-                        if len(buf) >= _BATCH:
+                    for line in _text_lines(io.BufferedReader(fh, 1 << 16)):
+                        buf.append(line)
+                        size += len(line)
+                        if len(buf) >= _BATCH_LINES or size >= _BATCH_BYTES:
                             yield _frame(path, idx, info.filename, start, buf)
-                            start = n + 1
-                            buf = []
+                            start, size, buf = start + len(buf), 0, []
                 if buf:
                     yield _frame(path, idx, info.filename, start, buf)
 
 
-def _frame(path: str, idx: int, member: str, start: int, lines: list[str]) -> pd.DataFrame:
+def _frame(path, idx, member, start: int, lines: list, problem: str | None = None) -> pd.DataFrame:
+    n = len(lines)
     return pd.DataFrame({
         "packet_path": path,
-        "member_idx": idx,
-        "member": member,
-        "line_no": range(start, start + len(lines)),
+        "member_idx": pd.array([idx] * n, "Int32"),
+        "member": [member] * n,
+        "line_no": range(start, start + n),
         "value": lines,
+        "problem": [problem] * n,
     })
 
 
 def packet_lines(spark: SparkSession, packets: str | list[str]) -> DataFrame:
-    """Raw member lines ``(packet_path, member_idx, member, line_no, value)``."""
+    """Raw member lines ``(packet_path, member_idx, member, line_no, value,
+    problem)``; a packet or member that can't be read is one row with a null
+    value and the problem."""
     paths = [packets] if isinstance(packets, str) else list(packets)
     zips = spark.read.format("binaryFile").load(paths).select("path", "content")
     return zips.mapInPandas(_lines, PACKET_LINES_DDL)
 
 
+def packet_status(spark: SparkSession, packets: str | list[str]) -> DataFrame:
+    """One row per packet and log member: lines, and the problem if it could not
+    be read (member null: the packet itself)."""
+    return packet_lines(spark, packets).groupBy("packet_path", "member_idx", "member").agg(
+        F.count("value").alias("lines"), F.max("problem").alias("problem"))
+
+
 def packet_entries(spark: SparkSession, packets: str | list[str], **filters: str) -> DataFrame:
     """Parsed, filtered entries of every log member, in zip then line order
-    (``ord`` = packet, member index, line number); no time sort."""
-    lines = packet_lines(spark, packets).select(
+    (``ord`` = packet, member index, line number); no time sort. A path that is
+    no zip raises; members that can't be extracted are left out and listed by
+    ``packet_status``."""
+    broken = packet_lines(spark, packets).where("problem is not null and member is null").select("packet_path").take(1)
+    if broken:
+        raise ValueError(f"'{broken[0][0]}' is not a zip archive (packet_status lists all)")
+    lines = packet_lines(spark, packets).where("problem is null").select(
         F.col("packet_path").alias("file_path"),
         F.struct(
             F.lit(0).cast("bigint").alias("f"),

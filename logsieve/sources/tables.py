@@ -171,7 +171,7 @@ def document_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("").alias("type"),
         F.lit("").alias("status"),
         F.create_map().cast("map<string,string>").alias("extras"),
-        F.lit(0).alias("duplicate_count"),
+        F.lit(0).cast("bigint").alias("duplicate_count"),
     )
 
 
@@ -201,5 +201,5 @@ def conversation_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("").alias("type"),
         F.lit("").alias("status"),
         F.create_map().cast("map<string,string>").alias("extras"),
-        F.lit(0).alias("duplicate_count"),
+        F.lit(0).cast("bigint").alias("duplicate_count"),
     )

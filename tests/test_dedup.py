@@ -34,7 +34,7 @@ def _entries(spark, rows):
     ddl = ("file_path string, ord struct<f:bigint,n:string,p:bigint,s:bigint>, ts timestamp_ntz, "
            "wall_ts timestamp_ntz, tz_offset string, level string, message string, source string, "
            "user string, log_source string, ack_id string, type string, status string, "
-           "extras map<string,string>, duplicate_count int")
+           "extras map<string,string>, duplicate_count bigint")
     data = [("f", (0, "f", i, 0), None, None, "+00:00", lvl, msg, src, "", "", "", "", "", {}, 0)
             for i, (lvl, src, msg) in enumerate(rows)]
     return spark.createDataFrame(data, ddl)

@@ -38,3 +38,25 @@ def test_json_export_time_and_omissions(spark):
     assert out["Slow"]["timestamp"] == "2025-01-01T12:00:00.5Z"
     assert "log_source" not in out["Slow"] and "extras" not in out["Slow"]
     assert out["Login ok"]["extras"] == {"k": "v1"}
+
+
+CASES = [  # pattern, text, found: what RE2 says
+    (r"[[:digit:]]+", "digit word", False), (r"[[:digit:]]+", "word 7", True), (r"caf\b", "café", True),
+    (r"\bfé", "afé", False), (r"^b$", "b\n", False), (r"a.b", "a\rb", True), (r"a.b", "a\nb", False),
+    (r"(?i)STRASSE|É", "é", True), (r"[a&&b]", "&", True), (r"[^[:alpha:]]", "abc", False), (r"\s", "\x0b", False),
+    (r"\pL+\d", "ж7", True), (r"\p{Greek}", "α", True), (r"a{2}", "aa", True), (r"x{,2}", "x{,2}", True),
+    (r"\Qa.b\E", "a.b", True), (r"(?P<n>o|p)+?q", "opq", True), (r"[]a]", "]", True), (r"(?m)^b$", "a\nb\nc", True),
+]
+
+
+def test_patterns_mean_what_re2_means(spark):
+    from pyspark.sql import functions as F
+
+    from logsieve.functions.regex import java_pattern
+
+    for pattern, text, found in CASES:
+        row = spark.range(1).select(F.lit(text).rlike(java_pattern(pattern))).first()
+        assert row[0] is found, (pattern, text)
+    for refused in (r"a(?=b)", r"(?<!a)b", r"(a)\1", r"a++", r"(?U)a+", r"\Z", r"(?>a)", r"a{1001}", r"[[:nope:]]"):
+        with pytest.raises(ValueError):
+            java_pattern(refused)
