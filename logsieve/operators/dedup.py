@@ -7,33 +7,36 @@ source passes D5 and whose message is D4-similar to the leader's. Here:
 1. **Exact collapse (D9).** Entries with equal ``(lower(level), lower(source),
    normalised message)`` are indistinguishable to the rules, so they form one
    node (weight = #entries, order = first entry). Lossless; partial
-   aggregation makes hot templates cheap.
-2. **Candidate pairs without all-pairs blocks.** An edge needs one of
-   - equal messages (rule 1): equi-join on ``(level, hash(norm))``;
-   - a Jaccard score >= 0.64 (rules 4-6): then the pair shares a token from
-     the later message's *prefix* (its rarest tokens, cut where the remaining
-     repeats could no longer reach the bound; see ``_PREFIX_SHARE``);
-     equi-join prefix tokens with the token index;
-   - containment with >= 3 words in the shorter text (rule 2): every inner
-     word of the shorter text is a word of the longer one, so its rarest
-     inner word finds the pair;
-   - containment with a shorter text of <= 2 words: the longer text has a
-     1-2-word window longer than half of it; its character 6-grams (or all
-     grams of tiny texts) meet the shorter text's first gram.
-   Every join carries the byte-length bucket (lengths within 2x, rule 2), and
-   AQE splits skewed token partitions. Candidates then pass the exact rules
-   D4 and D5 as a residual filter.
-3. **Rounds (D7).** Each round: undecided nodes without an incoming edge from
-   an undecided node become leaders; undecided nodes with an edge from a new
-   leader are absorbed; edges touching decided nodes are dropped. The state is
-   checkpointed to the reliable checkpoint folder each round.
-4. **Counts (D8).** An absorbed node belongs to its smallest-order leader;
-   ``duplicate_count = leader weight + absorbed weights``.
+   aggregation makes hot templates cheap. Nodes are numbered in input order.
+2. **Prefix batches (D7).** The undecided nodes of a prefix of the input order
+   are settled among themselves; then only their leaders meet the later
+   undecided nodes and absorb what is similar. That equals the sequential pass,
+   and members of one cluster never meet each other beyond the batch in which
+   the cluster first occurs. Batches grow by ``_GROWTH``, so their number grows
+   with the logarithm of the input.
+3. **Candidates from selective keys.** Two nodes meet only when they share a key
+   that every similar pair shares:
+   - equal messages (rule 1): the message hash with a prefix bigram of the source;
+   - word overlap (rules 4-6): the later message's *prefix* words (its rarest
+     words, cut where the remaining repeats could no longer reach the overlap
+     that rule 5/6 needs). Short messages use the exact overlap for each size of
+     the other side's word set, which keeps their one rare word;
+   - containment (rule 2), 4 or more words: the rarest pair of neighbouring inner
+     words of the shorter text; 3 words: the inner word with the beginning of the
+     last one; 1-2 words: the rarest byte 6-gram.
+   Keys hold the level and byte-length bucket (lengths within 2x, rule 2). Then
+   the exact rules D4 and D5 decide on ids, lengths and word counts.
+4. **Rounds within a batch.** Nodes that no undecided node points to lead; what
+   they point to is absorbed; edges of decided nodes go. Every round decides at
+   least the first undecided node, so the loop ends. Each round is checkpointed
+   to the reliable folder.
+5. **Counts (D8).** An absorbed node belongs to its smallest-order leader;
+   ``duplicate_count = leader weight + absorbed weights`` (BIGINT).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import (
@@ -56,6 +59,13 @@ _PREFIX_SHARE = 0.38
 _OVERLAP_SHARE = 0.39
 # Character-gram length for short-text containment.
 _GRAM = 6
+# Messages of up to so many words use one prefix for each size of the other
+# side's word set (exact up to 8, then classes of a quarter more).
+_SHORT = 32
+# Longest word beginning that keys three-word containment.
+_BEGIN = 8
+# First batch of nodes and how much larger the next ones are.
+_BATCH, _GROWTH = 512, 8
 
 
 def entry_nodes(entries: DataFrame) -> DataFrame:
@@ -75,11 +85,32 @@ def entry_nodes(entries: DataFrame) -> DataFrame:
     )
 
 
+def numbered(nodes: DataFrame) -> DataFrame:
+    """``seq``: 0, 1, ... in input order. Range-partitioned and sorted, so a row's
+    number is its place in its partition plus the sizes of those before it (one
+    count per partition on the driver)."""
+    ids = nodes.select("node").repartitionByRange("node").sortWithinPartitions("node").select(
+        "node", F.monotonically_increasing_id().alias("id")).checkpoint()
+    part = F.shiftright("id", 33)
+    sizes = ids.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
+    starts, at = [], 0
+    for r in sizes:
+        starts.append((r["part"], at))
+        at += r["n"]
+    if not starts:
+        return nodes.withColumn("seq", F.lit(0).cast("bigint"))
+    offsets = nodes.sparkSession.createDataFrame(starts, "part bigint, start bigint")
+    seq = ids.withColumn("part", part).join(F.broadcast(offsets), "part").select(
+        "node", (F.col("start") + F.col("id").bitwiseAND((1 << 33) - 1)).alias("seq"))
+    return nodes.join(seq, "node")
+
+
 def _node_attrs(nodes: DataFrame) -> DataFrame:
+    """The rules' view of numbered nodes."""
     w = words(F.col("norm"))
     nlen = F.octet_length("norm")
     return nodes.select(
-        "node", "lvl", "lsrc", "norm",
+        "seq", "lvl", "lsrc", "norm",
         w.alias("words"),
         F.array_distinct(w).alias("wset"),
         F.size(w).alias("nwords"),
@@ -93,78 +124,159 @@ def _near_buckets(df: DataFrame) -> DataFrame:
     return df.withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
 
 
-def candidate_pairs(attrs: DataFrame, branches: bool = False):
-    """``(x, y)`` node pairs (unordered roles) that may be similar."""
-    # token index: one row per distinct token of a node
-    index = attrs.select("node", "lvl", "bucket", F.explode("wset").alias("token"))
-    # rule 1: equal messages with different sources (see _equal_message_pairs)
-    eq = _equal_message_pairs(attrs)
+def _size_class(n: Column) -> Column:
+    """Classes of word-set sizes: 1 to 8 exact, then a quarter more each."""
+    return F.when(n <= 8, n).otherwise(8 + F.floor(F.log(n / F.lit(8.0)) / F.log(F.lit(1.25)) + F.lit(1e-9))).cast("int")
 
-    # rules 4-6: prefix tokens of the later message against the token index
-    freq = index.groupBy("lvl", "token").agg(F.count(F.lit(1)).alias("df"))
-    mult = attrs.select("node", "lvl", "bucket", "nwords", F.explode("words").alias("token")).groupBy(
-        "node", "lvl", "bucket", "nwords", "token"
-    ).agg(F.count(F.lit(1)).alias("mult"))
-    ranked = mult.join(freq, ["lvl", "token"])
-    tail = Window.partitionBy("node").orderBy(F.desc("df"), F.desc("token")).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    in_prefix = F.col("from_here") > F.col("nwords") * F.lit(_PREFIX_SHARE)
-    marked = ranked.withColumn("from_here", F.sum("mult").over(tail)).withColumn(
-        # repeats outside the prefix (the prefix is cut where they fall below the share)
-        "suffix_mass",
-        F.coalesce(F.max(F.when(~in_prefix, F.col("from_here"))).over(Window.partitionBy("node")), F.lit(0)),
-    )
-    prefix = marked.where(in_prefix).select("node", "lvl", "bucket", "token", "mult", "nwords", "suffix_mass")
-    sized_index = attrs.select(
-        "node", "lvl", "bucket", F.size("wset").alias("ndistinct"), F.explode("wset").alias("token")
-    )
-    # overlap upper bound: matched prefix repeats + every repeat outside the
-    # prefix; a Jaccard-path edge needs overlap >= 16/41 (|set a| + |words b|)
-    jac = (
-        _near_buckets(prefix).alias("p").join(sized_index.alias("i"), ["lvl", "bucket", "token"])
-        .where(F.col("i.node") < F.col("p.node"))
-        .groupBy(F.col("i.node").alias("x"), F.col("p.node").alias("y"))
-        .agg(F.sum("p.mult").alias("matched"), F.first("p.suffix_mass").alias("suffix_mass"),
-             F.first("p.nwords").alias("nwords"), F.first("i.ndistinct").alias("ndistinct"))
-        .where(F.col("matched") + F.col("suffix_mass")
-               >= F.lit(_OVERLAP_SHARE) * (F.col("ndistinct") + F.col("nwords")))
-        .select("x", "y")
-    )
 
-    # rule 2, >= 3 words: the rarest inner word of the shorter text
-    inner = attrs.where(F.col("nwords") >= 3).select(
-        "node", "lvl", "bucket", F.explode(F.slice("words", 2, F.col("nwords") - 2)).alias("token")
-    ).join(freq, ["lvl", "token"])
-    rarest = inner.groupBy("node", "lvl", "bucket").agg(
-        F.min_by("token", F.struct("df", "token")).alias("token")
-    )
-    cont = _near_buckets(rarest).alias("s").join(index.alias("i"), ["lvl", "bucket", "token"]).where(
-        F.col("i.node") != F.col("s.node")
-    ).select(F.col("s.node").alias("x"), F.col("i.node").alias("y"))
-
-    # rule 2, <= 2 words in the shorter text: character grams
-    short = attrs.where((F.col("nwords") >= 1) & (F.col("nwords") <= 2)).select(
-        "node", "lvl", "bucket",
-        F.substring(bytes_text(F.col("norm")), 1, F.least(F.col("nlen"), F.lit(_GRAM)).cast("int")).alias("gram"),
-    )
-    probe = _near_buckets(short)
-    # only texts in a (level, length bucket) that some short text can reach
-    reach = probe.select("lvl", "bucket").distinct()
-    grams = _window_grams(attrs.join(reach, ["lvl", "bucket"], "left_semi"))
-    tiny = probe.alias("s").join(grams.alias("g"), ["lvl", "bucket", "gram"]).where(
-        F.col("g.node") != F.col("s.node")
-    ).select(F.col("s.node").alias("x"), F.col("g.node").alias("y"))
+def _least_of_class(c: Column) -> Column:
+    """The smallest size a class may hold (a little less is harmless)."""
+    return F.when(c <= 8, c.cast("double")).otherwise(8.0 * F.pow(F.lit(1.25), c - 8) - F.lit(1e-6))
+
+
+class Keys:
+    """The key tables of all nodes, built once and checkpointed. ``probe`` meets
+    ``index`` (either may be the earlier node); ``later`` meets ``earlier``."""
 
-    parts = {"equal": eq, "jaccard": jac, "contains": cont, "short": tiny}
-    if branches:
-        return parts
-    return eq.unionByName(jac).unionByName(cont).unionByName(tiny)
+    def __init__(self, attrs: DataFrame):
+        self.earlier, self.later = (t.checkpoint() for t in _overlap_keys(attrs))
+        probes, indexes = zip(*(f(attrs) for f in (_inner_pairs, _three_words, _short_texts)))
+        self.probe = _union(list(probes)).checkpoint()
+        self.index = _union(list(indexes)).checkpoint()
+        self.equal = _equal_message_keys(attrs).checkpoint()
+
+    def candidates(self, first: DataFrame, second: DataFrame | None = None) -> DataFrame:
+        """Distinct ``(a, b)``, a before b, with a common key: both of ``first``,
+        or a of ``first`` and b of ``second`` (frames of ``seq``; everything in
+        second comes after first)."""
+
+        def of(table: DataFrame, side: DataFrame | None) -> DataFrame:
+            return table if side is None else table.join(side, "seq", "left_semi")
+
+        second = first if second is None else second
+        overlap = (
+            of(self.later, second).alias("p").join(of(self.earlier, first).alias("i"), "key")
+            .where(F.col("i.seq") < F.col("p.seq"))
+            .groupBy(F.col("i.seq").alias("a"), F.col("p.seq").alias("b"))
+            .agg(F.sum("p.mult").alias("matched"), F.first("p.suffix_mass").alias("suffix_mass"),
+                 F.first("p.nwords").alias("nwords"), F.first("i.ndistinct").alias("ndistinct"))
+            # matched prefix repeats and all repeats outside the prefix bound the overlap
+            .where(F.col("matched") + F.col("suffix_mass")
+                   >= F.lit(_OVERLAP_SHARE) * (F.col("ndistinct") + F.col("nwords")))
+            .select("a", "b")
+        )
 
+        def met(x: DataFrame, y: DataFrame) -> DataFrame:
+            return x.alias("x").join(y.alias("y"), "key").where(F.col("x.seq") < F.col("y.seq")).select(
+                F.col("x.seq").alias("a"), F.col("y.seq").alias("b"))
 
-def _equal_message_pairs(attrs: DataFrame) -> DataFrame:
-    """Rule-1 candidates: same level and normalised message, different
-    (lower-cased) sources that can pass D5.
+        parts = [
+            overlap,
+            met(of(self.probe, first), of(self.index, second)),
+            met(of(self.index, first), of(self.probe, second)),
+            met(of(self.equal, first), of(self.equal, second)),
+        ]
+        return _union(parts).distinct()
+
+
+def _overlap_keys(attrs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rules 4-6: the words of the earlier node, the prefix words of the later."""
+    index = attrs.select("seq", "lvl", "bucket", "nwords", F.size("wset").alias("ndistinct"),
+                         F.explode("wset").alias("token"))
+    freq = index.groupBy("lvl", "token").agg(F.count(F.lit(1)).alias("df"))
+    mult = attrs.select("seq", "lvl", "bucket", "nwords", F.explode("words").alias("token")).groupBy(
+        "seq", "lvl", "bucket", "nwords", "token").agg(F.count(F.lit(1)).alias("mult"))
+    tail = Window.partitionBy("seq").orderBy(F.desc("df"), F.desc("token")).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    marked = mult.join(freq, ["lvl", "token"]).withColumn("from_here", F.sum("mult").over(tail))
+
+    # long messages: one prefix, whatever the other side's size
+    by_node = Window.partitionBy("seq")
+    inside = F.col("from_here") > F.col("nwords") * F.lit(_PREFIX_SHARE)
+    long_ = marked.where(F.col("nwords") > _SHORT).withColumn(
+        "suffix_mass", F.coalesce(F.max(F.when(~inside, F.col("from_here"))).over(by_node), F.lit(0))
+    ).where(inside).withColumn("cls", F.lit(0))
+    # short ones: one prefix for each class of set sizes within the word-count ratio
+    sizes = F.sequence(F.lit(1), _size_class(2 * F.col("nwords")))
+    short = marked.where(F.col("nwords") <= _SHORT).withColumn("cls", F.explode(sizes))
+    need = F.lit(_OVERLAP_SHARE) * (F.col("nwords") + _least_of_class(F.col("cls")))
+    inside_short = F.col("from_here") >= need
+    by_class = Window.partitionBy("seq", "cls")
+    short = short.withColumn(
+        "suffix_mass", F.coalesce(F.max(F.when(~inside_short, F.col("from_here"))).over(by_class), F.lit(0))
+    ).where(inside_short)
+    cols = ("seq", "lvl", "bucket", "token", "cls", "mult", "nwords", "suffix_mass")
+    later = _near_buckets(long_.select(*cols).unionByName(short.select(*cols)))
+    key = F.xxhash64("lvl", "bucket", "token", "cls")
+    # the word-count ratio (rule 3) tells which kinds of later nodes an earlier one can meet
+    classes = F.filter(F.array(
+        F.when(F.col("nwords") * 2 > _SHORT, F.lit(0)),
+        F.when(F.col("nwords") <= 2 * _SHORT, _size_class(F.col("ndistinct")))), lambda c: c.isNotNull())
+    earlier = index.withColumn("cls", F.explode(classes))
+    return (earlier.select("seq", key.alias("key"), "ndistinct"),
+            later.select("seq", key.alias("key"), "mult", "nwords", "suffix_mass"))
+
+
+def _rarest(probes: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One key of each probing node, the rarest in the index, for its own and the
+    neighbouring buckets. Both sides: seq, lvl, bucket, kind, text."""
+    freq = index.groupBy("lvl", "kind", "text").agg(F.count(F.lit(1)).alias("df"))
+    best = probes.join(freq, ["lvl", "kind", "text"]).groupBy("seq", "lvl", "bucket", "kind").agg(
+        F.min_by("text", F.struct("df", "text")).alias("text"))
+    key = F.xxhash64("lvl", "bucket", "kind", "text")
+    return _near_buckets(best).select("seq", key.alias("key")), index.select("seq", key.alias("key"))
+
+
+def _inner_pairs(attrs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rule 2, 4 or more words in the shorter text: its inner words are words of
+    the longer one, neighbours stay neighbours."""
+    w = F.col("words")
+
+    def pairs(lo: Column, hi: Column) -> Column:
+        return F.array_distinct(F.transform(
+            F.sequence(lo, hi), lambda i: F.concat(F.get(w, i - 1), F.lit(" "), F.get(w, i))))
+
+    base = ("seq", "lvl", "bucket", F.lit("pair").alias("kind"))
+    index = attrs.where("nwords >= 2").select(*base, F.explode(pairs(F.lit(1), F.col("nwords") - 1)).alias("text"))
+    probes = attrs.where("nwords >= 4").select(*base, F.explode(pairs(F.lit(2), F.col("nwords") - 2)).alias("text"))
+    return _rarest(probes, index)
+
+
+def _three_words(attrs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rule 2, 3 words: the inner word, and the word after it begins like the last."""
+    w = F.col("words")
+    last = F.get(w, F.lit(2))
+    base = ("seq", "lvl", "bucket", F.lit("three").alias("kind"))
+    probes = attrs.where("nwords = 3").select(*base, F.concat(
+        F.get(w, F.lit(1)), F.lit(" "), F.substring(last, F.lit(1), F.least(F.length(last), F.lit(_BEGIN)))).alias("text"))
+    near = _near_buckets(attrs.where("nwords = 3").select("lvl", "bucket").distinct()).distinct()
+    reach = attrs.where("nwords >= 2").join(near, ["lvl", "bucket"], "left_semi")
+    index = reach.select(*base, F.explode(F.array_distinct(F.flatten(F.transform(
+        F.sequence(F.lit(1), F.col("nwords") - 1),
+        lambda i: F.transform(
+            F.sequence(F.lit(1), F.least(F.length(F.get(w, i)), F.lit(_BEGIN))),
+            lambda n: F.concat(F.get(w, i - 1), F.lit(" "), F.substring(F.get(w, i), F.lit(1), n))))))).alias("text"))
+    key = F.xxhash64("lvl", "bucket", "kind", "text")
+    return _near_buckets(probes).select("seq", key.alias("key")), index.select("seq", key.alias("key"))
+
+
+def _short_texts(attrs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rule 2, 1-2 words: the rarest byte gram of the shorter text."""
+    short = attrs.where("nwords >= 1 and nwords <= 2")
+    b8 = bytes_text(F.col("norm"))
+    size = F.least(F.col("nlen"), F.lit(_GRAM)).cast("int")
+    base = ("seq", "lvl", "bucket", F.lit("gram").alias("kind"))
+    probes = short.select(*base, F.explode(F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.col("nlen") - size + 1), lambda i: F.substring(b8, i, size)))).alias("text"))
+    near = _near_buckets(short.select("lvl", "bucket").distinct()).distinct()
+    # only texts in a (level, length bucket) that some short text can reach
+    index = _window_grams(attrs.join(near, ["lvl", "bucket"], "left_semi")).select(*base, F.col("gram").alias("text"))
+    return _rarest(probes, index)
+
+
+def _equal_message_keys(attrs: DataFrame) -> DataFrame:
+    """Rule 1: same level and normalised message, different (lower-cased) sources
+    that can pass D5.
 
     D5 needs both sources non-empty and ``1 - lev/M > 0.7``, i.e. at most
     0.3 M byte edits. Such strings share at least ``M - 1 - 2 * edits >=
@@ -173,30 +285,25 @@ def _equal_message_pairs(attrs: DataFrame) -> DataFrame:
     a token inside both of their prefixes of ``n - ceil(0.4 len - 1) + 1``
     tokens (Sarawagi & Kirpal's prefix filter). Sources of fewer than 3 bytes
     can only pass by being equal, which the exact collapse already merged.
-    The join key holds the message hash, so no message group emits all of its
+    The key holds the message hash, so no message group emits all of its
     source pairs."""
-    h = attrs.select("node", "lvl", "bucket", F.xxhash64("norm").alias("h"), bytes_text(F.col("lsrc")).alias("s8"))
-    shared = h.groupBy("lvl", "bucket", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    cand = h.join(shared.drop("n"), ["lvl", "bucket", "h"], "left_semi").where(F.length("s8") >= 3)
+    h = attrs.select("seq", "lvl", F.xxhash64("norm").alias("h"), bytes_text(F.col("lsrc")).alias("s8"))
+    shared = h.groupBy("lvl", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    cand = h.join(shared.drop("n"), ["lvl", "h"], "left_semi").where(F.length("s8") >= 3)
     pinned_grams = pinned(cand, _grams=F.transform(
         F.sequence(F.lit(1), F.length("s8") - 1), lambda i: F.substring("s8", i, 2)
     ))
-    occ = pinned_grams.select("node", "lvl", "bucket", "h", F.length("s8").alias("slen"),
+    occ = pinned_grams.select("seq", "lvl", "h", F.length("s8").alias("slen"),
                               F.posexplode("_grams").alias("pos", "gram"))
-    nth = Window.partitionBy("node", "gram").orderBy("pos")
+    nth = Window.partitionBy("seq", "gram").orderBy("pos")
     tokens = occ.withColumn("token", F.concat(F.col("gram"), F.lit("#"), F.row_number().over(nth).cast("string")))
     df = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    rare_first = Window.partitionBy("node").orderBy("df", "token")
+    rare_first = Window.partitionBy("seq").orderBy("df", "token")
     need = F.ceil(F.col("slen") * F.lit(0.4) - F.lit(1.0) - F.lit(1e-9))
-    prefix = (
+    return (
         tokens.join(df, "token").withColumn("r", F.row_number().over(rare_first))
         .where(F.col("r") <= (F.col("slen") - 1) - need + 1)
-        .select("node", "lvl", "bucket", "h", "token")
-    )
-    return (
-        prefix.alias("x").join(prefix.alias("y"), ["lvl", "bucket", "h", "token"])
-        .where(F.col("x.node") < F.col("y.node"))
-        .select(F.col("x.node").alias("x"), F.col("y.node").alias("y"))
+        .select("seq", F.xxhash64("lvl", "h", "token").alias("key"))
     )
 
 
@@ -224,37 +331,37 @@ def _window_grams(attrs: DataFrame) -> DataFrame:
             F.sequence(F.lit(1), F.col("nlen") - q + 1), lambda pos: F.substring(b8, pos, q)
         ),
     ))
-    return dominated.select("node", "lvl", "bucket", F.explode(F.array_distinct(grams)).alias("gram"))
+    return dominated.select("seq", "lvl", "bucket", F.explode(F.array_distinct(grams)).alias("gram"))
 
 
-def similar_edges(attrs: DataFrame) -> DataFrame:
-    """``(a, b)`` with a before b, passing D5 and D4(a as leader, b).
+def similar_edges(attrs: DataFrame, cand: DataFrame | None = None) -> DataFrame:
+    """``(a, b)`` with a before b, passing D5 and D4(a as leader, b); ``cand``
+    names the pairs to look at (none: all).
 
     The cheap rules (equality, length ratio, containment, word-count ratio)
     decide most candidates on the pair row; the word overlap of the rest is
     counted relationally (pair x words of b x distinct words of a, summed),
     which stays code-generated and spreads over the cluster."""
-    cand = candidate_pairs(attrs).select(
-        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")
-    ).distinct()
-    cols = ("node", "lsrc", "norm", "nlen", "nwords")
+    if cand is None:
+        cand = Keys(attrs).candidates(attrs.select("seq"))
+    cols = ("seq", "lsrc", "norm", "nlen", "nwords")
     a = attrs.select(*[F.col(c).alias(f"a_{c}") for c in cols], F.size("wset").alias("a_ndistinct"))
     b = attrs.select(*[F.col(c).alias(f"b_{c}") for c in cols])
-    pairs = cand.join(a, F.col("a") == F.col("a_node")).join(b, F.col("b") == F.col("b_node"))
+    pairs = cand.join(a, F.col("a") == F.col("a_seq")).join(b, F.col("b") == F.col("b_seq"))
     pairs = pairs.where(source_gate(F.col("a_lsrc"), F.col("b_lsrc")))
     early = early_decision(F.col("a_norm"), F.col("b_norm"), F.col("a_nwords"), F.col("b_nwords"))
     staged = pinned(pairs, early=early)
     decided = staged.where(F.col("early")).select("a", "b")
     open_pairs = staged.where(F.col("early").isNull())
 
-    b_words = attrs.select("node", F.explode("words").alias("token")).groupBy("node", "token").agg(
+    b_words = attrs.select("seq", F.explode("words").alias("token")).groupBy("seq", "token").agg(
         F.count(F.lit(1)).alias("mult")
     )
-    a_set = attrs.select("node", F.explode("wset").alias("token"))
+    a_set = attrs.select("seq", F.explode("wset").alias("token"))
     common = (
         open_pairs.select("a", "b")
-        .join(b_words.withColumnRenamed("node", "b"), "b")
-        .join(a_set.withColumnRenamed("node", "a"), ["a", "token"])
+        .join(b_words.withColumnRenamed("seq", "b"), "b")
+        .join(a_set.withColumnRenamed("seq", "a"), ["a", "token"])
         .groupBy("a", "b").agg(F.sum("mult").alias("common"))
     )
     scored = open_pairs.join(common, ["a", "b"], "left").withColumn(
@@ -266,54 +373,49 @@ def similar_edges(attrs: DataFrame) -> DataFrame:
     return decided.unionByName(scored.where(ok).select("a", "b"))
 
 
-def greedy_leaders(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """``(node, leader)`` for every node (a leader maps to itself)."""
-    spark = nodes.sparkSession
-    ensure_checkpoint_dir(spark)
-    edges = edges.checkpoint()
-    involved = edges.select(F.col("a").alias("node")).unionByName(
-        edges.select(F.col("b").alias("node"))
-    ).distinct()
-    undecided = involved.checkpoint()
-    active = edges
-    leader_sets: list[DataFrame] = []
-    rounds = 0
-    while undecided.take(1):
-        rounds += 1
-        if rounds > max_rounds:
-            raise RuntimeError(f"trim did not converge in {max_rounds} rounds")
-        new_leaders = undecided.join(active, undecided["node"] == active["b"], "left_anti").checkpoint()
-        absorbed = active.join(new_leaders, active["a"] == new_leaders["node"], "left_semi").select(
-            F.col("b").alias("node")
-        ).distinct()
-        undecided = (
-            undecided.join(new_leaders, "node", "left_anti")
-            .join(absorbed, "node", "left_anti")
-            .checkpoint()
-        )
+def _settle(edges: DataFrame) -> DataFrame:
+    """The absorbed nodes (``seq``) of a batch, by rounds: nodes no undecided node
+    points to lead. A node that is in no edge leads too."""
+    active, gone = edges, []
+    while not active.isEmpty():
+        leaders = active.select("a").distinct().join(active.select(F.col("b").alias("a")), "a", "left_anti")
+        absorbed = active.join(leaders, "a", "left_semi").select(F.col("b").alias("seq")).distinct().checkpoint()
+        gone.append(absorbed)
+        if len(gone) >= 16:
+            # keep the plan short on long chains
+            gone = [_union(gone).checkpoint()]
         active = (
-            active.join(undecided.withColumnRenamed("node", "a"), "a", "left_semi")
-            .join(undecided.withColumnRenamed("node", "b"), "b", "left_semi")
-            .checkpoint()
+            active.join(absorbed.withColumnRenamed("seq", "b"), "b", "left_anti")
+            .join(absorbed.withColumnRenamed("seq", "a"), "a", "left_anti")
+            .select("a", "b").checkpoint()
         )
-        leader_sets.append(new_leaders)
-        if len(leader_sets) >= 16:
-            # keep the plan short on long chains: fold the rounds' leaders
-            leader_sets = [_union(leader_sets).checkpoint()]
-    leaders = _union(leader_sets) if leader_sets else involved.limit(0)
-    # an absorbed node belongs to its smallest-order leader
-    claims = edges.join(leaders.withColumnRenamed("node", "a"), "a", "left_semi").groupBy("b").agg(
-        F.min("a").alias("leader")
-    )
-    all_nodes = nodes.select("node")
-    assigned = all_nodes.join(claims, all_nodes["node"] == claims["b"], "left").join(
-        leaders.withColumn("_is_leader", F.lit(True)), "node", "left"
-    )
-    return assigned.select(
-        "node",
-        F.when(F.col("_is_leader") | F.col("leader").isNull(), F.col("node"))
-        .otherwise(F.col("leader")).alias("leader"),
-    )
+    return _union(gone) if gone else edges.select(F.col("b").alias("seq")).limit(0)
+
+
+def greedy_leaders(attrs: DataFrame, batch: int = _BATCH, growth: int = _GROWTH) -> DataFrame:
+    """``(seq, leader)`` of every absorbed node; all others lead."""
+    ensure_checkpoint_dir(attrs.sparkSession)
+    keys = Keys(attrs)
+    undecided = attrs.select("seq")
+    total = attrs.count()
+    claims, start, size = [], 0, batch
+    while start < total:
+        end = start + size
+        mine = undecided.where(f"seq >= {start} and seq < {end}") if end < total else undecided
+        edges = similar_edges(attrs, keys.candidates(mine)).checkpoint()
+        absorbed = _settle(edges)
+        lost = edges.join(absorbed.withColumnRenamed("seq", "b"), "b", "left_semi").join(
+            absorbed.withColumnRenamed("seq", "a"), "a", "left_anti")
+        claims.append(lost.groupBy(F.col("b").alias("seq")).agg(F.min("a").alias("leader")))
+        if end < total:
+            leaders = mine.join(absorbed, "seq", "left_anti").checkpoint()
+            later = undecided.where(f"seq >= {end}")
+            taken = similar_edges(attrs, keys.candidates(leaders, later)).groupBy(
+                F.col("b").alias("seq")).agg(F.min("a").alias("leader")).checkpoint()
+            claims.append(taken)
+            undecided = later.join(taken, "seq", "left_anti").checkpoint()
+        start, size = end, size * growth
+    return _union(claims) if claims else attrs.select("seq", F.col("seq").alias("leader")).limit(0)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -323,20 +425,17 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def trim(entries: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def trim(entries: DataFrame) -> DataFrame:
     """The leader entries with ``duplicate_count`` = entries they stand for."""
     ensure_checkpoint_dir(entries.sparkSession)
-    nodes = entry_nodes(entries).checkpoint()
-    attrs = _node_attrs(nodes)
-    edges = similar_edges(attrs)
-    assign = greedy_leaders(nodes, edges, max_rounds)
-    totals = assign.join(nodes.select("node", "weight"), "node").groupBy("leader").agg(
-        F.sum("weight").alias("count")
-    )
-    out = nodes.join(totals, nodes["node"] == totals["leader"])
+    nodes = numbered(entry_nodes(entries).checkpoint()).checkpoint()
+    claims = greedy_leaders(_node_attrs(nodes)).checkpoint()
+    more = claims.join(nodes.select("seq", "weight"), "seq").groupBy(F.col("leader").alias("seq")).agg(
+        F.sum("weight").alias("more"))
+    out = nodes.join(claims.select("seq"), "seq", "left_anti").join(more, "seq", "left")
     return out.select(
         *[F.col(f"row.{c}").alias(c) for c in ENTRY_COLUMNS if c != "duplicate_count"],
-        F.col("count").cast("int").alias("duplicate_count"),
+        (F.col("weight") + F.coalesce("more", F.lit(0))).alias("duplicate_count"),
     )
 
 

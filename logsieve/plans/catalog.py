@@ -259,10 +259,14 @@ def q_exact_collapse(spark, sf_dir):
 
 
 def q_similar_pairs(spark, sf_dir):
-    from ..operators.dedup import _node_attrs, entry_nodes, similar_edges
-
-    attrs = _node_attrs(entry_nodes(_docs(spark, sf_dir)))
-    return similar_edges(attrs).select(F.col("a.p").alias("a_id"), F.col("b.p").alias("b_id"))
+    from ..operators.dedup import _node_attrs, entry_nodes, numbered, similar_edges
+
+    nodes = numbered(entry_nodes(_docs(spark, sf_dir)).checkpoint()).checkpoint()
+    pairs = similar_edges(_node_attrs(nodes))
+    ids = nodes.select("seq", F.col("node.p").alias("id"))
+    a = ids.select(F.col("seq").alias("a"), F.col("id").alias("a_id"))
+    b = ids.select(F.col("seq").alias("b"), F.col("id").alias("b_id"))
+    return pairs.join(a, "a").join(b, "b").select("a_id", "b_id")
 
 
 def q_trim(spark, sf_dir):

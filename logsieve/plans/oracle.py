@@ -191,7 +191,27 @@ SQL["report_stats"] = _with(_STAT_ITEMS)
 
 
 # --- near-duplicate trimming -------------------------------------------------
-from ..functions.similarity import NORMALIZE_RULES  # noqa: E402
+# --- fixed values: normalisation rules, stated apart from the code they check ---
+NORMALIZE_RULES = (
+    (r"\b[0-9a-f]{8}\b", "ID_SHORT"),
+    (r"\b[0-9a-f]{32}\b", "ID_LONG"),
+    (r"\b[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}\b", "UUID"),
+    (r"\b([0-9a-f]{6,31})\b", "ID"),
+    (r"\d{4}[-/]\d{1,2}[-/]\d{1,2}", "DATE"),
+    (r"\d{1,2}[-/]\d{1,2}[-/]\d{2,4}", "DATE"),
+    (r"\d{1,2}:\d{1,2}(:\d{1,2})?(\.\d+)?", "TIME"),
+    (r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}", "IP"),
+    (r"(([0-9a-f]{1,4}:){7}|::)[0-9a-f]{1,4}", "IPV6"),
+    (r"\d+(\.\d+)?ms", "DURATION_MS"),
+    (r"\d+(\.\d+)?s", "DURATION_S"),
+    (r"\d+(\.\d+)?ns", "DURATION_NS"),
+    (r"\d+(\.\d+)?[mu]s", "DURATION_US"),
+    (r"\b\d{1,9}\b", "NUMBER"),
+    (r'"[^"]*"', "STRING"),
+    (r"'[^']*'", "STRING"),
+    (r"\b([a-zA-Z0-9_-]+\.)+[a-zA-Z0-9_-]+\b", "PATH"),
+    (r"\b\d+\.\d+\.\d+\b", "VERSION"),
+)
 
 _GO_SPACE_CHARS = "\t\n\x0b\x0c\r \x85\xa0 " + "".join(
     chr(c) for c in range(0x2000, 0x200B)) + "    　"

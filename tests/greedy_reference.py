@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import re
 
-from logsieve.functions.similarity import NORMALIZE_RULES
+from logsieve.plans.oracle import NORMALIZE_RULES
 
 _RULES = [(re.compile(p, re.ASCII), r) for p, r in NORMALIZE_RULES]
 _WS = re.compile(r"[\t\n\f\r ]+")
