@@ -425,11 +425,12 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def trim(entries: DataFrame) -> DataFrame:
-    """The leader entries with ``duplicate_count`` = entries they stand for."""
+def trim(entries: DataFrame, batch: int = _BATCH, growth: int = _GROWTH) -> DataFrame:
+    """The leader entries with ``duplicate_count`` = entries they stand for.
+    The batch sizes change the work, not the result."""
     ensure_checkpoint_dir(entries.sparkSession)
     nodes = numbered(entry_nodes(entries).checkpoint()).checkpoint()
-    claims = greedy_leaders(_node_attrs(nodes)).checkpoint()
+    claims = greedy_leaders(_node_attrs(nodes), batch, growth).checkpoint()
     more = claims.join(nodes.select("seq", "weight"), "seq").groupBy(F.col("leader").alias("seq")).agg(
         F.sum("weight").alias("more"))
     out = nodes.join(claims.select("seq"), "seq", "left_anti").join(more, "seq", "left")

@@ -54,9 +54,10 @@ def pattern_of() -> Column:
 
 # --- A1, A2, A5, A18: the single-row summary --------------------------------
 
-def summary(entries: DataFrame, weighted: bool = True) -> DataFrame:
+def summary(entries: DataFrame, weighted: bool = True, walls: bool = False) -> DataFrame:
     """One row: total, unique_rows, total_with_duplicates, start_ts, end_ts,
-    duration_s, error_count, error_rate, is_deduplicated."""
+    duration_s, error_count, error_rate, is_deduplicated; with ``walls`` also the
+    first and last entry's wall clock, from the same scan."""
     w = weight(weighted)
     dc = F.coalesce(F.col("duplicate_count"), F.lit(0))
     agg = entries.agg(
@@ -66,6 +67,7 @@ def summary(entries: DataFrame, weighted: bool = True) -> DataFrame:
         F.max(dc).alias("max_duplicate_count"),
         F.min("ts").alias("start_ts"),
         F.max("ts").alias("end_ts"),
+        *([F.min_by("wall_ts", "ts").alias("start_wall"), F.max_by("wall_ts", "ts").alias("end_wall")] if walls else []),
         F.sum(F.when(F.upper("level").isin(*ERROR_RATE_LEVELS), w).otherwise(0)).alias("error_count"),
     )
     return agg.select(
@@ -84,6 +86,7 @@ def summary(entries: DataFrame, weighted: bool = True) -> DataFrame:
             & (F.col("total_with_duplicates") > F.col("unique_rows"))
             & F.lit(weighted)
         ).alias("is_deduplicated"),
+        *(["start_wall", "end_wall"] if walls else []),
     )
 
 
@@ -289,8 +292,9 @@ def stat_items(entries: DataFrame, weighted: bool = True) -> DataFrame:
     )
 
 
-# Statistics kept as top-10 lists (their item count grows with the data);
-# the level, time-bucket and bucket-by-level statistics are bounded and kept whole.
+# Statistics kept as top-10 lists. A level is any text, so the level statistics
+# may have many items too: those and the time buckets are ranked to MOST_LEVELS.
+MOST_LEVELS = 10_000
 LIST_STATS = ("source", "user", "error", "pattern", "notif_type", "notif_status")
 
 
@@ -310,5 +314,5 @@ def ranked(stat_counts: DataFrame, top: int = 10) -> DataFrame:
     w = Window.partitionBy("stat").orderBy(F.desc("count"), F.asc("item"))
     is_list = F.col("stat").isin(*LIST_STATS)
     lists = stat_counts.where(is_list).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
-    whole = stat_counts.where(~is_list).withColumn("rank", F.row_number().over(w))
+    whole = stat_counts.where(~is_list).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= MOST_LEVELS)
     return lists.unionByName(whole)

@@ -13,7 +13,7 @@ from ..functions.text import extras_text
 from ..operators import filters as flt
 from ..operators import stats as st
 from ..sources import tables as tb
-from ..sources.staging import stage
+from ..sources.staging import source_state, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,7 +34,8 @@ BROWSE_TERM = "VIEW"
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rendered event lines, parsed once per session and staged as Parquet."""
-    return stage(spark, "event_parsed", sf_dir, lambda: tb.event_parsed(spark, sf_dir))
+    state = source_state(spark, f"{sf_dir.rstrip('/')}/events.parquet")
+    return stage(spark, "event_parsed", state, lambda: tb.event_parsed(spark, sf_dir))
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,12 +234,24 @@ QUERIES: dict[str, Query] = {
 
 # --- near-duplicate trimming ---------------------------------------------------
 
+def _documents_state(spark, sf_dir):
+    return source_state(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
+
+
+def _trimmed_docs(spark, sf_dir):
+    """Trimmed document entries, computed once per session for the queries on them."""
+    from ..operators.dedup import trim
+
+    return stage(spark, "document_trim", _documents_state(spark, sf_dir),
+                 lambda: trim(_docs(spark, sf_dir)), date_col=None)
+
+
 def _docs(spark, sf_dir):
     """Document entries with their normalised message, staged once per session."""
     from ..functions.similarity import normalize
 
     return stage(
-        spark, "document_entries", sf_dir,
+        spark, "document_entries", _documents_state(spark, sf_dir),
         lambda: tb.spread(tb.document_entries(spark, sf_dir)).withColumn("norm", normalize(F.col("message"))),
         date_col=None,
     )
@@ -278,24 +291,19 @@ def q_trim(spark, sf_dir):
 
 
 def q_trim_documents(spark, sf_dir):
-    from ..operators.dedup import trim
-
-    return trim(_docs(spark, sf_dir)).select(
+    return _trimmed_docs(spark, sf_dir).select(
         F.col("ord.p").alias("doc_id"), "level", "source", "duplicate_count"
     )
 
 
 def q_trim_report(spark, sf_dir):
-    from ..operators.dedup import trim, trim_report
+    from ..operators.dedup import trim_report
 
-    docs = _docs(spark, sf_dir)
-    return trim_report(docs, trim(docs))
+    return trim_report(_docs(spark, sf_dir), _trimmed_docs(spark, sf_dir))
 
 
 def q_dedup_summary(spark, sf_dir):
-    from ..operators.dedup import trim
-
-    s = st.summary(trim(_docs(spark, sf_dir)), weighted=True)
+    s = st.summary(_trimmed_docs(spark, sf_dir), weighted=True)
     return s.select("total", "unique_rows", "total_with_duplicates", "is_deduplicated")
 
 
@@ -344,9 +352,8 @@ def q_conversation_bundles(spark, sf_dir):
 
 def q_preview(spark, sf_dir):
     from ..operators.bundle import preview
-    from ..operators.dedup import trim
 
-    return preview(trim(_docs(spark, sf_dir))).select(F.col("ord.p").alias("doc_id"), "preview")
+    return preview(_trimmed_docs(spark, sf_dir)).select(F.col("ord.p").alias("doc_id"), "preview")
 
 
 def q_csv_rows(spark, sf_dir):
@@ -377,3 +384,59 @@ QUERIES.update({
     "json_rows": q_json_rows,
     "pretty_rows": q_pretty_rows,
 })
+
+
+# --- files, time order, weights ------------------------------------------------
+
+def _event_files(spark, sf_dir) -> list[str]:
+    """The rendered event lines as two folders of text files (even and odd
+    events) below the checkpoint folder, written once per session."""
+    from ..session import ensure_checkpoint_dir
+
+    state = source_state(spark, f"{sf_dir.rstrip('/')}/events.parquet")
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/event-files-{state[:16]}"
+    paths = [f"{root}/even", f"{root}/odd"]
+    lines = tb.event_lines(spark, sf_dir)
+    for k, path in enumerate(paths):
+        jvm = spark.sparkContext._jvm
+        done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+            lines.where(F.col("ord.p") % 2 == k).select("value").write.mode("overwrite").text(path)
+    return paths
+
+
+def q_scan_files(spark, sf_dir):
+    """Text files, read, parsed and merged by time."""
+    from ..sources.files import read_log_files
+
+    entries, _ = read_log_files(spark, _event_files(spark, sf_dir))
+    return entries.select(*[c for c in ENTRY_OUT if c != "line_id"], extras_text(F.col("extras")).alias("extras_text"))
+
+
+def q_tail_by_time(spark, sf_dir):
+    from ..operators.bundle import tail_sample
+    from ..sources.files import time_ordered
+
+    return tail_sample(time_ordered(_entries(spark, sf_dir)), TAIL_N).select("i", "line_id", "level", "message")
+
+
+def q_trim_by_time(spark, sf_dir):
+    from ..operators.dedup import trim
+    from ..sources.files import time_ordered
+
+    return trim(time_ordered(_entries(spark, sf_dir))).select(
+        F.col("ord.p").alias("event_id"), "level", "source", "message", "duplicate_count")
+
+
+def q_weighted_levels(spark, sf_dir):
+    from ..operators.dedup import trim
+
+    return st.level_counts(trim(_entries(spark, sf_dir)), weighted=True)
+
+
+QUERIES.update({
+    "scan_files": q_scan_files,
+    "tail_by_time": q_tail_by_time,
+    "trim_by_time": q_trim_by_time,
+    "weighted_levels": q_weighted_levels,
+})

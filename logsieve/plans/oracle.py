@@ -384,3 +384,19 @@ SQL["pretty_rows"] = _with(f"""SELECT line_id, concat(
        '  k: ', json_extract_string(e.props, '$.k'), {NL}) END,
   repeat('-', 80)) AS text
 FROM ev JOIN events e ON e.event_id = ev.event_id""")
+
+
+# --- files, time order, weights ------------------------------------------------
+SQL["scan_files"] = _with("""
+SELECT ts, wall_ts, tz_offset, level, message, source, "user", log_source, ack_id, type, status, extras_text FROM ev""")
+SQL["tail_by_time"] = _with(""", tail AS (SELECT * FROM ev ORDER BY ts DESC, event_id DESC LIMIT 100)
+SELECT CAST(row_number() OVER (ORDER BY ts, event_id) AS INTEGER) AS i, line_id, level, message FROM tail""")
+EVENT_TIME_ENTRIES = f"""{EV},
+tev AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS tid, * FROM ev),
+ent AS (SELECT tid AS id, level AS lvl_raw, source AS src_raw, message AS msg FROM tev)"""
+SQL["trim_by_time"] = "WITH RECURSIVE " + trim_sql(EVENT_TIME_ENTRIES) + """
+SELECT tev.event_id, tev.level, tev.source, tev.message, t.duplicate_count
+FROM trimmed t JOIN tev ON tev.tid = t.id"""
+SQL["weighted_levels"] = "WITH RECURSIVE " + trim_sql(EVENT_ENTRIES) + """
+SELECT upper(ev.level) AS level, CAST(sum(t.duplicate_count) AS BIGINT) AS count
+FROM trimmed t JOIN ev ON ev.event_id = t.id GROUP BY 1"""

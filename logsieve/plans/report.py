@@ -18,6 +18,7 @@ from ..operators import stats as st
 from ..schema import MONTHS, WEEKDAY_ABBREV, WEEKDAYS
 
 _BAR = "█"
+LEVELS_SHOWN = 100
 
 
 def go_duration(seconds: int) -> str:
@@ -43,16 +44,14 @@ def _items_line(items: list[tuple[str, int]], n: int, cut: int = 0) -> str:
 
 def analysis_report(entries: DataFrame, weighted: bool = True, verbose: bool = False) -> list[str]:
     """The report as text lines (compact or verbose)."""
-    summ = st.summary(entries, weighted).join(
-        entries.agg(F.min_by("wall_ts", "ts").alias("start_wall"),
-                    F.max_by("wall_ts", "ts").alias("end_wall"))
-    ).collect()[0]
+    summ = st.summary(entries, weighted, walls=True).collect()[0]
     if summ["unique_rows"] == 0:
         return ["No log entries to analyze."]
     counts: dict[str, list[tuple[str, int]]] = defaultdict(list)
-    # only what the text shows reaches the driver: every level, the 24/7/12
-    # time buckets, and the top 10 of each list statistic
-    shown = st.ranked(st.stat_items(entries, weighted)).where(~F.col("stat").endswith("_level"))
+    # only what the text shows reaches the driver: the 24/7/12 time buckets, the
+    # LEVELS_SHOWN largest levels (a level is any text) and the top 10 of each list
+    shown = st.ranked(st.stat_items(entries, weighted)).where(
+        ~F.col("stat").endswith("_level") & ((F.col("stat") != "level") | (F.col("rank") <= LEVELS_SHOWN)))
     for r in shown.orderBy("stat", "rank").collect():
         counts[r["stat"]].append((r["item"], int(r["count"])))
 

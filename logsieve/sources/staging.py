@@ -27,6 +27,19 @@ def _table_exists(spark: SparkSession, path: str) -> bool:
     return hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hp)
 
 
+def source_state(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of the files below ``path`` (metadata only): part of
+    a staged table's key, so changed sources are staged again."""
+    jvm = spark.sparkContext._jvm
+    hp = jvm.org.apache.hadoop.fs.Path(path)
+    files = hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(hp, True)
+    digest = hashlib.sha1()
+    while files.hasNext():
+        f = files.next()
+        digest.update(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}\n".encode())
+    return digest.hexdigest()
+
+
 def stage(spark: SparkSession, name: str, source_key: str, build: Callable[[], DataFrame],
           date_col: str | None = "ts") -> DataFrame:
     """Write ``build()`` once per (session, name, source) and read it back."""
@@ -38,10 +51,9 @@ def stage(spark: SparkSession, name: str, source_key: str, build: Callable[[], D
         df = build()
         writer = df
         if date_col:
-            # no shuffle: each task writes one file per date it holds (log
-            # splits are mostly time-contiguous), so a hot date is not funnelled
-            # into a single writer
-            writer = df.withColumn("dt", F.to_date(F.col(date_col))).sortWithinPartitions("dt")
+            # rebalanced by date: one file per date, and a hot date is split into
+            # several writers by its size
+            writer = df.withColumn("dt", F.to_date(F.col(date_col))).hint("rebalance", "dt")
             writer.write.mode("overwrite").partitionBy("dt").parquet(path)
         else:
             writer.write.mode("overwrite").parquet(path)

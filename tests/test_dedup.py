@@ -104,3 +104,29 @@ def test_equal_messages_across_many_sources(spark):
     got = sorted((r.ord.p, r.duplicate_count) for r in trim(_entries(spark, rows)).collect())
     exp = sorted(G.greedy([(i, lvl, src, msg) for i, (lvl, src, msg) in enumerate(rows)]))
     assert got == exp
+
+
+def test_small_batches_give_the_same_result(spark):
+    rows = _random_rows(11, 140)
+    got = sorted((r.ord.p, r.duplicate_count) for r in trim(_entries(spark, rows), batch=8, growth=3).collect())
+    assert got == sorted(G.greedy([(i, lvl, src, msg) for i, (lvl, src, msg) in enumerate(rows)]))
+
+
+def test_candidates_grow_with_the_nodes_not_their_pairs(spark):
+    from logsieve.operators.dedup import Keys, _node_attrs, entry_nodes, numbered
+
+    def name(i):
+        return "".join(chr(103 + (i * 7919 >> (4 * k)) % 16) for k in range(6)) + chr(103 + i % 16)
+
+    for form in ("failed for %s", "worker_%s"):
+        counts = []
+        for n in (150, 300):
+            nodes = numbered(entry_nodes(_entries(spark, [("info", "a.go:1", form % name(i)) for i in range(n)])))
+            attrs = _node_attrs(nodes.checkpoint())
+            counts.append(Keys(attrs).candidates(attrs.select("seq")).count())
+        assert counts[1] < 3 * max(counts[0], 150) and counts[1] < 300 * 299 / 20, (form, counts)
+
+
+def test_counts_beyond_an_int(spark):
+    big = _entries(spark, [("info", "a", "x"), ("info", "a", "x")])
+    assert dict(trim(big).dtypes)["duplicate_count"] == "bigint"
