@@ -328,9 +328,11 @@ SQL["bundle_lines"] = _with(TAIL + f"\nSELECT i, {BLOCK} AS block FROM t")
 SQL["bundle_prompt"] = _with(TAIL + f""", b AS (SELECT i, {BLOCK} AS block FROM t)
 SELECT count(*) AS entries, CAST(count(*) AS BIGINT) AS represented, false AS has_duplicates,
   concat(count(*), ' server log entries') AS description,
-  concat('Here are ', count(*), ' server log entries to analyze:', {NL}, {NL},
-         string_agg(block, '' ORDER BY i), {NL}, {NL},
-         'Please provide a detailed analysis of these logs.') AS prompt
+  concat('Log excerpt with ', count(*), ' server log entries:', {NL}, {NL},
+         string_agg(block, '' ORDER BY i), {NL},
+         'Say what went wrong, since when, and what to look at next.') AS prompt,
+  'You read server logs for the people who run the server. '
+  || 'Name the faults first, then causes, then next steps.' AS instructions
 FROM b""")
 SQL["conversation_bundles"] = f"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS level, coalesce(text, '') AS message,
@@ -341,9 +343,11 @@ t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM
 b AS (SELECT conv_id, i, concat(i, '. [', {TS_TEXT}, '] [', level, '] : ', message, {NL}, {NL}) AS block FROM t)
 SELECT conv_id, count(*) AS entries, CAST(count(*) AS BIGINT) AS represented, false AS has_duplicates,
   concat(count(*), ' server log entries') AS description,
-  concat('Here are ', count(*), ' server log entries to analyze:', {NL}, {NL},
-         string_agg(block, '' ORDER BY i), {NL}, {NL},
-         'Please provide a detailed analysis of these logs.') AS prompt
+  concat('Log excerpt with ', count(*), ' server log entries:', {NL}, {NL},
+         string_agg(block, '' ORDER BY i), {NL},
+         'Say what went wrong, since when, and what to look at next.') AS prompt,
+  'You read server logs for the people who run the server. '
+  || 'Name the faults first, then causes, then next steps.' AS instructions
 FROM b GROUP BY conv_id"""
 SQL["preview"] = "WITH RECURSIVE " + trim_sql(DOC_ENTRIES) + """
 SELECT t.id AS doc_id,
