@@ -95,7 +95,7 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int = SHINGLE,
     return out, of
 
 
-def batches(texts: list, most_bytes: int = 8 << 20):
+def batches(texts: list, most_bytes: int = 1 << 20):
     """Slices of a list of texts (None: empty) with about ``most_bytes`` each, so
     the arrays above stay bounded; one longer text is a slice of its own."""
     start, size = 0, 0

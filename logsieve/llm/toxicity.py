@@ -211,7 +211,7 @@ def _fit_task(share_toxic: float):
         # classes are sampled apart: rows count as many as they stand for
         weight = frame["group_n"].to_numpy(np.float64) / np.bincount(labels, minlength=2)[labels]
         h, of, at = [], [], 0
-        for a, b in S.batches(texts, 4 << 20):
+        for a, b in S.batches(texts):
             x, d, _ = evidence(texts[a:b])
             dd, hh, cc = _counts(x, d)
             cc = np.minimum(cc, max(LEVELS))
@@ -219,7 +219,7 @@ def _fit_task(share_toxic: float):
             of.append(np.repeat(dd + a, cc))
         lexicon, levels = induce(np.concatenate(h), np.concatenate(of), labels)
         features = Features(lexicon, levels)
-        parts = [features(texts[a:b]) for a, b in S.batches(texts, 2 << 20)]
+        parts = [features(texts[a:b]) for a, b in S.batches(texts)]
         votes, x = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         share = min(max(share_toxic, 1e-3), 0.999)
         q = label_model(votes, labels.astype(np.float64), weight, share)
@@ -246,7 +246,7 @@ def _score(model):
         features = Features(lexicon, levels)
         for frame in frames:
             texts, score = frame["text"].tolist(), np.zeros(len(frame))
-            for a, b in S.batches(texts, 2 << 20):
+            for a, b in S.batches(texts):
                 _, x = features(texts[a:b])
                 score[a:b] = 1.0 / (1.0 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
             yield frame.drop(columns="text").assign(score=score, predicted=(score >= 0.5).astype(np.int32))
@@ -290,7 +290,7 @@ def drop_toxic(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLA
         features = Features(lexicon, levels)
         for batch in batches:
             texts, clean = batch.column("text").to_pylist(), np.ones(batch.num_rows, dtype=bool)
-            for a, b in S.batches(texts, 2 << 20):
+            for a, b in S.batches(texts):
                 clean[a:b] = features(texts[a:b])[1] @ w[:-1] + w[-1] < 0
             yield batch.filter(pa.array(clean))
 
