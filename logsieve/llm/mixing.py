@@ -163,8 +163,9 @@ def mix(documents: DataFrame, **options) -> DataFrame:
 def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of ``documents`` as often as it is taken, with
     copy_no (1, 2, ...)."""
-    found = mix(documents, **options).groupBy("doc_id").agg(F.max("copies").alias("copies")).filter("copies > 0")
-    found = found.withColumnRenamed("doc_id", "mixed_id")
+    taken = mix(documents, **options).groupBy("doc_id").agg(F.max("copies").alias("copies")).filter("copies > 0")
+    # names that no column of the input is likely to have
+    taken = taken.select(F.col("doc_id").alias("__mix_id"), F.col("copies").alias("__mix_copies"))
     kept = [c for c in documents.columns if c != "copy_no"]
-    return (documents.select(kept).join(found, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
-            .select(*kept, F.explode(F.sequence(F.lit(1), "copies")).alias("copy_no")))
+    return (documents.select(kept).join(taken, F.col("doc_id").eqNullSafe(F.col("__mix_id")))
+            .select(*kept, F.explode(F.sequence(F.lit(1), "__mix_copies")).alias("copy_no")))
