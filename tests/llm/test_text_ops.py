@@ -147,7 +147,10 @@ def test_personal_data_rows(docs, spark):
     texts = table(spark, SF, "documents")
     rows = [(1, "mail a.b@mail.example.com or +1 (555) 010-7788 now"), (1, "mail a.b@mail.example.com or +1 (555) 010-7788 now"),
             (2, None), (3, ""), (4, "please write to anna (at) mail dot com now"), (None, "host 10.0.0.1"),
-            (5, "1" * 200000), (6, "nothing here"), (7, "call (555) 123-4567 today")]
+            (5, "1" * 200000), (6, "nothing here")]
+    r = np.random.default_rng(77)  # not the seed of the training examples
+    planted = [(5000 + i, i % 4, f"We were told {pii.make_span(r, i % 4)} was right, and the and of it.") for i in range(200)]
+    rows += [(d, t) for d, _, t in planted]
     found = pii.find_personal_data(docs(rows).select("doc_id", "text").unionByName(texts.select("doc_id", "text")
                                    .withColumn("doc_id", texts.doc_id + 1000))).collect()
     by = {r.doc_id: r for r in found}
@@ -155,8 +158,10 @@ def test_personal_data_rows(docs, spark):
     assert by[2].spans == by[3].spans == by[6].spans == "" == by[5].spans
     assert by[2].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert by[None].n_ip == 1
-    assert by[4].spans.startswith("email:") and by[4].n_email == 0  # found by the network
-    assert by[7].spans.startswith("phone:")
+    # base patterns and network together, on spans neither was written for
+    right = sum(by[d].spans.startswith(pii.KINDS[k] + ":13:") for d, k, _ in planted)
+    base = sum(pii.told(plain_spans(t)).startswith(pii.KINDS[k] + ":13:") for _, k, t in planted)
+    assert right >= 0.8 * len(planted) and right > base + 30, (right, base)
     for r in texts.collect():
         base = pii.told(plain_spans(r.text or ""))
         assert by[r.doc_id + 1000].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
