@@ -180,8 +180,10 @@ def identify_languages(documents: DataFrame, per_lang: int = PER_LANG) -> DataFr
     out = F.coalesce(remainder(F.col("doc_id"), FOLDS) == HELD, F.lit(False))
     docs = documents.select(F.col("doc_id").cast("long"), "text", "lang", out.alias("held_out"))
     learn = docs.filter("not held_out and doc_id is not null and lang is not null and text is not null")
-    sample = bounded_sample(learn.select("doc_id", "lang"), "lang", per_lang).select("doc_id", "lang")
-    rows = keep(learn.join(sample.distinct(), ["doc_id", "lang"]).select("doc_id", "lang", "text"), "langid-sample")
+    # written first: its size is known then, and the texts need no shuffle to meet it
+    sample = keep(bounded_sample(learn.select("doc_id", "lang"), "lang", per_lang)
+                  .select("doc_id", "lang").distinct(), "langid-ids")
+    rows = keep(learn.join(sample, ["doc_id", "lang"]).select("doc_id", "lang", "text"), "langid-sample")
     scored = spread(docs.select("doc_id", "held_out", "text"))
     if rows.isEmpty():
         return scored.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
