@@ -6,8 +6,15 @@ tag, ...) and the evidence of its containers give a log-odds for "content", whic
 becomes a capacity to the source or the sink. Neighbouring blocks, and blocks
 with the same parent, are tied by edges whose capacity halves with each step
 between them in the element tree. The minimum cut (Dinic's maximum flow) parts
-content from boilerplate. Blocks inside scripts, navigation, footers, adverts,
-forms, reader comments and the like are tied to the sink for good.
+content from boilerplate. Blocks inside scripts, navigation, footers, asides, forms,
+hidden elements and the like are tied to the sink for good.
+
+Class and id words only weigh. A name made of nothing but words of page parts
+("sidebar", "ad-box") draws each block of its element to the sink, a reader-comment
+name more so; a name with other words beside them ("related-work", "has-sidebar"),
+or the id of a section of an article, is one node of the cut, tied to the element's
+blocks, so that they go or stay together by their own look. Neither counts for an
+element that holds the page's main element or most of its paragraph text.
 
 The classifier is trained, in one task, on the blocks of at most ``SAMPLE`` pages:
 what stands in an article or main element counts as content, what stands in
@@ -40,6 +47,8 @@ from .sampling import bounded_sample
 SAMPLE = 300
 SMOOTH = 2.0
 INSIDE, OUTSIDE, HINT = 6.0, -4.0, 2.0
+# what a name costs: a block in a comment or a page part; an element with a doubtful name, and its tie to its blocks
+COMMENT, PART, DOUBT, TIE = -16.0, -8.0, -1.5, 4.0
 
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
@@ -51,14 +60,22 @@ GONE = frozenset("nav footer aside menu dialog head button select option optgrou
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar "
                   "tablist form".split())
 # class and id words of page parts that are not the article
-COMMENTS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
 PARTS = frozenset(
     "nav navbar navigation navi topnav subnav menu menus submenu sidebar side rail aside footer foot bottom header masthead "
     "topbar top ad ads adv advert adverts advertisement advertising adsense adbox adslot sponsor sponsored promo promotion "
     "banner cookie cookies consent gdpr notice notices notification alert warning popup modal overlay dialog newsletter "
     "subscribe subscription signup signin login register share sharing social follow related recommended recommendations "
     "popular trending breadcrumb breadcrumbs pagination pager toolbar widget widgets tags taglist copyright legal disclaimer "
-    "skip search searchbox form hidden print".split())
+    "skip search searchbox form hidden print discussion".split())
+# words that are hardly ever about a subject, but for names like "has-ads"
+SURE = frozenset("ad ads adv advert adverts advertisement advertising adsense adbox adslot sponsored promo newsletter".split())
+STATES = frozenset("has with without no show hide".split())
+# words that say nothing beside those
+NEUTRAL = frozenset(
+    "area bar block box bottom button buttons card cards col column container group icon icons inner item items left link "
+    "links list main middle outer panel post posts articles stories right row section site slot title top unit wrap "
+    "wrapper".split())
 BODY = frozenset("article content main post entry story text body articlebody prose".split())
 
 _TOKEN = re.compile(
@@ -73,7 +90,7 @@ _STOP = re.compile(r"©|\bcopyright\b|all rights reserved|privacy policy|cookie|
 
 
 class Element:
-    __slots__ = ("name", "parent", "depth", "gone", "form", "inside", "hint", "weak")
+    __slots__ = ("name", "parent", "depth", "gone", "form", "inside", "hint", "weak", "marks", "cost", "main")
 
     def __init__(self, name, parent, attrs=""):
         self.name, self.parent = name, parent
@@ -83,6 +100,9 @@ class Element:
         self.inside = bool(parent and parent.inside)
         self.hint = parent.hint if parent else 0.0
         self.weak = parent.weak if parent else None  # what the training labels say
+        self.marks = parent.marks if parent else ()  # the elements around it, itself too, named like a page part
+        self.cost = 0.0  # of its own name
+        self.main = parent.main if parent else None  # the article or main element it is in
         if name in GONE:
             self.gone = True
             self.weak = 0 if name in ("nav", "footer", "aside") else self.weak
@@ -90,6 +110,7 @@ class Element:
             self.form = self
         elif name in ("article", "main"):
             self.inside = True
+            self.main = self if self.main is None or name == "main" else self.main
             self.weak = 1 if self.weak is None else self.weak
         elif name == "header" and not self.inside:
             self.gone = True
@@ -97,18 +118,20 @@ class Element:
             self._read(attrs)
 
     def _read(self, attrs):
-        words = set()
+        words, names, outer = set(), [], self.inside
         for m in _ATTR.finditer(attrs):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
-                words.update(w.lower() for w in _WORDS.findall(value))
+                for name in value.split():
+                    names.append((key, {w.lower() for w in _WORDS.findall(name)}))
+                    words |= names[-1][1]
             elif key == "role":
                 if value.lower() in ROLES:
                     self.gone = True
                 elif value.lower() in ("main", "article"):
-                    self.inside = True
+                    self.inside, self.main = True, self.main or self
             elif key == "itemprop" and value.lower() == "articlebody":
-                self.inside = True
+                self.inside, self.main = True, self.main or self
             elif (key == "hidden" and m[0].lower().startswith("hidden") and m.start() == 0 or
                   key == "hidden" and attrs[m.start() - 1].isspace() or
                   key == "aria-hidden" and value.lower() == "true" or
@@ -117,14 +140,20 @@ class Element:
         if not words or self.name in ("html", "body", "article", "main"):
             return
         if words & COMMENTS:
-            self.gone, self.weak = True, 0
+            own = any(w & BODY and not w & COMMENTS for _, w in names)  # as in "entry-content comments-open"
+            self.cost = DOUBT if own else COMMENT
         elif words & PARTS:
-            if words & BODY or self.name in ("h1", "h2", "p"):
+            if words & BODY or self.name in ("h1", "h2", "h3", "h4", "h5", "h6", "p"):
                 self.hint -= HINT / 2
             else:
-                self.gone, self.weak = True, 0
+                # the id of a section within the article may be its heading's
+                sure = any(w & PARTS and (w <= PARTS | NEUTRAL or w & SURE and not w & STATES)
+                           and w != {"discussion"} and not (outer and key == "id" and self.name == "section") for key, w in names)
+                self.cost = PART if sure else DOUBT
         elif words & BODY:
             self.hint += HINT
+        if self.cost:
+            self.marks += (self,)
 
 
 class Block:
@@ -201,7 +230,7 @@ def blocks_of(page: str | None) -> list[Block]:
             elif attrs and name not in VOID and ("class" in attrs or "id" in attrs or "role" in attrs):
                 # an inline element that names a page part counts as a block
                 e = Element(name, top, attrs)
-                if e.gone and not top.gone:
+                if e.gone and not top.gone or e.cost:
                     top = e
                     close()
         elif name == "a":
@@ -312,9 +341,8 @@ def steps_between(a: Element, b: Element) -> int:
     return d
 
 
-def content_blocks(blocks: list[Block], weights: np.ndarray) -> list[Block]:
-    if not blocks:
-        return []
+def free_blocks(blocks: list[Block]) -> list[Block]:
+    """The blocks that are not tied to the sink."""
     # a form around most of the page's paragraphs is the page, not a form
     total = sum(b.size for b in blocks)
     inside: dict = {}
@@ -322,13 +350,50 @@ def content_blocks(blocks: list[Block], weights: np.ndarray) -> list[Block]:
         if b.element.form:
             inside[b.element.form] = inside.get(b.element.form, 0) + b.size * (b.element.name == "p")
     whole = {f for f, size in inside.items() if 2 * size > total}
-    free = [b for b in blocks if not b.element.gone and (b.element.form is None or b.element.form in whole)]
+    return [b for b in blocks if not b.element.gone and (b.element.form is None or b.element.form in whole)]
+
+
+def wrappers(free: list[Block]) -> set[Element]:
+    """The elements whose names do not count: they hold the main element or most
+    of the page's paragraph text (of its text, if it has no paragraphs)."""
+    only_p = any(b.element.name == "p" for b in free)
+    total, held, out = 0, {}, set()
+    heads = [b for b in free if b.element.name == "h1" or b.element.inside]
+    for b in free:
+        size = b.size * (not only_p or b.element.name == "p")
+        total += size
+        for m in b.element.marks:
+            held[m] = held.get(m, 0) + size
+        main = b.element.main
+        if main:
+            out.update(m for m in main.marks if main.name == "main" or m.cost == DOUBT)
+    for m, size in held.items():
+        # comments may be longer than what they are about
+        if 2 * size > total and (m.cost != COMMENT or all(m in b.element.marks for b in heads)):
+            out.add(m)
+    return out
+
+
+def content_blocks(blocks: list[Block], weights: np.ndarray) -> list[Block]:
+    free = free_blocks(blocks)
     if not free:
         return []
-    gain = np.array([look(b) for b in free]) @ weights
-    named = any(b.element.inside for b in free)
-    for i, b in enumerate(free):
-        gain[i] += b.element.hint + (INSIDE if b.element.inside else OUTSIDE if named else 0.0)
+    idle = wrappers(free)
+    marks = [[m for m in b.element.marks if m not in idle] for b in free]
+    gain = (np.array([look(b) for b in free]) @ weights).tolist()
+    named = any(b.element.inside and not of for b, of in zip(free, marks))
+    doubts: dict = {}
+    ties = []
+    for i, (b, of) in enumerate(zip(free, marks)):
+        gain[i] += b.element.hint + (OUTSIDE if named and not b.element.inside else
+                                     INSIDE if b.element.inside and not of else 0.0)
+        cost = min((m.cost for m in of), default=0.0)
+        if cost == DOUBT:  # nothing surer around it
+            gain[i] += INSIDE / 3 if b.element.inside else 0.0
+            ties.append((doubts.setdefault(of[-1], len(free) + len(doubts)), i, TIE))
+        else:
+            gain[i] += cost
+    gain = np.array(gain + [DOUBT] * len(doubts))
     edges, last = [], {}
     for i, b in enumerate(free):
         if i:
@@ -337,7 +402,7 @@ def content_blocks(blocks: list[Block], weights: np.ndarray) -> list[Block]:
         if last.get(parent, i - 1) != i - 1:
             edges.append((last[parent], i, SMOOTH / 4))
         last[parent] = i
-    side = min_cut(gain, edges)
+    side = min_cut(gain, edges + ties)
     return [b for b, yes in zip(free, side) if yes]
 
 
@@ -351,10 +416,14 @@ def train_weights(pages: list) -> np.ndarray:
     and is drawn to."""
     x, y = [], []
     for page in pages:
-        for b in blocks_of(page):
-            if b.element.weak is not None:
+        blocks = blocks_of(page)
+        idle = wrappers(free_blocks(blocks))
+        for b in blocks:
+            cost = min((m.cost for m in b.element.marks if m not in idle), default=0.0)
+            weak = b.element.weak if not cost else None if cost == DOUBT else 0
+            if weak is not None:
                 x.append(look(b))
-                y.append(b.element.weak)
+                y.append(weak)
     y = np.array(y, dtype=float)
     if not len(y) or y.min() == y.max():
         return DEFAULT

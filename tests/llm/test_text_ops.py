@@ -38,6 +38,30 @@ def test_main_text():
         assert html_mincut.main_text(broken) == ""
 
 
+STORM = "<article><h1>The storm</h1><p>The night of the storm was long, and many trees fell across the south.</p>%s</article>"
+
+
+@pytest.mark.parametrize("name", ["layout has-sidebar", "overflow-hidden", "with-header", "comments-enabled", "sidebar"])
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_names_of_wrappers_do_not_count(name, tag):
+    page = (STORM % "").replace("article", tag)
+    assert html_mincut.main_text(f'<div class="{name}"><div class="menu"><a href=x>Home</a></div>{page}</div>') == \
+        "The storm\nThe night of the storm was long, and many trees fell across the south."
+
+
+def test_sections_named_like_page_parts():
+    said = "<h2>Earlier work</h2><p>Earlier studies of storms counted the trees but not the towns.</p>"
+    for names in ('section id="related-work"', 'section class="social-history"', 'section id="discussion"', 'div id="related-work"'):
+        assert html_mincut.main_text(STORM % f"<{names}>{said}</{names.split()[0]}>").endswith(
+            "south.\nEarlier work\nEarlier studies of storms counted the trees but not the towns."), names
+    assert html_mincut.main_text(STORM % '<h2 id="discussion">Discussion</h2><p>Storms are longer.').endswith(
+        "\nDiscussion\nStorms are longer.")
+    for other in ('<div class="ad-box">Buy one now, get a second free!</div>',
+                  '<div class="related-posts"><h3>Related</h3><ul><li><a href=z>Other storm of the year</a><li><a href=y>More</a></ul></div>',
+                  '<section id="comments"><ol class="comment-list"><li><article class="comment-body"><p>' + "I remember this night. " * 30):
+        assert html_mincut.main_text(STORM % other) == html_mincut.main_text(STORM % ""), other
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.floats(-3, 3), min_size=1, max_size=7), st.lists(st.floats(0, 2), min_size=12, max_size=12))
 def test_min_cut_is_minimal(gain, weights):
