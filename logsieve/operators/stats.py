@@ -292,19 +292,38 @@ def stat_items(entries: DataFrame, weighted: bool = True) -> DataFrame:
     )
 
 
-# Statistics kept as top-10 lists. A level is any text, so the level statistics
-# may have many items too: those and the time buckets are ranked to MOST_LEVELS.
-MOST_LEVELS = 10_000
+# Statistics kept as top-10 lists. A level is any text, so the other statistics
+# may have many items too; all of those are ranked.
 LIST_STATS = ("source", "user", "error", "pattern", "notif_type", "notif_status")
 
 
+def _all_ranked(counts: DataFrame) -> DataFrame:
+    """``rank`` of every item in its statistic. Range-partitioned and sorted, so a
+    rank is a row's place in its partition and statistic plus the rows of the
+    statistic in the partitions before (one count per partition and statistic
+    on the driver)."""
+    order = ["stat", F.desc("count"), F.asc("item")]
+    rows = counts.repartitionByRange(*order).sortWithinPartitions(*order).select(
+        "*", F.monotonically_increasing_id().alias("_id")).checkpoint()
+    rows = rows.withColumn("_part", F.shiftright("_id", 33))
+    groups = rows.groupBy("_part", "stat").agg(
+        F.count(F.lit(1)).alias("n"), F.min("_id").alias("first")).orderBy("_part", "stat").collect()
+    starts, at = [], {}
+    for r in groups:
+        starts.append((r["_part"], r["stat"], at.get(r["stat"], 0) - r["first"] + 1))
+        at[r["stat"]] = at.get(r["stat"], 0) + r["n"]
+    offsets = counts.sparkSession.createDataFrame(starts, "_part bigint, stat string, _start bigint")
+    return rows.join(F.broadcast(offsets), ["_part", "stat"]).select(
+        *counts.columns, (F.col("_id") + F.col("_start")).cast("int").alias("rank"))
+
+
 def ranked(stat_counts: DataFrame, top: int = 10) -> DataFrame:
     """Rank items inside each statistic (count desc, item asc).
 
     List statistics keep their ``top`` items: the ``rank <= top`` filter lets
     Spark cut each statistic to ``top`` rows per partition before the shuffle
     (WindowGroupLimit), so a statistic with millions of distinct items never
-    lands whole in one task."""
+    lands whole in one task. The others keep all items (``_all_ranked``)."""
     from ..session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(stat_counts.sparkSession)
@@ -314,5 +333,4 @@ def ranked(stat_counts: DataFrame, top: int = 10) -> DataFrame:
     w = Window.partitionBy("stat").orderBy(F.desc("count"), F.asc("item"))
     is_list = F.col("stat").isin(*LIST_STATS)
     lists = stat_counts.where(is_list).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
-    whole = stat_counts.where(~is_list).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= MOST_LEVELS)
-    return lists.unionByName(whole)
+    return lists.unionByName(_all_ranked(stat_counts.where(~is_list)))
