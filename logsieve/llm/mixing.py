@@ -12,8 +12,9 @@ The meetings form a reduction tree: documents fall into small blocks of one
 source, a block folds to at most one undecided document, those fall into blocks
 again, and so on; the last one of a source is rounded alone. Every block is
 bounded by ``block`` rows (about, at the first level, where a hash deals them
-out), however large its source is. All random numbers are hashes of document
-ids and a seed, so reruns agree.
+out), however large its source is. All random numbers are hashes of whole rows
+(with a number for equal rows) and a seed, so reruns agree and rows that share an
+id are rounded apart.
 
 Only DataFrame / SQL expressions are used. Defined results: a null or empty
 text has size 0 and takes 0 words; the null source is a source of its own and
@@ -25,7 +26,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keep
@@ -83,14 +84,16 @@ END
 """
 _SETTLE = """
 struct(
-  CASE WHEN z.ra > 0 AND z.ra < st.r.s THEN named_struct('h', st.r.h, 'id', st.r.id, 's', st.r.s, 'a', z.ra, 'row', st.r.row)
-       WHEN z.xa > 0 AND z.xa < x.s THEN named_struct('h', x.h, 'id', x.id, 's', x.s, 'a', z.xa, 'row', x.row) END as r,
+  CASE WHEN z.ra > 0 AND z.ra < st.r.s THEN named_struct('h', st.r.h, 'id', st.r.id, 's', st.r.s, 'a', z.ra, 'row', st.r.row, 'key', st.r.key)
+       WHEN z.xa > 0 AND z.xa < x.s THEN named_struct('h', x.h, 'id', x.id, 's', x.s, 'a', z.xa, 'row', x.row, 'key', x.key) END as r,
   concat(st.done,
-         IF(z.ra > 0 AND z.ra < st.r.s, array(), array(named_struct('id', st.r.id, 's', st.r.s, 'more', IF(z.ra > 0, 1, 0), 'row', st.r.row))),
-         IF(z.xa > 0 AND z.xa < x.s, array(), array(named_struct('id', x.id, 's', x.s, 'more', IF(z.xa > 0, 1, 0), 'row', x.row)))) as done)
+         IF(z.ra > 0 AND z.ra < st.r.s, array(), array(named_struct('id', st.r.id, 's', st.r.s, 'more', IF(z.ra > 0, 1, 0), 'row', st.r.row, 'key', st.r.key))),
+         IF(z.xa > 0 AND z.xa < x.s, array(), array(named_struct('id', x.id, 's', x.s, 'more', IF(z.xa > 0, 1, 0), 'row', x.row, 'key', x.key)))) as done)
 """
-_ITEM = "struct<h:bigint,id:bigint,s:double,a:double,row:int>"
-_DONE = "array<struct<id:bigint,s:double,more:int,row:int>>"
+_ITEM = "struct<h:bigint,id:bigint,s:double,a:double,row:int,key:string>"
+_DONE = "array<struct<id:bigint,s:double,more:int,row:int,key:string>>"
+# equal rows numbered at once
+RUN = 4096
 
 
 def _fold(seed: int) -> str:
@@ -99,11 +102,22 @@ def _fold(seed: int) -> str:
     return f"aggregate(items, {start}, (st, x) -> cast({meet} as struct<r:{_ITEM},done:{_DONE}>))"
 
 
-def copies(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST,
+def _single_rows(sizes: DataFrame) -> DataFrame:
+    """One row for each row of ``sizes`` (doc_id, source, size, key), with nth (0,
+    1, ...) among the equal ones. They are counted and dealt out again by runs, so
+    no task meets all rows of an id."""
+    run = (sizes.groupBy("doc_id", "source", "size", "key").agg(F.count(F.lit(1)).alias("k"))
+           .withColumn("at", F.explode(F.expr(f"sequence(0L, k - 1, {RUN}L)")))
+           .repartition("doc_id", "source", "size", "key", "at"))
+    return run.select("doc_id", "source", "size", "key",
+                      F.explode(F.expr(f"sequence(at, least(at + {RUN}, k) - 1)")).alias("nth"))
+
+
+def _row_copies(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST,
            block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """``sizes``: doc_id, source, size. Returns doc_id, source, size,
-    source_size, target and copies (a whole number of at most ``most``)."""
-    sizes = keep(sizes.select(F.col("doc_id").cast("long"), F.col("source"), F.col("size").cast("long")), "mix-sizes")
+    """``copies`` with the rows' key; ``sizes`` has it too."""
+    sizes = sizes.select(F.col("doc_id").cast("long"), F.col("source"), F.col("size").cast("long"), F.col("key"))
+    sizes = keep(_single_rows(sizes), "mix-sizes")
     goals = keep(targets(sizes, weights, share, most), "mix-targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     g = goals.select(F.col("source").alias("src"), "source_size", "target", "n",
@@ -114,13 +128,13 @@ def copies(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     base = base.withColumn("whole", whole).withColumn("mass", part * F.col("size"))
     open_ = (F.col("size") > 0) & (F.col("mass") > 0) & (F.col("mass") < F.col("size"))
     settled = [base.filter(~open_).select(
-        "source", "doc_id", "size", F.when(F.col("size") > 0, F.col("whole")).otherwise(0).alias("copies"))]
-    number = F.xxhash64(F.lit(seed), F.col("doc_id"))
+        "source", "doc_id", "size", "key", F.when(F.col("size") > 0, F.col("whole")).otherwise(0).alias("copies"))]
+    number = F.xxhash64(F.lit(seed), "doc_id", F.col("source").isNull(), "source", "size", "key", "nth")
     n_blocks = F.ceil(F.col("n") / F.lit(block))
     level = base.filter(open_).select(
         "source", "whole", F.pmod(number, n_blocks).alias("block"),
         F.struct(number.alias("h"), F.col("doc_id").alias("id"), F.col("size").cast("double").alias("s"),
-                 F.col("mass").alias("a"), F.col("whole").alias("row")).alias("item"))
+                 F.col("mass").alias("a"), F.col("whole").alias("row"), F.col("key")).alias("item"))
     most_rows = goals.agg(F.max("n")).first()[0] or 0
     n_levels = 1 + max(0, math.ceil(math.log(max(1, most_rows / block), block)))
     for k in range(n_levels + 1):
@@ -129,7 +143,7 @@ def copies(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
                   .select("source", "block", F.expr(_fold(seed + k)).alias("st")))
         folded = keep(folded, f"mix-level{k}")
         settled.append(folded.select("source", F.explode("st.done").alias("d")).select(
-            "source", F.col("d.id").alias("doc_id"), F.col("d.s").cast("long").alias("size"),
+            "source", F.col("d.id").alias("doc_id"), F.col("d.s").cast("long").alias("size"), F.col("d.key").alias("key"),
             (F.col("d.row") + F.col("d.more")).alias("copies")))
         left = folded.filter("st.r is not null").select(
             "source", F.floor(F.col("block") / block).alias("block"), F.col("st.r").alias("item"))
@@ -138,34 +152,49 @@ def copies(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     # one document of a source is left: rounded on its own
     lone = F.pmod(F.xxhash64(F.lit(seed), F.lit("last"), F.col("item.h")), F.lit(1048576)) / 1048576.0
     settled.append(left.select(
-        "source", F.col("item.id").alias("doc_id"), F.col("item.s").cast("long").alias("size"),
+        "source", F.col("item.id").alias("doc_id"), F.col("item.s").cast("long").alias("size"), F.col("item.key").alias("key"),
         (F.col("item.row") + (lone * F.col("item.s") < F.col("item.a")).cast("int")).alias("copies")))
     rows = settled[0]
     for more in settled[1:]:
         rows = rows.unionByName(more)
     return (rows.join(g, rows["source"].eqNullSafe(g["src"]))
-            .select("doc_id", "source", "size", "source_size", "target", F.col("copies").cast("int").alias("copies")))
+            .select("doc_id", "source", "size", "key", "source_size", "target", F.col("copies").cast("int").alias("copies")))
+
+
+def copies(sizes: DataFrame, **options) -> DataFrame:
+    """``sizes``: doc_id, source, size. Returns doc_id, source, size,
+    source_size, target and copies (a whole number of at most ``most``)."""
+    return _row_copies(sizes.select("doc_id", "source", "size", F.lit("").alias("key")), **options).drop("key")
+
+
+def _key(documents: DataFrame) -> Column:
+    """A digest of the whole row."""
+    return F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in documents.columns])))
 
 
 def document_sizes(documents: DataFrame) -> DataFrame:
-    """doc_id, source and size (words of the whole text; null: 0)."""
+    """doc_id, source, size (words of the whole text; null: 0) and the row's key."""
     return documents.select(
-        "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+        "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        _key(documents).alias("key"))
 
 
 def mix(documents: DataFrame, **options) -> DataFrame:
     """``copies`` of the documents by the words of their texts, with taken (the
     words the mix takes from a document, repeats counted)."""
-    found = copies(document_sizes(documents), **options)
+    found = _row_copies(document_sizes(documents), **options).drop("key")
     return found.withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of ``documents`` as often as it is taken, with
     copy_no (1, 2, ...)."""
-    taken = mix(documents, **options).groupBy("doc_id").agg(F.max("copies").alias("copies")).filter("copies > 0")
-    # names that no column of the input is likely to have
-    taken = taken.select(F.col("doc_id").alias("__mix_id"), F.col("copies").alias("__mix_copies"))
+    # equal rows are taken n times as often; names that no column of the input is likely to have
+    taken = (_row_copies(document_sizes(documents), **options).filter("copies > 0")
+             .groupBy(F.col("key").alias("__mix_key"), F.col("copies").alias("__mix_copies"))
+             .agg(F.count(F.lit(1)).alias("__mix_n")))
     kept = [c for c in documents.columns if c != "copy_no"]
-    return (documents.select(kept).join(taken, F.col("doc_id").eqNullSafe(F.col("__mix_id")))
+    own = documents.withColumn("__mix_key", _key(documents)).dropDuplicates(["__mix_key"])
+    return (own.join(taken, "__mix_key")
+            .withColumn("__mix_n", F.explode(F.sequence(F.lit(1).cast("long"), "__mix_n")))
             .select(*kept, F.explode(F.sequence(F.lit(1), "__mix_copies")).alias("copy_no")))

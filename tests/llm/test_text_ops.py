@@ -286,3 +286,19 @@ def test_mixing(docs):
     assert mixing.mix(docs([])).count() == 0
     out = mixing.mixed_documents(docs(rows[:200]))
     assert out.columns == [*docs([]).columns, "copy_no"]
+
+
+def test_mix_of_rows_with_one_id(docs):
+    rows = [(None, f"{i} " + "w " * (i % 9), "en", "a") for i in range(600)] + [(7, "x y z", "en", "a")] * 300
+    rows += [(10 + i, "x y", "en", "b") for i in range(300)]
+    sizes = mixing.document_sizes(docs(rows))
+    numbered = mixing._single_rows(sizes).collect()
+    assert len(numbered) == len(rows) and len({(r.doc_id, r.key, r.nth) for r in numbered}) == len(rows)
+    want = {r.source: r.target for r in mixing.targets(sizes).collect()}
+    out = mixing.mixed_documents(docs(rows), block=16).select("doc_id", "text", "source", "copy_no").collect()
+    again = mixing.mixed_documents(docs(rows).repartition(5), block=16).select("doc_id", "text", "source", "copy_no").collect()
+    assert sorted(map(str, out)) == sorted(map(str, again))
+    for source in want:
+        assert abs(sum(len(r.text.split()) for r in out if r.source == source) - want[source]) <= 10
+    found = mixing.mix(docs(rows), block=16).collect()
+    assert len(found) == len(rows) and sum(r.taken for r in found) == sum(len(r.text.split()) for r in out)
