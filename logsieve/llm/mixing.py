@@ -26,9 +26,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.dedup import numbered
 from .common import keep
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -44,28 +45,27 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     """One row per source: source, source_size, n (rows with words), target.
 
     Water filling: target = min(most * size, level * weight) with the level that
-    makes the targets add up to ``share`` of all words. The sources are summed
-    up first; the two windows run over that summary, a row per source.
+    makes the targets add up to ``share`` of all words. Sources are numbered by
+    range partitions. The level starts as if no source had a cap and rises with
+    the sums over the sources it has not filled, until it fills no more.
     """
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]),
-                     (F.pmod(F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1,
-                             F.lit(len(weights))) + 1).cast("int"))
-    by = sizes.groupBy("source").agg(
-        F.sum("size").alias("source_size"), F.sum((F.col("size") > 0).cast("long")).alias("n"))
-    by = by.withColumn("w", w).withColumn("cap", F.col("source_size") * float(most))
-    order = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").isNull(), "source")
-    every = Window.partitionBy()
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    level = ((F.sum("source_size").over(every) * float(share) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-             / F.sum("w").over(after))
-    # the first source, by cap per weight, whose own cap is not below the level sets it
-    by = by.withColumn("level", level)
-    fits = F.col("level") <= F.col("cap") / F.col("w")
-    by = by.withColumn("first", F.min(F.when(fits, F.struct(F.col("cap") / F.col("w"), F.col("level"))))
-                       .over(every))
-    return by.select("source", "source_size", "n",
-                     F.coalesce(F.least(F.col("cap"), F.col("first.level") * F.col("w")), F.col("cap")).alias("target"))
+    by = keep(sizes.groupBy("source").agg(
+        F.sum("size").alias("source_size"), F.sum((F.col("size") > 0).cast("long")).alias("n")), "mix-sources")
+    by = numbered(by.withColumn("node", F.struct(F.col("source").isNull().alias("none"), "source")))
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("seq") % len(weights) + 1).cast("int"))
+    by = keep(by.select("source", "source_size", "n", w.alias("w"),
+                        (F.col("source_size") * float(most)).alias("cap")), "mix-weights")
+    words = by.agg(F.sum("source_size")).first()[0] or 0
+    level, full = -1.0, -1
+    while True:
+        filled = F.col("cap") <= F.lit(level) * F.col("w")
+        r = by.agg(F.count(F.when(filled, 1)), F.sum(F.when(filled, F.col("cap"))),
+                   F.sum(F.when(~filled, F.col("w")))).first()
+        if r[0] <= full or r[2] is None:
+            break
+        full, level = r[0], (words * float(share) - (r[1] or 0.0)) / r[2]
+    target = F.col("cap") if r[2] is None else F.least(F.col("cap"), F.lit(level) * F.col("w"))
+    return by.select("source", "source_size", "n", target.alias("target"))
 
 
 # One meeting of the fold below. r: the undecided document so far (null: none),

@@ -302,3 +302,17 @@ def test_mix_of_rows_with_one_id(docs):
         assert abs(sum(len(r.text.split()) for r in out if r.source == source) - want[source]) <= 10
     found = mixing.mix(docs(rows), block=16).collect()
     assert len(found) == len(rows) and sum(r.taken for r in found) == sum(len(r.text.split()) for r in out)
+
+
+def test_targets_of_many_sources(spark):
+    r = np.random.default_rng(3)
+    size = {f"http://{i}.example": int(r.pareto(0.7) * 10) for i in range(4000)} | {None: 500}
+    df = spark.createDataFrame([(s, n) for s, n in size.items()], "source string, size long").repartition(8)
+    found = mixing.targets(df)
+    assert "Window" not in found._jdf.queryExecution().toString()  # no task holds all sources
+    got, want = {r.source: r.target for r in found.collect()}, fill_targets(size)
+    assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s]) for s in want)
+    assert sum(got.values()) == pytest.approx(1.5 * sum(size.values()))
+    full = mixing.targets(df, share=5.0).collect()
+    assert all(r.target == 2 * r.source_size for r in full)
+    assert mixing.targets(df.limit(0)).count() == 0
