@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, bwt_dedup, decontaminate, html_mincut, langid, line_crf, mixing, pii, toxicity, urls
+from . import bagminhash, bwt_dedup, decontaminate, html_mincut, langid, line_crf, merkle, mixing, pii, toxicity, urls
 from .common import table
 
 
@@ -51,6 +51,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "score", "verdict")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), merkle.tampered_text()).drop("path")
+
+
 QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_line_quality": op2_line_quality,
@@ -62,4 +66,5 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_url_filter": op10_url_filter,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }

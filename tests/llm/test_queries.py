@@ -18,6 +18,7 @@ COLUMNS = {
     "op8": {"doc_id", "held_out", "score", "predicted"},
     "op9": {"doc_id", "held_out", "lang_pred", "score"},
     "op10": {"page_id", "host", "path", "rule", "verdict"},
+    "op11": {"doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"},
 }
 
 
