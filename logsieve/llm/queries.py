@@ -4,7 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, bwt_dedup, decontaminate, html_mincut, langid, line_crf, merkle, mixing, pii, toxicity, urls
+from . import (
+    bagminhash,
+    bwt_dedup,
+    decontaminate,
+    html_mincut,
+    langid,
+    line_crf,
+    merkle,
+    mixing,
+    pii,
+    token_align,
+    toxicity,
+    urls,
+)
 from .common import table
 
 
@@ -55,6 +68,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), merkle.tampered_text()).drop("path")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_line_quality": op2_line_quality,
@@ -67,4 +84,5 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_url_filter": op10_url_filter,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_token_alignment": op12_token_alignment,
 }

@@ -19,6 +19,7 @@ COLUMNS = {
     "op9": {"doc_id", "held_out", "lang_pred", "score"},
     "op10": {"page_id", "host", "path", "rule", "verdict"},
     "op11": {"doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"},
+    "op12": {"doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"},
 }
 
 
