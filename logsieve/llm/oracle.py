@@ -163,4 +163,5 @@ SQL: dict[str, str] = {
     "op5_near_duplicates": NEAR_DUPLICATES,
     "op6_decontaminate": DECONTAMINATE,
     "op11_merkle_manifest": MERKLE_MANIFEST,
+    "op13_repeated_passages": REPEATED_WORDS,
 }

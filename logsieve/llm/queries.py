@@ -14,6 +14,7 @@ from . import (
     merkle,
     mixing,
     pii,
+    rlz_dedup,
     token_align,
     toxicity,
     urls,
@@ -72,6 +73,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.align_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rlz_dedup.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("removed")
+
+
 QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_line_quality": op2_line_quality,
@@ -85,4 +90,5 @@ QUERIES = {
     "op10_url_filter": op10_url_filter,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_token_alignment": op12_token_alignment,
+    "op13_repeated_passages": op13_repeated_passages,
 }

@@ -20,6 +20,7 @@ COLUMNS = {
     "op10": {"page_id", "host", "path", "rule", "verdict"},
     "op11": {"doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"},
     "op12": {"doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"},
+    "op13": {"doc_id", "n_words", "n_removed", "kept_sha256"},
 }
 
 
