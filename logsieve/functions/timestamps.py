@@ -69,3 +69,10 @@ def timestamp_from_parts(parts: Column) -> Column:
         wall.isNotNull(),
         F.struct(ts.alias("ts"), wall.alias("wall_ts"), offset.alias("tz_offset")),
     )
+
+
+def epoch_micros(ts: Column) -> Column:
+    """Microseconds since 1970 of a zone-free timestamp. A cast to a timestamp with
+    zone would read it in the session's zone and bend it around clock changes."""
+    seconds = F.unix_date(ts.cast("date")).cast("bigint") * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60
+    return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parse import parse_lines
+from ..functions.timestamps import epoch_micros
 from ..operators.filters import apply_filters
 
 
@@ -116,7 +117,7 @@ def time_ordered(entries: DataFrame) -> DataFrame:
     """Time becomes the input order (ties: argument, file, line), for every
     operator after a merge: ``ord`` leads with the time."""
     return entries.withColumn("ord", F.struct(
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("f"),
+        epoch_micros(F.col("ts")).alias("f"),
         F.concat(F.lpad(F.col("ord.f").cast("string"), 10, "0"), F.lit(" "), F.col("ord.n")).alias("n"),
         F.col("ord.p").alias("p"), F.col("ord.s").alias("s")))
 

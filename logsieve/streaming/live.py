@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parse import parse_lines
+from ..functions.timestamps import epoch_micros
 from ..operators.filters import entry_filter
 
 
@@ -33,7 +34,7 @@ def windowed_level_counts(entries: DataFrame, window: str = "1 hour",
                           watermark: str = "10 minutes") -> DataFrame:
     """A3 per event-time window: ``(window_start, window_end, level, count)``."""
     return (
-        entries.withColumn("event_time", F.col("ts").cast("timestamp"))
+        entries.withColumn("event_time", F.timestamp_micros(epoch_micros(F.col("ts"))))
         .withWatermark("event_time", watermark)
         .groupBy(F.window("event_time", window), F.upper("level").alias("level"))
         .agg(F.count(F.lit(1)).alias("count"))
