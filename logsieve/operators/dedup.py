@@ -8,28 +8,32 @@ source passes D5 and whose message is D4-similar to the leader's. Here:
    normalised message)`` are indistinguishable to the rules, so they form one
    node (weight = #entries, order = first entry). Lossless; partial
    aggregation makes hot templates cheap. Nodes are numbered in input order.
-2. **Prefix batches (D7).** The undecided nodes of a prefix of the input order
-   are settled among themselves; then only their leaders meet the later
-   undecided nodes and absorb what is similar. That equals the sequential pass,
-   and members of one cluster never meet each other beyond the batch in which
-   the cluster first occurs. Batches grow by ``_GROWTH``, so their number grows
-   with the logarithm of the input.
+2. **Held nodes (D7).** Only some nodes, the held ones, look for later similar nodes; all
+   others must in the end be absorbed by a held leader. That makes the result the
+   sequential pass's: held nodes are settled among themselves on all their pairs, and
+   by induction over the input order every node meets the same leaders. A node
+   starts as held unless a word sketch (MinHash bands) leads it to an earlier undecided
+   node that it is really similar to; so of a cluster, wherever it first occurs, little
+   more than the earliest node is held, and its pairs grow with its size, not its
+   square. Nodes that no held leader absorbs go through the same step again, with a
+   growing share of them held at once, so the number of rounds is bounded. Sketches
+   and shares change the work, not the result.
 3. **Candidates from selective keys.** Two nodes meet only when they share a key
    that every similar pair shares:
    - equal messages (rule 1): the message hash with a prefix bigram of the source;
    - word overlap (rules 4-6): the later message's *prefix* words (its rarest
      words, cut where the remaining repeats could no longer reach the overlap
-     that rule 5/6 needs). Short messages use the exact overlap for each size of
-     the other side's word set, which keeps their one rare word;
+     that rule 5/6 needs), for each size of the other side's word set: exact sizes
+     up to 8, then classes of half as much again;
    - containment (rule 2), 4 or more words: the rarest pair of neighbouring inner
      words of the shorter text; 3 words: the inner word with the beginning of the
      last one; 1-2 words: the rarest byte 6-gram.
    Keys hold the level and byte-length bucket (lengths within 2x, rule 2). Then
    the exact rules D4 and D5 decide on ids, lengths and word counts.
-4. **Rounds within a batch.** Nodes that no undecided node points to lead; what
+4. **Settling.** Among the held nodes, those that no undecided node points to lead; what
    they point to is absorbed; edges of decided nodes go. Every round decides at
-   least the first undecided node, so the loop ends. Each round is checkpointed
-   to the reliable folder.
+   least the first undecided node, so the loop ends. Tables between the steps are
+   written to the shared checkpoint folder.
 5. **Counts (D8).** An absorbed node belongs to its smallest-order leader;
    ``duplicate_count = leader weight + absorbed weights`` (BIGINT).
 """
@@ -49,23 +53,21 @@ from ..functions.similarity import (
 )
 from ..functions.text import pinned
 from ..schema import ENTRY_COLUMNS
-from ..session import ensure_checkpoint_dir
+from ..session import written
 
-# A Jaccard-path edge needs common > 0.64/1.64 * (|set1| + |words2|) >= 0.39 *
-# |words2|; a later message's prefix keeps tokens while the repeats from that
-# token on still exceed this share (0.38 leaves a margin for float rounding).
-_PREFIX_SHARE = 0.38
-# The same bound for a pair, a little below 16/41 = 0.3902 for float safety.
+# A pair on the Jaccard path needs common >= 0.64/1.64 * (|set1| + |words2|); this is a
+# little below 16/41 = 0.3902 for float safety.
 _OVERLAP_SHARE = 0.39
+# ... and its Jaccard similarity at least 0.64.
+_JACCARD = 0.639
 # Character-gram length for short-text containment.
 _GRAM = 6
-# Messages of up to so many words use one prefix for each size of the other
-# side's word set (exact up to 8, then classes of a quarter more).
-_SHORT = 32
 # Longest word beginning that keys three-word containment.
 _BEGIN = 8
-# First batch of nodes and how much larger the next ones are.
-_BATCH, _GROWTH = 512, 8
+# Word sketches: bands of so many least hashes; earlier nodes tried for each node.
+_BANDS, _ROWS, _TRIED = 6, 2, 2
+# Share of the open nodes that is held anyway: 1/4096 at first, then 8 times more a round.
+_SHARE, _GROWTH = 4096, 8
 
 
 def entry_nodes(entries: DataFrame) -> DataFrame:
@@ -90,7 +92,8 @@ def numbered(nodes: DataFrame) -> DataFrame:
     number is its place in its partition plus the sizes of those before it (one
     count per partition on the driver)."""
     ids = nodes.select("node").repartitionByRange("node").sortWithinPartitions("node").select(
-        "node", F.monotonically_increasing_id().alias("id")).checkpoint()
+        "node", F.monotonically_increasing_id().alias("id"))
+    ids = written(ids, "numbered")
     part = F.shiftright("id", 33)
     sizes = ids.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
     starts, at = [], 0
@@ -106,17 +109,17 @@ def numbered(nodes: DataFrame) -> DataFrame:
 
 
 def _node_attrs(nodes: DataFrame) -> DataFrame:
-    """The rules' view of numbered nodes."""
+    """The rules' view of numbered nodes. ``wc``: the distinct words, as 64-bit hashes, with
+    their counts."""
     w = words(F.col("norm"))
     nlen = F.octet_length("norm")
-    return nodes.select(
-        "seq", "lvl", "lsrc", "norm",
-        w.alias("words"),
-        F.array_distinct(w).alias("wset"),
-        F.size(w).alias("nwords"),
-        nlen.alias("nlen"),
-        F.when(nlen == 0, F.lit(-1)).otherwise(F.floor(F.log2(nlen))).cast("int").alias("bucket"),
-    )
+    plain = nodes.select(
+        "seq", "lvl", "lsrc", "norm", w.alias("words"), F.size(w).alias("nwords"), nlen.alias("nlen"),
+        F.when(nlen == 0, F.lit(-1)).otherwise(F.floor(F.log2(nlen))).cast("int").alias("bucket"))
+    counts = nodes.select("seq", F.explode(w).alias("word")).groupBy("seq", F.xxhash64("word").alias("h")).agg(
+        F.count(F.lit(1)).alias("c")).groupBy("seq").agg(F.collect_list(F.struct("h", "c")).alias("wc"))
+    none = F.array().cast("array<struct<h:bigint,c:bigint>>")
+    return plain.join(counts, "seq", "left").withColumn("wc", F.coalesce("wc", none)).withColumn("ndistinct", F.size("wc"))
 
 
 def _near_buckets(df: DataFrame) -> DataFrame:
@@ -125,38 +128,39 @@ def _near_buckets(df: DataFrame) -> DataFrame:
 
 
 def _size_class(n: Column) -> Column:
-    """Classes of word-set sizes: 1 to 8 exact, then a quarter more each."""
-    return F.when(n <= 8, n).otherwise(8 + F.floor(F.log(n / F.lit(8.0)) / F.log(F.lit(1.25)) + F.lit(1e-9))).cast("int")
+    """Classes of word-set sizes: 1 to 8 exact, then half as much again each."""
+    return F.when(n <= 8, n).otherwise(8 + F.floor(F.log(n / F.lit(8.0)) / F.log(F.lit(1.5)) + F.lit(1e-9))).cast("int")
 
 
 def _least_of_class(c: Column) -> Column:
     """The smallest size a class may hold (a little less is harmless)."""
-    return F.when(c <= 8, c.cast("double")).otherwise(8.0 * F.pow(F.lit(1.25), c - 8) - F.lit(1e-6))
+    return F.when(c <= 8, c.cast("double")).otherwise(8.0 * F.pow(F.lit(1.5), c - 8) - F.lit(1e-6))
 
 
 class Keys:
-    """The key tables of all nodes, built once and checkpointed. ``probe`` meets
+    """The key tables of all nodes, built once and written. ``probe`` meets
     ``index`` (either may be the earlier node); ``later`` meets ``earlier``."""
 
     def __init__(self, attrs: DataFrame):
-        self.earlier, self.later = (t.checkpoint() for t in _overlap_keys(attrs))
+        self.earlier, self.later = (written(t, "overlap-keys") for t in _overlap_keys(attrs))
         probes, indexes = zip(*(f(attrs) for f in (_inner_pairs, _three_words, _short_texts)))
-        self.probe = _union(list(probes)).checkpoint()
-        self.index = _union(list(indexes)).checkpoint()
-        self.equal = _equal_message_keys(attrs).checkpoint()
+        self.probe = written(_union(list(probes)), "probe-keys")
+        self.index = written(_union(list(indexes)), "index-keys")
+        self.equal = written(_equal_message_keys(attrs), "equal-keys")
+
+    def candidates(self, first: DataFrame | None = None) -> DataFrame:
+        """Distinct ``(a, b)``, a before b, with a common key; a one of ``first`` (a
+        frame of ``seq``; none: all nodes)."""
 
-    def candidates(self, first: DataFrame, second: DataFrame | None = None) -> DataFrame:
-        """Distinct ``(a, b)``, a before b, with a common key: both of ``first``,
-        or a of ``first`` and b of ``second`` (frames of ``seq``; everything in
-        second comes after first)."""
+        def of(table: DataFrame) -> DataFrame:
+            return table if first is None else table.join(first, "seq", "left_semi")
 
-        def of(table: DataFrame, side: DataFrame | None) -> DataFrame:
-            return table if side is None else table.join(side, "seq", "left_semi")
+        def alike(size: str) -> Column:
+            return 2 * F.least(f"i.{size}", f"p.{size}") >= F.greatest(f"i.{size}", f"p.{size}")
 
-        second = first if second is None else second
         overlap = (
-            of(self.later, second).alias("p").join(of(self.earlier, first).alias("i"), "key")
-            .where(F.col("i.seq") < F.col("p.seq"))
+            self.later.alias("p").join(of(self.earlier).alias("i"), "key")
+            .where((F.col("i.seq") < F.col("p.seq")) & alike("nlen") & alike("nwords"))
             .groupBy(F.col("i.seq").alias("a"), F.col("p.seq").alias("b"))
             .agg(F.sum("p.mult").alias("matched"), F.first("p.suffix_mass").alias("suffix_mass"),
                  F.first("p.nwords").alias("nwords"), F.first("i.ndistinct").alias("ndistinct"))
@@ -170,51 +174,41 @@ class Keys:
             return x.alias("x").join(y.alias("y"), "key").where(F.col("x.seq") < F.col("y.seq")).select(
                 F.col("x.seq").alias("a"), F.col("y.seq").alias("b"))
 
-        parts = [
-            overlap,
-            met(of(self.probe, first), of(self.index, second)),
-            met(of(self.index, first), of(self.probe, second)),
-            met(of(self.equal, first), of(self.equal, second)),
-        ]
+        parts = [overlap, met(of(self.probe), self.index), met(of(self.index), self.probe), met(of(self.equal), self.equal)]
         return _union(parts).distinct()
 
 
 def _overlap_keys(attrs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rules 4-6: the words of the earlier node, the prefix words of the later."""
-    index = attrs.select("seq", "lvl", "bucket", "nwords", F.size("wset").alias("ndistinct"),
-                         F.explode("wset").alias("token"))
-    freq = index.groupBy("lvl", "token").agg(F.count(F.lit(1)).alias("df"))
-    mult = attrs.select("seq", "lvl", "bucket", "nwords", F.explode("words").alias("token")).groupBy(
-        "seq", "lvl", "bucket", "nwords", "token").agg(F.count(F.lit(1)).alias("mult"))
-    tail = Window.partitionBy("seq").orderBy(F.desc("df"), F.desc("token")).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    marked = mult.join(freq, ["lvl", "token"]).withColumn("from_here", F.sum("mult").over(tail))
-
-    # long messages: one prefix, whatever the other side's size
-    by_node = Window.partitionBy("seq")
-    inside = F.col("from_here") > F.col("nwords") * F.lit(_PREFIX_SHARE)
-    long_ = marked.where(F.col("nwords") > _SHORT).withColumn(
-        "suffix_mass", F.coalesce(F.max(F.when(~inside, F.col("from_here"))).over(by_node), F.lit(0))
-    ).where(inside).withColumn("cls", F.lit(0))
-    # short ones: one prefix for each class of set sizes within the word-count ratio
-    sizes = F.sequence(F.lit(1), _size_class(2 * F.col("nwords")))
-    short = marked.where(F.col("nwords") <= _SHORT).withColumn("cls", F.explode(sizes))
-    need = F.lit(_OVERLAP_SHARE) * (F.col("nwords") + _least_of_class(F.col("cls")))
-    inside_short = F.col("from_here") >= need
-    by_class = Window.partitionBy("seq", "cls")
-    short = short.withColumn(
-        "suffix_mass", F.coalesce(F.max(F.when(~inside_short, F.col("from_here"))).over(by_class), F.lit(0))
-    ).where(inside_short)
-    cols = ("seq", "lvl", "bucket", "token", "cls", "mult", "nwords", "suffix_mass")
-    later = _near_buckets(long_.select(*cols).unionByName(short.select(*cols)))
-    key = F.xxhash64("lvl", "bucket", "token", "cls")
-    # the word-count ratio (rule 3) tells which kinds of later nodes an earlier one can meet
-    classes = F.filter(F.array(
-        F.when(F.col("nwords") * 2 > _SHORT, F.lit(0)),
-        F.when(F.col("nwords") <= 2 * _SHORT, _size_class(F.col("ndistinct")))), lambda c: c.isNotNull())
-    earlier = index.withColumn("cls", F.explode(classes))
-    return (earlier.select("seq", key.alias("key"), "ndistinct"),
-            later.select("seq", key.alias("key"), "mult", "nwords", "suffix_mass"))
+    """Rules 4-6: the words of the earlier node, the prefix words of the later. Keys hold the
+    level, the word and the class of the earlier node's set size; lengths and word counts go
+    along and are compared where two rows meet."""
+    base = ("seq", "lvl", "nlen", "nwords", "ndistinct")
+    index = attrs.select(*base, F.inline("wc"))
+    freq = index.groupBy("lvl", "h").agg(F.count(F.lit(1)).alias("df"))
+    tail = Window.partitionBy("seq").orderBy(F.desc("df"), "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = index.join(freq, ["lvl", "h"]).withColumn("from_here", F.sum("c").over(tail)).groupBy(*base).agg(
+        F.collect_list(F.struct("from_here", "h", "c")).alias("w"))
+    # For an earlier set of d words the overlap must reach share * (n + d). It is at most n, and
+    # every own word that the smaller set can't hold takes at least one from that.
+    n, own = F.col("nwords"), F.col("ndistinct")
+
+    def reachable(cls: Column) -> Column:
+        least, most = _least_of_class(cls), F.floor(_least_of_class(cls + 1) - F.lit(1e-3))
+        need = F.lit(_OVERLAP_SHARE) * (n + least)
+        return (need <= n) & (n - F.greatest(F.lit(0), own - most) >= need)
+
+    classes = F.filter(F.sequence(F.lit(1), _size_class(F.lit(2) * n)), reachable)
+    need = F.lit(_OVERLAP_SHARE) * (n + _least_of_class(F.col("cls")))
+    outside = F.transform(F.filter("w", lambda x: x["from_here"] < F.col("need")), lambda x: x["from_here"])
+    by_class = pinned(marked.withColumn("cls", F.explode(classes)), need=need)
+    # pinned: once for a node and class, not once for each of its words
+    later = pinned(by_class, suffix_mass=F.coalesce(F.array_max(outside), F.lit(0)),
+                   inside=F.filter("w", lambda x: x["from_here"] >= F.col("need"))).select(
+        *base, "cls", "suffix_mass", F.inline("inside"))
+    key = F.xxhash64("lvl", "h", "cls")
+    earlier = index.withColumn("cls", _size_class(F.col("ndistinct")))
+    return (earlier.select("seq", key.alias("key"), "ndistinct", "nwords", "nlen"),
+            later.select("seq", key.alias("key"), F.col("c").alias("mult"), "suffix_mass", "nwords", "nlen"))
 
 
 def _rarest(probes: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -338,84 +332,116 @@ def similar_edges(attrs: DataFrame, cand: DataFrame | None = None) -> DataFrame:
     """``(a, b)`` with a before b, passing D5 and D4(a as leader, b); ``cand``
     names the pairs to look at (none: all).
 
-    The cheap rules (equality, length ratio, containment, word-count ratio)
-    decide most candidates on the pair row; the word overlap of the rest is
-    counted relationally (pair x words of b x distinct words of a, summed),
-    which stays code-generated and spreads over the cluster."""
+    First the numbers and sources decide what they can. Then the word overlap is counted
+    on the pair's row from hashed words: b's counts are split into binary digits, so it
+    is a sum of set intersections weighted by powers of two. Texts are joined only to
+    pairs that can still pass: one contains the other only if all its inner words are
+    there, and the rest needs the Jaccard bound."""
     if cand is None:
-        cand = Keys(attrs).candidates(attrs.select("seq"))
-    cols = ("seq", "lsrc", "norm", "nlen", "nwords")
-    a = attrs.select(*[F.col(c).alias(f"a_{c}") for c in cols], F.size("wset").alias("a_ndistinct"))
-    b = attrs.select(*[F.col(c).alias(f"b_{c}") for c in cols])
-    pairs = cand.join(a, F.col("a") == F.col("a_seq")).join(b, F.col("b") == F.col("b_seq"))
-    pairs = pairs.where(source_gate(F.col("a_lsrc"), F.col("b_lsrc")))
-    early = early_decision(F.col("a_norm"), F.col("b_norm"), F.col("a_nwords"), F.col("b_nwords"))
-    staged = pinned(pairs, early=early)
-    decided = staged.where(F.col("early")).select("a", "b")
-    open_pairs = staged.where(F.col("early").isNull())
-
-    b_words = attrs.select("seq", F.explode("words").alias("token")).groupBy("seq", "token").agg(
-        F.count(F.lit(1)).alias("mult")
-    )
-    a_set = attrs.select("seq", F.explode("wset").alias("token"))
-    common = (
-        open_pairs.select("a", "b")
-        .join(b_words.withColumnRenamed("seq", "b"), "b")
-        .join(a_set.withColumnRenamed("seq", "a"), ["a", "token"])
-        .groupBy("a", "b").agg(F.sum("mult").alias("common"))
-    )
-    scored = open_pairs.join(common, ["a", "b"], "left").withColumn(
-        "common", F.coalesce("common", F.lit(0))
-    )
-    ok = jaccard_decision(
-        F.col("common"), F.col("a_ndistinct"), F.col("b_nwords"), F.col("a_norm"), F.col("b_norm")
-    )
-    return decided.unionByName(scored.where(ok).select("a", "b"))
+        cand = Keys(attrs).candidates()
+    numbers = ("seq", "lsrc", "nlen", "nwords", "ndistinct")
+
+    def side(name: str, cols: tuple) -> DataFrame:
+        return attrs.select(*[F.col(c).alias(name if c == "seq" else f"{name}_{c}") for c in cols])
+
+    pairs = cand.join(side("a", numbers), "a").join(side("b", numbers), "b")
+    shorter, longer = F.least("a_nlen", "b_nlen"), F.greatest("a_nlen", "b_nlen")
+    pairs = pairs.where(source_gate(F.col("a_lsrc"), F.col("b_lsrc")) & ((2 * shorter > longer) | (longer == 0)))
+    sets = attrs.select(F.col("seq").alias("a"), F.transform("wc", lambda x: x["h"]).alias("a_words"))
+    digits = attrs.select(F.col("seq").alias("b"), F.transform(
+        F.sequence(F.lit(0), F.floor(F.log2(F.greatest(F.coalesce(F.array_max(F.transform("wc", lambda x: x["c"])), F.lit(1)), F.lit(1)))).cast("int")),
+        lambda k: F.transform(F.filter("wc", lambda x: F.floor(x["c"] / F.pow(F.lit(2), k)) % 2 == 1), lambda x: x["h"])).alias("b_digits"),
+        F.transform("wc", lambda x: x["h"]).alias("b_words"))
+    met = pairs.join(sets, "a").join(digits, "b")
+    counted = pinned(
+        met,
+        common=F.aggregate("b_digits", F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(1).cast("bigint").alias("w")),
+                           lambda acc, d: F.struct((acc["n"] + acc["w"] * F.size(F.array_intersect("a_words", d))).alias("n"),
+                                                   (acc["w"] * 2).alias("w")))["n"],
+        shared=F.size(F.array_intersect("a_words", "b_words"))).drop("a_words", "b_digits", "b_words")
+    total = F.col("a_ndistinct") + F.col("b_nwords") - F.col("common")
+    may = ((F.col("common") + 2 >= F.col("b_nwords")) | (F.col("shared") + 2 >= F.col("a_ndistinct"))
+           | (F.col("common") >= F.lit(_JACCARD) * total))
+    texts = ("seq", "norm")
+    open_pairs = counted.where(may).join(side("a", texts), "a").join(side("b", texts), "b")
+    staged = pinned(open_pairs, early=early_decision(F.col("a_norm"), F.col("b_norm"), F.col("a_nwords"), F.col("b_nwords")))
+    ok = jaccard_decision(F.col("common"), F.col("a_ndistinct"), F.col("b_nwords"), F.col("a_norm"), F.col("b_norm"))
+    return staged.where(F.coalesce(F.col("early"), ok)).select("a", "b")
 
 
 def _settle(edges: DataFrame) -> DataFrame:
-    """The absorbed nodes (``seq``) of a batch, by rounds: nodes no undecided node
-    points to lead. A node that is in no edge leads too."""
+    """The absorbed nodes (``seq``) among the nodes of ``edges``, by rounds: nodes no
+    undecided node points to lead. A node that is in no edge leads too."""
     active, gone = edges, []
     while not active.isEmpty():
         leaders = active.select("a").distinct().join(active.select(F.col("b").alias("a")), "a", "left_anti")
-        absorbed = active.join(leaders, "a", "left_semi").select(F.col("b").alias("seq")).distinct().checkpoint()
+        absorbed = written(active.join(leaders, "a", "left_semi").select(F.col("b").alias("seq")).distinct(), "absorbed")
         gone.append(absorbed)
         if len(gone) >= 16:
             # keep the plan short on long chains
-            gone = [_union(gone).checkpoint()]
-        active = (
+            gone = [written(_union(gone), "absorbed")]
+        active = written(
             active.join(absorbed.withColumnRenamed("seq", "b"), "b", "left_anti")
-            .join(absorbed.withColumnRenamed("seq", "a"), "a", "left_anti")
-            .select("a", "b").checkpoint()
-        )
+            .join(absorbed.withColumnRenamed("seq", "a"), "a", "left_anti").select("a", "b"), "active")
     return _union(gone) if gone else edges.select(F.col("b").alias("seq")).limit(0)
 
 
-def greedy_leaders(attrs: DataFrame, batch: int = _BATCH, growth: int = _GROWTH) -> DataFrame:
-    """``(seq, leader)`` of every absorbed node; all others lead."""
-    ensure_checkpoint_dir(attrs.sparkSession)
-    keys = Keys(attrs)
-    undecided = attrs.select("seq")
-    total = attrs.count()
-    claims, start, size = [], 0, batch
-    while start < total:
-        end = start + size
-        mine = undecided.where(f"seq >= {start} and seq < {end}") if end < total else undecided
-        edges = similar_edges(attrs, keys.candidates(mine)).checkpoint()
-        absorbed = _settle(edges)
-        lost = edges.join(absorbed.withColumnRenamed("seq", "b"), "b", "left_semi").join(
-            absorbed.withColumnRenamed("seq", "a"), "a", "left_anti")
-        claims.append(lost.groupBy(F.col("b").alias("seq")).agg(F.min("a").alias("leader")))
-        if end < total:
-            leaders = mine.join(absorbed, "seq", "left_anti").checkpoint()
-            later = undecided.where(f"seq >= {end}")
-            taken = similar_edges(attrs, keys.candidates(leaders, later)).groupBy(
-                F.col("b").alias("seq")).agg(F.min("a").alias("leader")).checkpoint()
-            claims.append(taken)
-            undecided = later.join(taken, "seq", "left_anti").checkpoint()
-        start, size = end, size * growth
-    return _union(claims) if claims else attrs.select("seq", F.col("seq").alias("leader")).limit(0)
+def _sketches(attrs: DataFrame) -> DataFrame:
+    """``(seq, sketch)``: bands of least word hashes, alone and with the source. Nodes of
+    similar words share some sketch nearly always."""
+    hashed = attrs.where("nwords > 0").select("seq", "lvl", "lsrc", F.transform("wc", lambda x: x["h"]).alias("_h"))
+
+    def least_of(seed: int) -> Column:
+        return F.array_min(F.transform("_h", lambda h: F.xxhash64(h, F.lit(seed))))
+
+    least = [least_of(k) for k in range(_BANDS * _ROWS)]
+    mins = pinned(hashed, _m=F.array(*least))
+    bands = F.array(*[F.xxhash64("lvl", F.lit(b), *[F.get("_m", F.lit(b * _ROWS + r)) for r in range(_ROWS)])
+                      for b in range(_BANDS)])
+    both = pinned(mins, _b=bands)
+    return both.select("seq", F.explode(F.concat(
+        "_b", F.transform("_b", lambda x: F.xxhash64(x, F.col("lsrc"))))).alias("sketch"))
+
+
+def _followers(attrs: DataFrame, sketches: DataFrame, open_: DataFrame) -> DataFrame:
+    """Nodes of ``open_`` (``seq``) that are similar to an earlier one of them which a sketch
+    leads to; of those the ``_TRIED`` that share most sketches are tried. Each sketch
+    gives pairs with its earliest node only."""
+    mine = sketches.join(open_, "seq", "left_semi")
+    heads = mine.groupBy("sketch").agg(F.min("seq").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    shared = mine.join(heads, "sketch").where("seq > a").groupBy("a", F.col("seq").alias("b")).agg(
+        F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("b").orderBy(F.desc("n"), "a")
+    tried = shared.withColumn("r", F.row_number().over(order)).where(F.col("r") <= _TRIED).select("a", "b")
+    return similar_edges(attrs, written(tried, "tried")).select(F.col("b").alias("seq")).distinct()
+
+
+def greedy_leaders(attrs: DataFrame, share: int = _SHARE, growth: int = _GROWTH, settled: int = 0) -> DataFrame:
+    """``(seq, leader)`` of every absorbed node; all others lead. The first ``settled``
+    nodes are known to lead: they are held first and have no edges among themselves."""
+    keys, sketches = Keys(attrs), written(_sketches(attrs.where(F.col("seq") >= settled)), "sketches")
+    every = attrs.select("seq")
+    open_, held, edges = every, [], []
+    while True:
+        if settled and not held:
+            held.append(every.where(F.col("seq") < settled))
+            found = keys.candidates(held[0]).where(F.col("b") >= settled)
+        else:
+            anyway = F.pmod(F.xxhash64("seq", F.lit(3)), F.lit(share)) == 0
+            followers = written(_followers(attrs, sketches, open_).where(~anyway), "followers")
+            held.append(written(open_.join(followers, "seq", "left_anti"), "held"))
+            found = keys.candidates(held[-1])
+            share = max(1, share // growth)
+        edges.append(written(similar_edges(attrs, found), "edges"))
+        holders, found = _union(held), _union(edges)
+        absorbed = _settle(found.join(holders.withColumnRenamed("seq", "b"), "b", "left_semi").select("a", "b"))
+        leaders = written(holders.join(absorbed, "seq", "left_anti"), "leaders")
+        claims = written(found.join(leaders.withColumnRenamed("seq", "a"), "a", "left_semi").groupBy(
+            F.col("b").alias("seq")).agg(F.min("a").alias("leader")), "claims")
+        # a node whose leader was absorbed by a newly held one is open again
+        open_ = written(every.join(holders, "seq", "left_anti").join(claims, "seq", "left_anti"), "open")
+        if open_.isEmpty():
+            return claims
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -425,19 +451,48 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def trim(entries: DataFrame, batch: int = _BATCH, growth: int = _GROWTH) -> DataFrame:
-    """The leader entries with ``duplicate_count`` = entries they stand for.
-    The batch sizes change the work, not the result."""
-    ensure_checkpoint_dir(entries.sparkSession)
-    nodes = numbered(entry_nodes(entries).checkpoint()).checkpoint()
-    claims = greedy_leaders(_node_attrs(nodes), batch, growth).checkpoint()
+def _absorbed(nodes: DataFrame, settled: int = 0, share: int = _SHARE, growth: int = _GROWTH) -> DataFrame:
+    """Numbered nodes without the absorbed ones, whose weights go to their leaders."""
+    claims = greedy_leaders(written(_node_attrs(nodes), "attrs"), share, growth, settled)
     more = claims.join(nodes.select("seq", "weight"), "seq").groupBy(F.col("leader").alias("seq")).agg(
         F.sum("weight").alias("more"))
-    out = nodes.join(claims.select("seq"), "seq", "left_anti").join(more, "seq", "left")
-    return out.select(
-        *[F.col(f"row.{c}").alias(c) for c in ENTRY_COLUMNS if c != "duplicate_count"],
-        (F.col("weight") + F.coalesce("more", F.lit(0))).alias("duplicate_count"),
-    )
+    kept = nodes.join(claims.select("seq"), "seq", "left_anti").join(more, "seq", "left")
+    return kept.withColumn("weight", F.col("weight") + F.coalesce("more", F.lit(0))).drop("more", "seq")
+
+
+def trimmed_entries(leaders: DataFrame) -> DataFrame:
+    """The leader entries with ``duplicate_count`` = entries they stand for."""
+    return leaders.select(*[F.col(f"row.{c}").alias(c) for c in ENTRY_COLUMNS if c != "duplicate_count"],
+                          F.col("weight").alias("duplicate_count"))
+
+
+def trim(entries: DataFrame, share: int = _SHARE, growth: int = _GROWTH) -> DataFrame:
+    """The leader entries with ``duplicate_count``. ``share`` and ``growth`` change
+    the work, not the result."""
+    nodes = written(numbered(written(entry_nodes(entries), "nodes")), "nodes")
+    return trimmed_entries(_absorbed(nodes, 0, share, growth))
+
+
+def trim_appended(leaders: DataFrame | None, entries: DataFrame) -> DataFrame:
+    """The leaders (nodes: lvl, lsrc, norm, node, weight, row) after more entries, all of them
+    later than those before: what ``trim`` gives for all entries together, without
+    reading the earlier ones again. ``leaders``: the table an earlier call returned
+    (none at first). Exact, as only leaders absorb: later entries meet the stored leaders and
+    each other, and what an earlier absorbed entry was like is never asked again.
+    ``trimmed_entries`` gives the entries."""
+    fresh = written(entry_nodes(entries), "nodes")
+    if leaders is None:
+        return written(_absorbed(written(numbered(fresh), "nodes")), "leaders")
+    # a node equal to a leader is that leader's (no earlier leader is similar to it)
+    same = ["lvl", "lsrc", "norm"]
+    again = fresh.select(*same, F.col("weight").alias("again"))
+    known = written(numbered(leaders.join(again, same, "left").withColumn(
+        "weight", F.col("weight") + F.coalesce("again", F.lit(0))).drop("again")), "nodes")
+    # numbered on their own, so that the stored leaders stay before all others
+    n = leaders.count()
+    later = numbered(fresh.join(leaders.select(*same), same, "left_anti")).withColumn("seq", F.col("seq") + n)
+    nodes = written(known.unionByName(later), "nodes")
+    return written(_absorbed(nodes, n), "leaders")
 
 
 def trim_report(entries: DataFrame, trimmed: DataFrame) -> DataFrame:

@@ -4,8 +4,9 @@ are for tests, the bench and command-line use."""
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -55,3 +56,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     local_dir = tempfile.mkdtemp(prefix="logsieve-ckpt-")
     sc.setCheckpointDir(local_dir)
     return sc.getCheckpointDir() or local_dir
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table below the checkpoint folder, read back: it is
+    computed once, its lineage is cut, its size is known to the optimizer, and lost
+    executors only reread it."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/written/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -106,14 +106,43 @@ def test_equal_messages_across_many_sources(spark):
     assert got == exp
 
 
-def test_small_batches_give_the_same_result(spark):
+def test_shares_do_not_change_the_result(spark):
     rows = _random_rows(11, 140)
-    got = sorted((r.ord.p, r.duplicate_count) for r in trim(_entries(spark, rows), batch=8, growth=3).collect())
-    assert got == sorted(G.greedy([(i, lvl, src, msg) for i, (lvl, src, msg) in enumerate(rows)]))
+    exp = sorted(G.greedy([(i, lvl, src, msg) for i, (lvl, src, msg) in enumerate(rows)]))
+    for share in (1, 3, 1 << 20):
+        got = sorted((r.ord.p, r.duplicate_count) for r in trim(_entries(spark, rows), share=share, growth=2).collect())
+        assert got == exp, share
+
+
+def test_late_cluster_costs_in_proportion_to_its_size(spark, monkeypatch):
+    """Copies of one template at the end of the input: about one candidate a copy."""
+    from logsieve.operators import dedup
+
+    def rows(n):
+        rnd = random.Random(n)
+        word = lambda: "".join(rnd.choice("ghijklmnopqrst") for _ in range(7))
+        own = [("info", "a.go:1", " ".join(word() for _ in range(8))) for _ in range(200)]
+        stem = [word() for _ in range(12)]
+        return own + [("info", "b.go:2", " ".join(stem[:5] + [word()] + stem[5:])) for _ in range(n)]
+
+    counts, made = [], dedup.Keys.candidates
+
+    def counted(self, first=None):
+        out = made(self, first)
+        counts[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(dedup.Keys, "candidates", counted)
+    for n in (500, 2000):
+        counts.append(0)
+        out = sorted(r.duplicate_count for r in trim(_entries(spark, rows(n))).collect())
+        assert out == [1] * 200 + [n]
+    assert counts[0] < 20 * 500 and counts[1] < 20 * 2000, counts
 
 
 def test_candidates_grow_with_the_nodes_not_their_pairs(spark):
     from logsieve.operators.dedup import Keys, _node_attrs, entry_nodes, numbered
+    from logsieve.session import written
 
     def name(i):
         return "".join(chr(103 + (i * 7919 >> (4 * k)) % 16) for k in range(6)) + chr(103 + i % 16)
@@ -122,11 +151,43 @@ def test_candidates_grow_with_the_nodes_not_their_pairs(spark):
         counts = []
         for n in (150, 300):
             nodes = numbered(entry_nodes(_entries(spark, [("info", "a.go:1", form % name(i)) for i in range(n)])))
-            attrs = _node_attrs(nodes.checkpoint())
-            counts.append(Keys(attrs).candidates(attrs.select("seq")).count())
+            attrs = _node_attrs(written(nodes, "test-nodes"))
+            counts.append(Keys(attrs).candidates().count())
         assert counts[1] < 3 * max(counts[0], 150) and counts[1] < 300 * 299 / 20, (form, counts)
 
 
 def test_counts_beyond_an_int(spark):
     big = _entries(spark, [("info", "a", "x"), ("info", "a", "x")])
     assert dict(trim(big).dtypes)["duplicate_count"] == "bigint"
+
+
+def test_appended_deliveries_give_the_trim_of_the_whole(spark):
+    from logsieve.operators.dedup import trim_appended, trimmed_entries
+
+    rows = _random_rows(21, 160)
+    rows[90:94] = [("info", "", ""), ("info", "", "x"), ("INFO", "", "x"), rows[3]]
+    e = _entries(spark, rows)
+    leaders = None
+    for lo, hi in ((0, 50), (50, 51), (51, 51), (51, 120), (120, 160)):
+        leaders = trim_appended(leaders, e.where(f"ord.p >= {lo} and ord.p < {hi}"))
+    got = sorted((r.ord.p, r.duplicate_count) for r in trimmed_entries(leaders).collect())
+    assert got == sorted(G.greedy([(i, lvl, src, msg) for i, (lvl, src, msg) in enumerate(rows)]))
+
+
+def test_long_messages_use_prefixes_by_size(spark):
+    """Messages beyond 32 words, repeats included, against the greedy pass."""
+    rnd = random.Random(5)
+    vocab = ["".join(rnd.choice("ghijklmnopqrst") for _ in range(4)) for _ in range(60)]
+    rows = []
+    for k in range(12):
+        base = [rnd.choice(vocab) for _ in range(rnd.randrange(30, 110))]
+        for _ in range(rnd.randrange(1, 7)):
+            w = list(base)
+            for _ in range(rnd.randrange(0, len(w) // 4)):
+                w[rnd.randrange(len(w))] = rnd.choice(vocab[:8]) if rnd.random() < 0.5 else rnd.choice(vocab)
+            if rnd.random() < 0.3:
+                w = w[:len(w) * 2 // 3]
+            rows.append(("info", "a.go:1", " ".join(w)))
+    rnd.shuffle(rows)
+    got = sorted((r.ord.p, r.duplicate_count) for r in trim(_entries(spark, rows)).collect())
+    assert got == sorted(G.greedy([(i, lvl, src, msg) for i, (lvl, src, msg) in enumerate(rows)]))
