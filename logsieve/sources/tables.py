@@ -146,6 +146,45 @@ def event_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- fixed values: how event lines are packed into support packets ---------------
+#   packet    event_id // PACKET_EVENTS; no zip at all where packet % 7 = 6
+#   members   in this order; an event's lines are in member event_id % 4
+#   damage    where packet % 5 = 2 the last member's data has a wrong checksum
+PACKET_EVENTS = 500
+PACKET_MEMBERS = ("srv/logs/app.txt", "notification_2.txt", "config.json", "srv\\logs\\b.txt")
+
+
+def _packet(frame):
+    """The zip of one packet's lines (at most PACKET_EVENTS events)."""
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    number = int(frame["packet"].iloc[0])
+    rows = frame.sort_values("line_id")
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for k, name in enumerate(PACKET_MEMBERS):
+            lines = rows["value"][(rows["line_id"] // 2) % len(PACKET_MEMBERS) == k]
+            info = zipfile.ZipInfo(name, (2024, 1, 1, 0, 0, 0))
+            info.compress_type = zipfile.ZIP_STORED if k == 3 else zipfile.ZIP_DEFLATED
+            z.writestr(info, "".join(x + "\n" for x in lines))
+            stored_at = info.header_offset + 30 + len(info.filename.encode())
+    content = bytearray(out.getvalue())
+    if number % 5 == 2:
+        content[stored_at:stored_at + 1] = b"#"
+    return pd.DataFrame({"path": [f"packet-{number:06d}.zip"],
+                         "content": [b"no zip" if number % 7 == 6 else bytes(content)]})
+
+
+def event_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(path, content)``: the event lines as support packets, some damaged."""
+    lines = event_lines(spark, sf_dir).select(
+        F.floor(F.col("ord.p") / PACKET_EVENTS).cast("bigint").alias("packet"), "line_id", "value")
+    return lines.groupBy("packet").applyInPandas(_packet, "path string, content binary")
+
+
 def document_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as entries: level=lang, source=source, message=whole text,
     input order = doc_id, time = 2024-01-01 + doc_id minutes."""

@@ -1,7 +1,9 @@
 """Files, multi-file merge, missing paths, zip packets, command flows."""
 
+import datetime as dt
 import json
 import os
+import random
 import tempfile
 import zipfile
 
@@ -10,7 +12,8 @@ from logsieve.operators.bundle import tail_sample
 from logsieve.operators.dedup import trim
 from logsieve.schema import MAX_LINE_BYTES
 from logsieve.sources.files import read_log_file, read_log_files, read_log_lines
-from logsieve.sources.packets import is_log_member, packet_entries, packet_status
+from logsieve.sources.packets import Packets, is_log_member, packet_entries, packet_status
+from pyspark.sql import functions as F
 
 HARBOUR = ['info [2031-06-11 04:20:10.000 Z] Gate opened caller="quay/gate.go:7" berth=12',
            'fatal [2031-06-11 04:48:00.250 Z] Crane stalled caller="quay/crane.go:310" load="18t"']
@@ -136,6 +139,71 @@ def test_packet_problems_are_told(spark, port):
         packet_entries(spark, [p, bad])
 
 
+def test_packets_as_a_table(spark):
+    """Any table of (path, content); every way of compression; damage in the middle of a member."""
+    import io
+
+    rnd = random.Random(8)
+    noise = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(90)) for _ in range(3000)]
+    methods = (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2, zipfile.ZIP_LZMA)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for k, method in enumerate(methods):
+            z.writestr(f"m{k}/logs/x.log", "\n".join([*HARBOUR, *noise]), method)
+        z.writestr("empty/logs/x.log", "")
+        z.writestr("cut/logs/x.log", "\n".join([*HARBOUR, *noise]), zipfile.ZIP_DEFLATED)
+        at = z.getinfo("cut/logs/x.log").header_offset + 40_000
+    raw = bytearray(out.getvalue())
+    raw[at:at + 50] = bytes(50)
+    rows = [("a.zip", bytes(raw)), ("b.zip", b""), ("c.zip", None)]
+    table = spark.createDataFrame(rows, "path string, content binary").repartition(3)
+    opened = Packets(spark, table)
+    n = 2 + len(noise)
+    assert sorted(map(str, (tuple(r) for r in opened.status().collect()))) == sorted(map(str, [
+        *[("a.zip", k, f"m{k}/logs/x.log", n, None) for k in range(4)], ("a.zip", 4, "empty/logs/x.log", 0, None),
+        ("a.zip", 5, "cut/logs/x.log", 0, "member cannot be extracted"),
+        ("b.zip", None, None, 0, "not a zip archive"), ("c.zip", None, None, 0, "not a zip archive")]))
+    lines = opened.lines().orderBy("packet_path", "member_idx", "line_no").collect()
+    assert [r.value for r in lines] == [*HARBOUR, *noise] * 4
+    assert [r.line_no for r in lines[:n]] == list(range(n))
+    assert [r.message for r in opened.entries().orderBy("ord").collect()] == ["Gate opened", "Crane stalled"] * 4
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_time_order_is_the_same_in_every_session_zone(spark, zone):
+    """Around a clock change a local clock skips and repeats hours; entries do not."""
+    from logsieve.functions.timestamps import epoch_micros
+
+    times = ["2024-03-10 01:59:59.5", "2024-03-10 02:30:00", "2024-03-10 03:00:00", "2024-11-03 01:15:00.000001",
+             "2024-11-03 06:30:00", "1969-12-31 23:59:59.999999", "1900-01-01 00:00:00"]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.createDataFrame([(t,) for t in times], "t string").select(F.col("t").cast("timestamp_ntz").alias("ts"))
+        got = [r[0] for r in df.select(epoch_micros(F.col("ts"))).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    zero = dt.datetime(1970, 1, 1)
+    assert got == [(dt.datetime.fromisoformat(t) - zero) // dt.timedelta(microseconds=1) for t in times]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_merge_order_in_another_zone(spark, tmp_path, zone):
+    texts = {"a.log": ['info [2024-03-10 03:00:00.000 Z] Harbour closed for the night caller="a/b.go:1"'],
+             "b.log": ['info [2024-03-10 02:30:00.000 Z] Harbour closed for the night caller="a/b.go:2"']}
+    for name, lines in texts.items():
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        e, _ = read_log_files(spark, [str(tmp_path / n) for n in texts])
+        assert [r.source for r in e.collect()] == ["a/b.go:2", "a/b.go:1"]
+        assert [r.source for r in tail_sample(e, 1).collect()] == ["a/b.go:1"]
+        assert [(r.source, r.duplicate_count) for r in trim(e).collect()] == [("a/b.go:2", 2)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_command_flow(spark, port):
     from logsieve.plans.commands import file_entries, process
 
