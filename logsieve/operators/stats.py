@@ -21,6 +21,7 @@ from ..schema import (
     MONTHS,
     NOTIFICATION_LOG_SOURCE,
 )
+from ..session import written
 
 
 def weight(weighted: bool = True) -> Column:
@@ -304,8 +305,8 @@ def _all_ranked(counts: DataFrame) -> DataFrame:
     on the driver)."""
     order = ["stat", F.desc("count"), F.asc("item")]
     rows = counts.repartitionByRange(*order).sortWithinPartitions(*order).select(
-        "*", F.monotonically_increasing_id().alias("_id")).checkpoint()
-    rows = rows.withColumn("_part", F.shiftright("_id", 33))
+        "*", F.monotonically_increasing_id().alias("_id"))
+    rows = written(rows, "stat-ranks").withColumn("_part", F.shiftright("_id", 33))
     groups = rows.groupBy("_part", "stat").agg(
         F.count(F.lit(1)).alias("n"), F.min("_id").alias("first")).orderBy("_part", "stat").collect()
     starts, at = [], {}
@@ -317,20 +318,25 @@ def _all_ranked(counts: DataFrame) -> DataFrame:
         *counts.columns, (F.col("_id") + F.col("_start")).cast("int").alias("rank"))
 
 
+#: Items ranked in one window per statistic; of more, range partitions are numbered.
+WINDOW_ITEMS = 100_000
+
+
 def ranked(stat_counts: DataFrame, top: int = 10) -> DataFrame:
     """Rank items inside each statistic (count desc, item asc).
 
     List statistics keep their ``top`` items: the ``rank <= top`` filter lets
     Spark cut each statistic to ``top`` rows per partition before the shuffle
     (WindowGroupLimit), so a statistic with millions of distinct items never
-    lands whole in one task. The others keep all items (``_all_ranked``)."""
-    from ..session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(stat_counts.sparkSession)
-    # one aggregation feeds both ranking branches (reliable checkpoint of the
-    # counts, whose size is the number of distinct items, not of entries)
-    stat_counts = stat_counts.checkpoint()
+    lands whole in one task. The others keep all items: in a window too while they
+    are few (counted first), else by ``_all_ranked``; the result is the same."""
+    # one aggregation feeds both ranking branches (the counts are written once; their
+    # size is the number of distinct items, not of entries)
+    stat_counts = written(stat_counts, "stat-counts")
     w = Window.partitionBy("stat").orderBy(F.desc("count"), F.asc("item"))
     is_list = F.col("stat").isin(*LIST_STATS)
     lists = stat_counts.where(is_list).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
-    return lists.unionByName(_all_ranked(stat_counts.where(~is_list)))
+    others = stat_counts.where(~is_list)
+    if others.count() <= WINDOW_ITEMS:
+        return lists.unionByName(others.withColumn("rank", F.row_number().over(w)))
+    return lists.unionByName(_all_ranked(others))

@@ -13,6 +13,7 @@ from ..functions.text import extras_text
 from ..operators import filters as flt
 from ..operators import stats as st
 from ..sources import tables as tb
+from ..session import written
 from ..sources.staging import source_state, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -274,8 +275,8 @@ def q_exact_collapse(spark, sf_dir):
 def q_similar_pairs(spark, sf_dir):
     from ..operators.dedup import _node_attrs, entry_nodes, numbered, similar_edges
 
-    nodes = numbered(entry_nodes(_docs(spark, sf_dir)).checkpoint()).checkpoint()
-    pairs = similar_edges(_node_attrs(nodes))
+    nodes = written(numbered(written(entry_nodes(_docs(spark, sf_dir)), "nodes")), "nodes")
+    pairs = similar_edges(written(_node_attrs(nodes), "attrs"))
     ids = nodes.select("seq", F.col("node.p").alias("id"))
     a = ids.select(F.col("seq").alias("a"), F.col("id").alias("a_id"))
     b = ids.select(F.col("seq").alias("b"), F.col("id").alias("b_id"))
@@ -440,3 +441,85 @@ QUERIES.update({
     "trim_by_time": q_trim_by_time,
     "weighted_levels": q_weighted_levels,
 })
+
+
+# --- source pairs, packets, appended trim, report and array as rows ----------------
+
+def q_source_pairs(spark, sf_dir):
+    """D5 as a table: the sources of events and documents."""
+    from ..operators.source_pairs import source_pairs
+
+    return source_pairs(_entries(spark, sf_dir).select("source").unionByName(
+        tb.document_entries(spark, sf_dir).select("source")))
+
+
+def _packets(spark, sf_dir):
+    """The support packets made of the event lines, as a written table of (path, content)."""
+    state = source_state(spark, f"{sf_dir.rstrip('/')}/events.parquet")
+    return stage(spark, "event_packets", state, lambda: tb.event_packets(spark, sf_dir), date_col=None)
+
+
+def q_packet_entries(spark, sf_dir):
+    from ..sources.packets import Packets
+
+    entries = Packets(spark, _packets(spark, sf_dir)).entries()
+    return entries.select(F.col("file_path").alias("packet"), "member", *[c for c in ENTRY_OUT if c != "line_id"],
+                          extras_text(F.col("extras")).alias("extras_text"))
+
+
+def q_packet_status(spark, sf_dir):
+    from ..sources.packets import packet_status
+
+    return packet_status(spark, _packets(spark, sf_dir))
+
+
+def q_trim_appended(spark, sf_dir):
+    """Three deliveries of documents, one after the other: the trim of the whole."""
+    from ..operators.dedup import trim_appended, trimmed_entries
+
+    docs = _docs(spark, sf_dir)
+    top = docs.agg(F.max("ord.p")).first()[0] or 0
+    leaders = None
+    for k in range(3):
+        place = F.least(F.lit(2), F.floor(F.col("ord.p") * 3 / F.lit(top + 1)))
+        leaders = trim_appended(leaders, docs.where(place == k))
+    return trimmed_entries(leaders).select(F.col("ord.p").alias("doc_id"), "level", "source", "duplicate_count")
+
+
+def q_report_compact(spark, sf_dir):
+    from .report import report_lines
+
+    return report_lines(_entries(spark, sf_dir))
+
+
+def q_report_verbose(spark, sf_dir):
+    from .report import report_lines
+
+    return report_lines(_entries(spark, sf_dir), verbose=True)
+
+
+def q_json_array(spark, sf_dir):
+    from ..sinks import json_array_lines
+
+    return json_array_lines(_entries(spark, sf_dir)).select(F.col("ord.p").alias("event_id"), "value")
+
+
+def q_search_indexed(spark, sf_dir):
+    """F5 with the files' trigram filters: the rows of filter_search."""
+    from ..operators.search_index import build_index, search
+
+    table = _parsed(spark, sf_dir)
+    index = build_index(table)
+    return _entry_rows(search(table, index, FILTER_SEARCH).where(F.col("parse_error").isNull()))
+
+
+QUERIES.update({
+    "search_indexed": q_search_indexed,
+    "source_pairs": q_source_pairs,
+    "packet_entries": q_packet_entries,
+    "packet_status": q_packet_status,
+    "trim_appended": q_trim_appended,
+    "report_compact": q_report_compact,
+    "report_verbose": q_report_verbose,
+    "json_array": q_json_array,
+})

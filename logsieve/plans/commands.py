@@ -42,15 +42,15 @@ def process(entries: DataFrame, output: str = "analyze", trim: bool = False,
     """The common tail of every command.
 
     ``output``: ``analyze`` (report lines; written to ``path`` when given),
-    ``json`` (JSON Lines to ``path``, else the rows with their JSON text in input
-    order; ``sinks.json_array`` joins a small result), ``raw`` (pretty text rows), ``csv`` (written to ``path``). With ``trim`` the entries
-    are deduplicated first (and written as JSON Lines to ``trim_json_path``);
+    ``json`` (the indented array to ``path``, else the rows with their JSON text in input
+    order), ``raw`` (pretty text rows), ``csv`` (written to ``path``). With ``trim`` the entries
+    are deduplicated first (and written as a JSON array to ``trim_json_path``);
     the analysis then counts each kept entry once, as the original does."""
     spark = entries.sparkSession
     if trim:
         entries = trim_entries(entries)
         if trim_json_path:
-            sinks.write_json_lines(entries, trim_json_path)
+            sinks.write_json_array(entries, trim_json_path)
     if output == "analyze":
         lines = analysis_report(entries, weighted=not trim, verbose=verbose)
         if path:
@@ -58,7 +58,7 @@ def process(entries: DataFrame, output: str = "analyze", trim: bool = False,
         return lines
     if output == "json":
         if path:
-            sinks.write_json_lines(entries, path)
+            sinks.write_json_array(entries, path)
             return None
         return sinks.json_rows(entries).orderBy("ord")
     if output == "raw":

@@ -404,3 +404,109 @@ FROM trimmed t JOIN tev ON tev.tid = t.id"""
 SQL["weighted_levels"] = "WITH RECURSIVE " + trim_sql(EVENT_ENTRIES) + """
 SELECT upper(ev.level) AS level, CAST(sum(t.duplicate_count) AS BIGINT) AS count
 FROM trimmed t JOIN ev ON ev.event_id = t.id GROUP BY 1"""
+
+
+# --- source pairs, packets, appended trim, report and array as rows ----------------
+SQL["source_pairs"] = _with(""", s AS (
+  SELECT DISTINCT lower(source) AS s FROM (SELECT source FROM ev UNION ALL SELECT coalesce(source, '') FROM documents)
+  WHERE source <> '')
+SELECT a.s AS a_source, b.s AS b_source, CAST(levenshtein(a.s, b.s) AS INTEGER) AS edits FROM s a JOIN s b ON a.s < b.s
+WHERE 1 - levenshtein(a.s, b.s) / greatest(strlen(a.s), strlen(b.s)) > 0.7::DOUBLE""")
+
+_PACKED = """, pk AS (
+  SELECT *, event_id // 500 AS packet, event_id % 4 AS member_idx FROM ev),
+names AS (SELECT unnest([0, 1, 3]) AS member_idx, unnest(['srv/logs/app.txt', 'notification_2.txt', 'srv\\logs\\b.txt']) AS member)
+"""
+SQL["packet_entries"] = _with(_PACKED + """
+SELECT concat('packet-', lpad(packet::VARCHAR, 6, '0'), '.zip') AS packet, member, ts, wall_ts, tz_offset, level, message,
+       source, "user", log_source, ack_id, type, status, extras_text
+FROM pk JOIN names USING (member_idx) WHERE packet % 7 <> 6 AND NOT (packet % 5 = 2 AND member_idx = 3)""")
+SQL["packet_status"] = """
+WITH names AS (SELECT unnest([0, 1, 3]) AS member_idx,
+                      unnest(['srv/logs/app.txt', 'notification_2.txt', 'srv\\logs\\b.txt']) AS member),
+l AS (SELECT event_id // 500 AS packet, event_id % 4 AS member_idx,
+        1 + CASE WHEN event_type = 'error' OR (event_type = 'signup' AND event_id % 2 = 1) THEN 1 ELSE 0 END AS n FROM events),
+p AS (SELECT DISTINCT packet FROM l),
+n AS (SELECT packet, member_idx, sum(n) AS lines FROM l GROUP BY ALL)
+SELECT concat('packet-', lpad(packet::VARCHAR, 6, '0'), '.zip') AS packet_path, member_idx::INTEGER AS member_idx, member,
+  CASE WHEN packet % 5 = 2 AND member_idx = 3 THEN 0 ELSE coalesce(lines, 0) END::BIGINT AS lines,
+  CASE WHEN packet % 5 = 2 AND member_idx = 3 THEN 'member cannot be extracted' END AS problem
+FROM p CROSS JOIN names LEFT JOIN n USING (packet, member_idx) WHERE packet % 7 <> 6
+UNION ALL
+SELECT concat('packet-', lpad(packet::VARCHAR, 6, '0'), '.zip'), NULL, NULL, 0, 'not a zip archive' FROM p WHERE packet % 7 = 6"""
+SQL["trim_appended"] = SQL["trim_documents"]
+SQL["search_indexed"] = SQL["filter_search"]
+
+_REPORT = _with(_STAT_ITEMS.rsplit("SELECT * FROM r", 1)[0] + f"""
+, one AS (
+  SELECT CAST(sum(w) AS BIGINT) AS total, min_by(wall_ts, ts) AS first_wall, max_by(wall_ts, ts) AS last_wall,
+    CAST(round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6) AS BIGINT) AS s,
+    CAST(sum(CASE WHEN upper(level) IN ('ERROR', 'FATAL') THEN w ELSE 0 END) AS DOUBLE) AS errors FROM ev)
+, head AS (SELECT concat(total, ' entries • ', CASE WHEN s >= 3600 THEN concat(s // 3600, 'h') ELSE '' END,
+    CASE WHEN s >= 60 THEN concat(s % 3600 // 60, 'm') ELSE '' END, s % 60, 's • Error rate: ',
+    printf('%.1f', errors / total * 100), '%') AS line FROM one)
+, months AS (SELECT i, monthname(make_date(2000, CAST(i AS INTEGER), 1)) AS item FROM range(1, 13) t(i))
+, days AS (SELECT i, dayname(make_date(2000, 1, CAST(i + 1 AS INTEGER))) AS item FROM range(1, 8) t(i))
+, mb AS (SELECT i, item, coalesce(count, 0) AS count FROM months LEFT JOIN (SELECT * FROM r WHERE stat = 'month') USING (item))
+, db AS (SELECT i, item, count FROM days JOIN (SELECT * FROM r WHERE stat = 'weekday' AND count > 0) USING (item))
+, hb AS (SELECT CAST(item AS INTEGER) AS i, item, count FROM r WHERE stat = 'hour' AND count > 0)
+""")
+
+
+def _cut_items(stat: str, label: str, cut: int = 0, mark: str = "(") -> str:
+    item = f"CASE WHEN length(item) > {cut} THEN left(item, {cut}) || '...' ELSE item END" if cut else "item"
+    return (f"SELECT '{label}: ' || string_agg(concat({item}, '{mark}', count, ')'), ' • ' ORDER BY rank) AS line "
+            f"FROM r WHERE stat = '{stat}' AND rank <= 3 AND count > 0 HAVING count(*) > 0")
+
+
+def _bar(name: str, table: str, width: int) -> str:
+    return (f"SELECT concat({name}, ': ', repeat('█', CAST(floor(count / (SELECT max(count) FROM {table}) * {width}) "
+            f"AS INTEGER)), ' (', count, ')') AS line, i FROM {table}")
+
+
+def _report(parts: list[str]) -> str:
+    """The parts' lines, numbered; a part may give its lines' order as ``i``."""
+    union = "\nUNION ALL BY NAME ".join(f"SELECT {k} AS part, * FROM ({p})" for k, p in enumerate(parts))
+    return (f"{_REPORT}, every AS ({union})\n"
+            "SELECT CAST(row_number() OVER (ORDER BY part, coalesce(i, 0)) AS INTEGER) AS line_no, line FROM every")
+
+
+_LEVELS = "SELECT 'Levels: ' || string_agg({}, ' • ' ORDER BY rank) AS line FROM r, one WHERE stat = 'level' AND rank <= 100"
+_SAY = "SELECT '{}' AS line, 0 AS i".format
+SQL["report_compact"] = _report([
+    _SAY(""), _SAY("LOG ANALYSIS"), "SELECT line FROM head", _SAY(""), _LEVELS.format("concat(item, ':', count)"),
+    _cut_items("source", "Sources"), _cut_items("error", "Top Errors", 30), _cut_items("hour", "Peak Hours", 0, "h("), _SAY("")])
+_LONG, _DAYS = " FROM one WHERE s >= 720 * 3600", " FROM one WHERE s >= 24 * 3600"
+_NOTED = " WHERE EXISTS (SELECT 1 FROM r WHERE stat = 'notif_type')"
+_STATED = _NOTED + " AND EXISTS (SELECT 1 FROM r WHERE stat = 'notif_status')"
+_LISTED = "SELECT concat('  ', item, ': ', count) AS line, rank AS i FROM r WHERE stat = '{}'"
+SQL["report_verbose"] = _report([
+    _SAY(""), _SAY("=== LOG ANALYSIS ==="), "SELECT line FROM head",
+    "SELECT concat(strftime(first_wall, '%Y-%m-%d %H:%M:%S'), ' to ', strftime(last_wall, '%Y-%m-%d %H:%M:%S')) AS line FROM one",
+    _LEVELS.format("concat(item, ':', count, '(', printf('%.0f', count / total * 100), '%)')"),
+    _cut_items("source", "Sources"), _cut_items("error", "Top Errors", 40),
+    _SAY("Activity by Month:") + _LONG, _bar("rpad(item, 9, ' ')", "mb", 30) + _LONG.replace(" FROM one", "").replace(
+        "s >=", "(SELECT s FROM one) >="), _SAY("") + _LONG,
+    _SAY("Notification Statistics:") + _NOTED, _SAY("Notification Types:") + _NOTED, _LISTED.format("notif_type"),
+    _SAY("Notification Statuses:") + _STATED, _LISTED.format("notif_status"), _SAY("") + _NOTED,
+    _SAY("Activity by Hour:"), _bar("concat(lpad(item, 2, '0'), ':00')", "hb", 15), _SAY(""),
+    _SAY("Activity by Day of Week:") + _DAYS, _bar("left(item, 3)", "db", 15) + _DAYS.replace(" FROM one", "").replace(
+        "s >=", "(SELECT s FROM one) >="), _SAY("") + _DAYS,
+    _SAY(""), _SAY("=== END OF ANALYSIS ==="), _SAY("")])
+
+_J = f"""strftime(wall_ts, '%Y-%m-%dT%H:%M:%S'), {FRAC}, {ZONE}"""
+SQL["json_array"] = _with(f"""SELECT ev.event_id, concat(
+  CASE WHEN ev.event_id = (SELECT min(event_id) FROM events) THEN '[' || {NL} ELSE '' END,
+  '  {{', {NL}, '    "timestamp": "', {_J}, '",', {NL}, '    "level": ', to_json(level), ',', {NL},
+  '    "message": ', to_json(message), ',', {NL}, '    "source": ', to_json(source), ',', {NL},
+  '    "user": ', to_json("user"), ',', {NL},
+  CASE WHEN log_source <> '' THEN concat('    "log_source": ', to_json(log_source), ',', {NL},
+    '    "ack_id": ', to_json(ack_id), ',', {NL}, '    "type": ', to_json(type), ',', {NL},
+    '    "status": ', to_json(status), ',', {NL}) ELSE '' END,
+  '    "extras": {{', {NL}, '      "cents": ', to_json(CAST(CAST(round(e.value * 100) AS BIGINT) AS VARCHAR)), ',', {NL},
+  CASE WHEN line_format = 'json' THEN concat('      "props": ', to_json(replace(e.props, ' ', '')), ',', {NL},
+    '      "retry": ', CASE WHEN ev.event_id % 3 = 0 THEN '"true"' ELSE '"false"' END)
+  ELSE concat('      "k": ', to_json(json_extract_string(e.props, '$.k'))) END, {NL},
+  '    }}', {NL}, '  }}',
+  CASE WHEN ev.event_id = (SELECT max(event_id) FROM events) THEN {NL} || ']' ELSE ',' END) AS value
+FROM ev JOIN events e ON e.event_id = ev.event_id""")

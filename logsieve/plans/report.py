@@ -1,134 +1,166 @@
-"""The analysis report, plus the command flows of the original
-tool (file / notification / support packet -> optional trim -> output).
-
-All statistics come from two distributed jobs (``stat_items`` one-pass counts
-and the one-row ``summary``); only those bounded aggregates (levels, top-10
-lists, 24 hours, 7 weekdays, 12 months) reach the driver to be laid out as
-text lines.
+"""The analysis report as rows.
+
+``report_lines`` lays the report out inside the engine: the counts of all statistics come
+from one pass (``stat_items``) and the scalars from ``summary``. Item lines are
+ordered ``listagg`` aggregates (T3), bars are ``repeat`` over a count and its section's
+maximum (A21), and a section's gate (A22) is a predicate on the one-row summary. The
+result has (line_no, line); it holds at most LEVELS_SHOWN levels, the top-10 lists and 24
+hours, 7 weekdays and 12 months, so it is small whatever the input.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import stats as st
 from ..schema import MONTHS, WEEKDAY_ABBREV, WEEKDAYS
+from ..session import written
 
-_BAR = "█"
 LEVELS_SHOWN = 100
 
-
-def go_duration(seconds: int) -> str:
-    """A whole-second duration in Go's notation (``1421h45m0s``)."""
-    if seconds == 0:
-        return "0s"
-    sign = "-" if seconds < 0 else ""
-    seconds = abs(seconds)
-    h, rem = divmod(seconds, 3600)
-    m, s = divmod(rem, 60)
-    out = (f"{h}h" if h else "") + (f"{m}m" if h or m else "") + f"{s}s"
-    return sign + out
-
-
-def _items_line(items: list[tuple[str, int]], n: int, cut: int = 0) -> str:
-    parts = []
-    for text, count in items[:n]:
-        if cut and len(text) > cut:
-            text = text[:cut] + "..."
-        parts.append(f"{text}({count})")
-    return " • ".join(parts)
-
-
-def analysis_report(entries: DataFrame, weighted: bool = True, verbose: bool = False) -> list[str]:
-    """The report as text lines (compact or verbose)."""
-    summ = st.summary(entries, weighted, walls=True).collect()[0]
-    if summ["unique_rows"] == 0:
-        return ["No log entries to analyze."]
-    counts: dict[str, list[tuple[str, int]]] = defaultdict(list)
-    # only what the text shows reaches the driver: the 24/7/12 time buckets, the
-    # LEVELS_SHOWN largest levels (a level is any text) and the top 10 of each list
-    shown = st.ranked(st.stat_items(entries, weighted)).where(
-        ~F.col("stat").endswith("_level") & ((F.col("stat") != "level") | (F.col("rank") <= LEVELS_SHOWN)))
-    for r in shown.orderBy("stat", "rank").collect():
-        counts[r["stat"]].append((r["item"], int(r["count"])))
-
-    total = int(summ["total"])
-    duration = int(summ["duration_s"] or 0)
-    rate = float(summ["error_rate"] or 0.0)
-    dedup = bool(summ["is_deduplicated"])
-    head = f"{total} entries"
-    if dedup:
-        head += f" ({int(summ['unique_rows'])} unique)"
-    head += f" • {go_duration(duration)} • Error rate: {rate:.1f}%"
-
-    lines: list[str] = []
-    if verbose:
-        lines += ["", "=== LOG ANALYSIS ===", head,
-                  f"{summ['start_wall']:%Y-%m-%d %H:%M:%S} to {summ['end_wall']:%Y-%m-%d %H:%M:%S}"]
-    else:
-        lines += ["", "LOG ANALYSIS", head, ""]
-
-    levels = counts["level"]
+# --- fixed values: the report's words and sizes --------------------------------
+NO_ENTRIES = "No log entries to analyze."
+TITLE, VERBOSE_TITLE, END = "LOG ANALYSIS", "=== LOG ANALYSIS ===", "=== END OF ANALYSIS ==="
+BETWEEN = " • "
+BAR = "█"
+HOUR_BAR, WEEKDAY_BAR, MONTH_BAR = 15, 15, 30
+ITEMS_SHOWN, ERROR_CUT, VERBOSE_ERROR_CUT = 3, 30, 40
+MONTH_GATE_S, WEEKDAY_GATE_S = 720 * 3600, 24 * 3600
+# ------------------------------------------------------------------------------
+
+
+def duration_text(seconds: Column) -> Column:
+    """Whole seconds as ``1421h45m0s``; hours and minutes only where they are due."""
+    rest = F.abs(seconds)
+    h, m, s = F.floor(rest / 3600), F.floor(rest % 3600 / 60), rest % 60
+    text = F.concat(
+        F.when(seconds < 0, F.lit("-")).otherwise(F.lit("")),
+        F.when(h > 0, F.concat(h.cast("string"), F.lit("h"))).otherwise(F.lit("")),
+        F.when(rest >= 60, F.concat(m.cast("string"), F.lit("m"))).otherwise(F.lit("")),
+        s.cast("string"), F.lit("s"))
+    return text
+
+
+def _fixed(x: Column, digits: int) -> Column:
+    """A number below 1,000 with so many digits, ties by the exact binary value to even."""
+    return F.format_number(x, digits)
+
+
+def _join(items: DataFrame, text: Column) -> DataFrame:
+    """One row: the items' texts in order of rank; null if there are none."""
+    return items.withColumn("text", text).agg(F.expr(f"listagg(text, '{BETWEEN}') within group (order by rank)").alias("text"))
+
+
+def report_lines(entries: DataFrame, weighted: bool = True, verbose: bool = False) -> DataFrame:
+    """``(line_no, line)``, from 1 on; one line if there are no entries."""
+    one = written(st.summary(entries, weighted, walls=True), "report-summary")
+    # no level table: a report shows LEVELS_SHOWN levels, the buckets and the top lists
+    items = written(st.ranked(st.stat_items(entries, weighted)).where(
+        ~F.col("stat").endswith("_level") & ((F.col("stat") != "level") | (F.col("rank") <= LEVELS_SHOWN))), "report-items")
+    some = one.where("unique_rows > 0")
+    parts: list[DataFrame] = []
+
+    def add(lines: DataFrame, pos: Column, text: Column) -> None:
+        parts.append(lines.select(F.lit(len(parts)).alias("part"), pos.cast("int").alias("pos"), text.alias("line")))
+
+    def say(*texts: str, gate: Column | None = None) -> None:
+        for text in texts:
+            add(some if gate is None else some.where(gate), F.lit(0), F.lit(text))
+
+    def of(stat: str, n: int | None = None) -> DataFrame:
+        rows = items.where((F.col("stat") == stat) & (F.col("count") > 0))
+        return rows if n is None else rows.where(F.col("rank") <= n)
+
+    def item_line(label: str, rows: DataFrame, text: Column, always: bool = False) -> None:
+        line = _join(rows, text).join(F.broadcast(some.select("unique_rows")))
+        shown = F.coalesce(F.col("text"), F.lit("")) if always else F.col("text")
+        add(line.where(shown.isNotNull()), F.lit(0), F.concat(F.lit(f"{label}: "), shown))
+
+    def counted(cut: int = 0, mark: str = "(") -> Column:
+        text = F.col("item")
+        if cut:
+            text = F.when(F.length(text) > cut, F.concat(F.substring(text, 1, cut), F.lit("..."))).otherwise(text)
+        return F.concat(text, F.lit(mark), F.col("count").cast("string"), F.lit(")"))
+
+    def bars(buckets: DataFrame, width: int, name: Column) -> None:
+        top = F.broadcast(buckets.agg(F.max("count").alias("top")))
+        size = F.floor(F.col("count") / F.col("top") * width).cast("int")
+        add(buckets.join(top), F.col("place"), F.concat(
+            name, F.lit(": "), F.repeat(F.lit(BAR), size), F.lit(" ("), F.col("count").cast("string"), F.lit(")")))
+
+    def named(stat: str, names: tuple[str, ...], labels: tuple[str, ...], gate: Column) -> DataFrame:
+        """The buckets of a statistic under their names, all of them, in calendar order."""
+        places = entries.sparkSession.createDataFrame(
+            [(i, n, x) for i, (n, x) in enumerate(zip(names, labels))], "place int, item string, label string")
+        return places.join(F.broadcast(of(stat)), "item", "left").select(
+            "place", "label", F.coalesce("count", F.lit(0)).alias("count")).join(F.broadcast(some.where(gate).select("unique_rows")))
+
+    head = F.concat(
+        F.col("total").cast("string"), F.lit(" entries"),
+        F.when(F.col("is_deduplicated"), F.concat(F.lit(" ("), F.col("unique_rows").cast("string"), F.lit(" unique)")))
+        .otherwise(F.lit("")),
+        F.lit(BETWEEN), duration_text(F.col("duration_s")), F.lit(f"{BETWEEN}Error rate: "),
+        _fixed(F.col("error_count") / F.col("total") * 100, 1), F.lit("%"))
+    parts.append(one.where("unique_rows = 0").select(F.lit(0).alias("part"), F.lit(0).alias("pos"), F.lit(NO_ENTRIES).alias("line")))
+    say("", VERBOSE_TITLE if verbose else TITLE)
+    add(some, F.lit(0), head)
     if verbose:
-        lvl = " • ".join(f"{k}:{c}({c * 100.0 / total:.0f}%)" for k, c in levels)
+        add(some, F.lit(0), F.concat(F.date_format("start_wall", "yyyy-MM-dd HH:mm:ss"), F.lit(" to "),
+                                     F.date_format("end_wall", "yyyy-MM-dd HH:mm:ss")))
     else:
-        lvl = " • ".join(f"{k}:{c}" for k, c in levels)
-    lines.append(f"Levels: {lvl}")
-    if counts["source"]:
-        lines.append(f"Sources: {_items_line(counts['source'], 3)}")
-    if counts["error"]:
-        lines.append(f"Top Errors: {_items_line(counts['error'], 3, 40 if verbose else 30)}")
-    hours = [(h, c) for h, c in counts["hour"] if c > 0]
+        say("")
+    levels = items.where("stat = 'level'").join(F.broadcast(some.select("total")))
+    level = F.concat(F.col("item"), F.lit(":"), F.col("count").cast("string"))
+    share = F.concat(F.lit("("), _fixed(F.col("count") / F.col("total") * 100, 0), F.lit("%)"))
+    item_line("Levels", levels, F.concat(level, share) if verbose else level, always=True)
+    item_line("Sources", of("source", ITEMS_SHOWN), counted())
+    item_line("Top Errors", of("error", ITEMS_SHOWN), counted(VERBOSE_ERROR_CUT if verbose else ERROR_CUT))
     if not verbose:
-        peak = _items_line(hours, 3).replace("(", "h(")
-        lines.append(f"Peak Hours: {peak}")
-
-    span_h = duration / 3600.0
-    if verbose and span_h >= 24 * 30 and counts["month"]:
-        lines.append("Activity by Month:")
-        month_map = dict(counts["month"])
-        mx = max(month_map.values())
-        for m in MONTHS:
-            c = month_map.get(m, 0)
-            lines.append(f"{m:<9s}: {_BAR * int(c / mx * 30)} ({c})")
-        lines.append("")
-    if verbose and counts["notif_type"]:
-        lines.append("Notification Statistics:")
-        lines.append("Notification Types:")
-        lines += [f"  {k}: {c}" for k, c in counts["notif_type"][:10]]
-        if counts["notif_status"]:
-            lines.append("Notification Statuses:")
-            lines += [f"  {k}: {c}" for k, c in counts["notif_status"][:10]]
-        lines.append("")
-    if verbose:
-        lines.append("Activity by Hour:")
-        hour_map = {int(h): c for h, c in hours}
-        mx = max(hour_map.values()) if hour_map else 0
-        for h in range(24):
-            c = hour_map.get(h, 0)
-            if c:
-                lines.append(f"{h:02d}:00: {_BAR * int(c / mx * 15)} ({c})")
-        lines.append("")
-        if span_h >= 24 and counts["weekday"]:
-            lines.append("Activity by Day of Week:")
-            day_map = dict(counts["weekday"])
-            mx = max(day_map.values())
-            for name, abbrev in zip(WEEKDAYS, WEEKDAY_ABBREV):
-                c = day_map.get(name, 0)
-                if c:
-                    lines.append(f"{abbrev}: {_BAR * int(c / mx * 15)} ({c})")
-            lines.append("")
-        lines += ["", "=== END OF ANALYSIS ===", ""]
-    else:
-        lines.append("")
-    return lines
+        item_line("Peak Hours", of("hour", ITEMS_SHOWN), counted(mark="h("), always=True)
+        say("")
+        return _numbered(parts)
+    long_, days = F.col("duration_s") >= MONTH_GATE_S, F.col("duration_s") >= WEEKDAY_GATE_S
+    say("Activity by Month:", gate=long_)
+    bars(named("month", MONTHS, MONTHS, long_), MONTH_BAR, F.rpad("label", 9, " "))
+    say("", gate=long_)
+    noted = F.broadcast(of("notif_type").agg(F.count(F.lit(1)).alias("n")).where("n > 0"))
+    stated = F.broadcast(of("notif_status").agg(F.count(F.lit(1)).alias("n")).where("n > 0"))
+    pair = F.concat(F.lit("  "), F.col("item"), F.lit(": "), F.col("count").cast("string"))
+    for label in ("Notification Statistics:", "Notification Types:"):
+        add(noted, F.lit(0), F.lit(label))
+    add(of("notif_type"), F.col("rank"), pair)
+    add(noted.join(stated.drop("n")), F.lit(0), F.lit("Notification Statuses:"))
+    add(of("notif_status").join(noted.drop("n")), F.col("rank"), pair)
+    add(noted, F.lit(0), F.lit(""))
+    say("Activity by Hour:")
+    bars(of("hour").withColumn("place", F.col("item").cast("int")), HOUR_BAR,
+         F.concat(F.lpad("item", 2, "0"), F.lit(":00")))
+    say("")
+    say("Activity by Day of Week:", gate=days)
+    bars(named("weekday", WEEKDAYS, WEEKDAY_ABBREV, days).where("count > 0"), WEEKDAY_BAR, F.col("label"))
+    say("", gate=days)
+    say("", END, "")
+    return _numbered(parts)
+
+
+def _numbered(parts: list[DataFrame]) -> DataFrame:
+    """A few hundred lines at most, so one task may number them."""
+    every = reduce(DataFrame.unionByName, parts)
+    return every.select(F.row_number().over(Window.orderBy("part", "pos")).alias("line_no"), "line")
 
 
-def write_report(spark: SparkSession, lines: list[str], path: str) -> None:
-    """K4: the report text to a folder (one small file)."""
-    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode(
-        "overwrite"
-    ).text(path)
+def analysis_report(entries: DataFrame, weighted: bool = True, verbose: bool = False) -> list[str]:
+    """The report's lines, as the command prints them."""
+    return [r["line"] for r in report_lines(entries, weighted, verbose).orderBy("line_no").collect()]
+
+
+def write_report(spark: SparkSession, lines: list[str] | DataFrame, path: str) -> None:
+    """K4: the report text to a folder (one small file); ``lines``: as rows or as a list."""
+    if isinstance(lines, DataFrame):
+        rows = lines.orderBy("line_no").select(F.col("line").alias("value"))
+    else:
+        rows = spark.createDataFrame([(x,) for x in lines], "value string")
+    rows.coalesce(1).write.mode("overwrite").text(path)

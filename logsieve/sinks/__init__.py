@@ -1,7 +1,7 @@
 """K1-K5: entry exports. Each ``*_rows`` function is a column projection (one
 row per entry, distributed); the writers persist them with Spark's own sinks
-(JSON Lines / CSV / text folders). ``json_array`` builds the single indented
-array form for small results only."""
+(JSON Lines / CSV / text folders). ``json_array_lines`` / ``write_json_array`` give the
+single indented array: its pieces are rows in input order, so it may have any size."""
 
 from __future__ import annotations
 
@@ -27,6 +27,28 @@ def rfc3339(wall: Column, offset: Column, fraction: bool = True) -> Column:
     return F.concat(base, _frac_trimmed(wall) if fraction else F.lit(""), _zone(offset))
 
 
+# --- fixed values: what the original's JSON encoder escapes beyond quotes, backslashes
+# and control characters; control characters are written with small hex digits
+HTML_ESCAPES = {"<": r"\u003c", ">": r"\u003e", "&": r"\u0026", "\u2028": r"\u2028", "\u2029": r"\u2029"}
+HEX_LETTERS = ("0B", "0E", "0F", "1A", "1B", "1C", "1D", "1E", "1F")
+
+
+def _escaped(json: Column) -> Column:
+    """JSON text with the original encoder's escapes (these characters only occur in strings)."""
+    for char, code in HTML_ESCAPES.items():
+        json = F.replace(json, F.lit(char), F.lit(code))
+    small = json
+    for digits in HEX_LETTERS:  # after an even number of backslashes
+        small = F.regexp_replace(small, rf"(?<!\\)((?:\\\\)*)\\u00{digits}", rf"$1\\u00{digits.lower()}")
+    return F.when(json.rlike(r"\\u00[01][A-F]"), small).otherwise(json)
+
+
+def json_string(c: Column) -> Column:
+    """A string as JSON text, quotes included."""
+    text = F.to_json(F.struct(c.alias("v")))  # {"v":"..."}
+    return _escaped(F.substring(text, F.lit(6), F.length(text) - 6))
+
+
 def _blank_to_null(c: str) -> Column:
     return F.when(F.col(c) != "", F.col(c))
 
@@ -38,7 +60,7 @@ def json_object(entries: DataFrame | None = None) -> Column:
         F.size("extras") > 0, F.map_from_entries(F.array_sort(F.map_entries("extras")))
     )
     dc = F.when(F.coalesce(F.col("duplicate_count"), F.lit(0)) != 0, F.col("duplicate_count"))
-    return F.to_json(
+    return _escaped(F.to_json(
         F.struct(
             rfc3339(F.col("wall_ts"), F.col("tz_offset")).alias("timestamp"),
             F.col("level").alias("level"),
@@ -53,7 +75,7 @@ def json_object(entries: DataFrame | None = None) -> Column:
             dc.alias("duplicate_count"),
         ),
         {"ignoreNullFields": "true"},
-    )
+    ))
 
 
 def json_rows(entries: DataFrame) -> DataFrame:
@@ -65,15 +87,44 @@ def write_json_lines(entries: DataFrame, path: str, mode: str = "overwrite") ->
     json_rows(entries).select(F.col("json").alias("value")).write.mode(mode).text(path)
 
 
-def json_array(entries: DataFrame) -> str:
-    """K1's single indented array (``[]`` when empty), for small results: the
-    rows are ordered by input order and gathered on the driver."""
-    import json
-
-    rows = json_rows(entries).orderBy("ord").select("json").collect()
-    if not rows:
-        return "[]"
-    return json.dumps([json.loads(r[0]) for r in rows], indent=2, ensure_ascii=False)
+def json_item() -> Column:
+    """K1: one entry as an element of the indented array, without the comma after it."""
+    def line(name: str, value: Column) -> Column:
+        return F.concat(F.lit(f'    "{name}": '), value)
+
+    def unless_blank(name: str) -> Column:
+        return F.when(F.col(name) != "", line(name, json_string(F.col(name))))
+
+    extras = F.array_join(F.transform(F.array_sort(F.map_entries("extras")), lambda e: F.concat(
+        F.lit("      "), json_string(e["key"]), F.lit(": "), json_string(e["value"]))), ",\n")
+    count = F.coalesce(F.col("duplicate_count"), F.lit(0))
+    return F.concat(F.lit("  {\n"), F.concat_ws(
+        ",\n",
+        line("timestamp", json_string(rfc3339(F.col("wall_ts"), F.col("tz_offset")))),
+        line("level", json_string(F.coalesce("level", F.lit("")))),
+        line("message", json_string(F.coalesce("message", F.lit("")))),
+        *[unless_blank(c) for c in ("source", "user", "log_source", "ack_id", "type", "status")],
+        F.when(F.size("extras") > 0, line("extras", F.concat(F.lit("{\n"), extras, F.lit("\n    }")))),
+        F.when(count != 0, line("duplicate_count", count.cast("string")))), F.lit("\n  }"))
+
+
+def json_array_lines(entries: DataFrame) -> DataFrame:
+    """K1's single indented array as rows (ord, value), one for each entry: joined by line
+    ends in order of ``ord``, which is an entry's own place, they are the array. The
+    first and the last place come from one aggregate, so commas and brackets need no
+    pass over neighbours. No entries: the one row ``[]``."""
+    ends = F.broadcast(entries.agg(F.min("ord").alias("_first"), F.max("ord").alias("_last")))
+    items = entries.select("ord", json_item().alias("_item")).join(ends).select("ord", F.concat(
+        F.when(F.col("ord") == F.col("_first"), F.lit("[\n")).otherwise(F.lit("")), F.col("_item"),
+        F.when(F.col("ord") == F.col("_last"), F.lit("\n]")).otherwise(F.lit(","))).alias("value"))
+    none = ends.where("_first is null").select(F.col("_first").alias("ord"), F.lit("[]").alias("value"))
+    return items.unionByName(none)
+
+
+def write_json_array(entries: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """K1/K3: the array as a text folder. The sort is a range sort over the cluster, so the part
+    files, joined in order of their names, are the original's one file."""
+    json_array_lines(entries).orderBy("ord").select("value").write.mode(mode).text(path)
 
 
 def csv_columns() -> list[Column]:
