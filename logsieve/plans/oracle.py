@@ -241,20 +241,20 @@ def edges_sql(entries: str) -> str:
 nb AS (SELECT id, lvl, lsrc, norm, strlen(norm) AS nlen,
          CASE WHEN norm = '' THEN []::VARCHAR[] ELSE string_split(norm, ' ') END AS w FROM nodes),
 nc AS (SELECT *, list_distinct(w) AS ws, len(w) AS nw FROM nb),
-p AS (SELECT a.id AS a, b.id AS b, a.norm AS m1, b.norm AS m2, a.nlen AS l1, b.nlen AS l2,
-             a.nw AS n1, b.nw AS n2, len(a.ws) AS d1
-      FROM nc a JOIN nc b ON a.lvl = b.lvl AND a.id < b.id
-      WHERE a.lsrc = b.lsrc OR (strlen(a.lsrc) > 0 AND strlen(b.lsrc) > 0 AND
-            1 - levenshtein(a.lsrc, b.lsrc) / greatest(strlen(a.lsrc), strlen(b.lsrc)) > 0.7)),
-r AS (SELECT *, CASE WHEN m1 = m2 THEN true
-                     WHEN NOT (2 * least(l1, l2) > greatest(l1, l2)) THEN false
-                     WHEN contains(m1, m2) OR contains(m2, m1) THEN true
-                     WHEN NOT (2 * least(n1, n2) >= greatest(n1, n2)) THEN false
-                END AS early FROM p),
-wl AS (SELECT id, unnest(w) AS word FROM nc),
-wd AS (SELECT DISTINCT id, unnest(ws) AS word FROM nc),
-cc AS (SELECT r.a, r.b, count(*) AS c FROM r JOIN wl ON wl.id = r.b
-       JOIN wd ON wd.id = r.a AND wd.word = wl.word WHERE r.early IS NULL GROUP BY r.a, r.b),
+sp AS (SELECT x.s AS s1, y.s AS s2 FROM (SELECT DISTINCT lsrc AS s FROM nc) x, (SELECT DISTINCT lsrc AS s FROM nc) y
+       WHERE x.s = y.s OR (strlen(x.s) > 0 AND strlen(y.s) > 0 AND
+             1 - levenshtein(x.s, y.s) / greatest(strlen(x.s), strlen(y.s)) > 0.7)),
+p AS (SELECT a.id AS a, b.id AS b, a.nlen AS l1, b.nlen AS l2, a.nw AS n1, b.nw AS n2, len(a.ws) AS d1
+      FROM nc a JOIN sp ON sp.s1 = a.lsrc JOIN nc b ON a.lvl = b.lvl AND b.lsrc = sp.s2 AND a.id < b.id
+       AND (2 * least(a.nlen, b.nlen) > greatest(a.nlen, b.nlen) OR a.nlen + b.nlen = 0)),
+r AS (SELECT p.*, x.norm AS m1, y.norm AS m2,
+             CASE WHEN x.norm = y.norm THEN true
+                  WHEN contains(x.norm, y.norm) OR contains(y.norm, x.norm) THEN true
+                  WHEN NOT (2 * least(n1, n2) >= greatest(n1, n2)) THEN false
+             END AS early FROM p JOIN nodes x ON x.id = p.a JOIN nodes y ON y.id = p.b),
+wl AS (SELECT id, word, count(*) AS k FROM (SELECT id, unnest(w) AS word FROM nc) GROUP BY ALL),
+cc AS (SELECT r.a, r.b, sum(wl.k) AS c FROM (SELECT a, b FROM r WHERE early IS NULL) r JOIN wl ON wl.id = r.b
+       JOIN wl wd ON wd.id = r.a AND wd.word = wl.word GROUP BY r.a, r.b),
 jj AS (SELECT r.*, coalesce(cc.c, 0) AS c, r.d1 + r.n2 - coalesce(cc.c, 0) AS tot
        FROM r LEFT JOIN cc ON cc.a = r.a AND cc.b = r.b),
 edges AS (SELECT a, b FROM jj WHERE CASE
