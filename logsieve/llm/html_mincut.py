@@ -55,7 +55,7 @@ BLOCKS = frozenset(
     "footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre "
     "search section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math object canvas".split())
+RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg".split())
 GONE = frozenset("nav footer aside menu dialog head button select option optgroup datalist".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar "
                   "tablist form".split())
@@ -169,6 +169,18 @@ def blocks_of(page: str | None) -> list[Block]:
     root = top = Element("#page", None)
     out, block, links, at = [], Block(root), 0, 0
     n = len(page)
+    open_: dict[str, int] = {}  # names of open elements, so that a stray end tag costs no walk
+
+    def push(e):
+        nonlocal top
+        top = e
+        open_[e.name] = open_.get(e.name, 0) + 1
+
+    def pop_to(x):
+        nonlocal top
+        while top is not x:
+            open_[top.name] -= 1
+            top = top.parent
 
     def text(lo, hi):
         if lo < hi:
@@ -206,7 +218,8 @@ def blocks_of(page: str | None) -> list[Block]:
         if not (m["end"] or m["end2"]):
             attrs = m["attrs"] if m["name"] else m["attrs2"]
             if name in RAW:
-                if not attrs.rstrip().endswith("/"):
+                # only a drawing may end in its own tag; elsewhere the slash belongs to a value or to nothing
+                if name != "svg" or not attrs.rstrip().endswith("/"):
                     stop = re.compile(f"</{name}\\b[^>]*(?:>|\\Z)", re.I).search(page, at)
                     at = stop.end() if stop else n
                 if name in BLOCKS:
@@ -221,9 +234,9 @@ def blocks_of(page: str | None) -> list[Block]:
                     x = x.parent
                 if name in ("dt", "dd") and x.name in ("dt", "dd"):
                     x = x.parent
-                top = x
+                pop_to(x)
                 if name not in VOID:
-                    top = Element(name, top, attrs)
+                    push(Element(name, top, attrs))
                 close()
             elif name == "a":
                 links = 1
@@ -231,16 +244,16 @@ def blocks_of(page: str | None) -> list[Block]:
                 # an inline element that names a page part counts as a block
                 e = Element(name, top, attrs)
                 if e.gone and not top.gone or e.cost:
-                    top = e
+                    push(e)
                     close()
         elif name == "a":
             links = 0
         elif name not in VOID:
-            x = top
-            while x is not root and x.name != name:
-                x = x.parent
-            if x is not root:
-                top = x.parent
+            if open_.get(name):
+                x = top
+                while x.name != name:
+                    x = x.parent
+                pop_to(x.parent)
                 close()
             elif name in BLOCKS:
                 close()

@@ -35,6 +35,8 @@ from .common import keep, spread
 from .sampling import bounded_sample
 
 PER_CLASS = 1000
+#: Lines of a training sequence.
+SEGMENT = 512
 CONTENT_SHARE = 0.5
 MIN_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
 
@@ -133,63 +135,69 @@ def default_chain() -> Chain:
     return c
 
 
-def fit_chain(texts: list, bad: np.ndarray, weight: np.ndarray, steps: int = 120, rate: float = 0.15,
+def line_masks(text: str | None) -> np.ndarray:
+    """The features of each line as the bits of a number."""
+    return np.array([sum(1 << k for k in f) for f in line_features(text)[0]], dtype=np.uint16)
+
+
+def fit_chain(masks: list[np.ndarray], bad: np.ndarray, weight: np.ndarray, steps: int = 120, rate: float = 0.15,
               l2: float = 1e-3) -> Chain:
-    """Maximum conditional likelihood with Adam; whole sequences, longest first,
-    so step t runs over those that still have a line t."""
-    rows = [line_features(t)[0] for t in texts]
-    order = sorted((i for i in range(len(rows)) if rows[i]), key=lambda i: -len(rows[i]))
-    if not order:
+    """Maximum conditional likelihood with Adam; sequences of line masks, longest first,
+    so step t runs over those that still have a line t. Longer documents are cut into
+    sequences of ``SEGMENT`` lines, all of which count, so memory grows with the lines, not with
+    the longest document, and a round takes ``SEGMENT`` steps at most."""
+    # a document counts the same, long or short
+    pieces = [(m[k:k + SEGMENT], i, weight[i] / len(m)) for i, m in enumerate(masks) for k in range(0, len(m), SEGMENT)]
+    pieces.sort(key=lambda p: -len(p[0]))
+    if not pieces:
         return default_chain()
-    length = np.array([len(rows[i]) for i in order])
-    y, w = bad[order].astype(int), weight[order] / weight[order].sum()
+    length = np.array([len(p[0]) for p in pieces])
+    y = bad[[p[1] for p in pieces]].astype(int)
+    per_line = np.array([p[2] for p in pieces]) / weight[[i for i, m in enumerate(masks) if len(m)]].sum()
     live = [int((length > t).sum()) for t in range(length[0])]
-    x = np.zeros((length[0], len(order), N), dtype=np.float32)
-    for k, i in enumerate(order):
-        for t, f in enumerate(rows[i]):
-            x[t, k, f] = 1.0
-    chain = Chain()
+    # the different masks; lines hold numbers of them
+    known, number = np.unique(np.concatenate([p[0] for p in pieces]), return_inverse=True)
+    bits = (known[:, None] >> np.arange(N) & 1).astype(float)
+    starts = np.cumsum(length) - length
+    x = [number[starts[:n] + t] for t, n in enumerate(live)]
     theta = np.zeros(N * 2 + 6)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    gold_emit = np.zeros((N, 2))
+    gold = np.zeros((len(known), 2))
     gold_move = np.zeros((2, 2))
-    per_line = w / length  # a document counts the same, long or short
     for t, n in enumerate(live):
-        for c in (0, 1):
-            gold_emit[:, c] += x[t, :n].T @ (per_line[:n] * (y[:n] == c))
+        np.add.at(gold, (x[t], y[:n]), per_line[:n])
         if t:
-            for c in (0, 1):
-                gold_move[c, c] += (per_line[:n] * (y[:n] == c)).sum()
+            gold_move += np.diag(np.bincount(y[:n], weights=per_line[:n], minlength=2))
+    gold_emit = bits.T @ gold
     gold_start = np.array([(per_line * (y == c)).sum() for c in (0, 1)])
     for step in range(1, steps + 1):
         chain = Chain(theta[:2 * N], theta[2 * N:2 * N + 4], theta[2 * N + 4:])
-        e = [x[t, :n] @ chain.emit for t, n in enumerate(live)]
-        forward = [chain.start + e[0]]
+        score = bits @ chain.emit
+        forward = [chain.start + score[x[0]]]
         for t in range(1, len(live)):
             p = forward[-1][:live[t], :, None] + chain.move
-            forward.append(np.logaddexp(p[:, 0], p[:, 1]) + e[t])
-        backward = [None] * len(live)
-        total = np.empty(len(order))
+            forward.append(np.logaddexp(p[:, 0], p[:, 1]) + score[x[t]])
+        total = np.empty(len(pieces))
         nxt = np.zeros((0, 2))
-        emit, move = np.zeros((N, 2)), np.zeros((2, 2))
+        expected, move = np.zeros((len(known), 2)), np.zeros((2, 2))
         for t in range(len(live) - 1, -1, -1):
-            n = live[t]
+            n, k = live[t], len(nxt)
             b = np.zeros((n, 2))
-            if len(nxt):
-                k = len(nxt)
-                onward = chain.move[None] + (e[t + 1] + nxt)[:, None, :]
+            if k:
+                onward = chain.move[None] + (score[x[t + 1]] + nxt)[:, None, :]
                 b[:k] = np.logaddexp(onward[..., 0], onward[..., 1])
-            ended = slice(len(nxt), n)
+            ended = slice(k, n)
             total[ended] = np.logaddexp(forward[t][ended, 0], forward[t][ended, 1])
-            if len(nxt):
+            if k:
                 both = np.exp(forward[t][:k, :, None] + onward - total[:k, None, None])
                 move += np.einsum("n,nij->ij", per_line[:k], both)
-            q = np.exp(forward[t] + b - total[:n, None])
-            emit += x[t, :n].T @ (per_line[:n, None] * q)
+            q = per_line[:n, None] * np.exp(forward[t] + b - total[:n, None])
+            for c in (0, 1):
+                expected[:, c] += np.bincount(x[t], weights=q[:, c], minlength=len(known))
             if t == 0:
-                begin = (per_line[:, None] * q).sum(axis=0)
+                begin = q.sum(axis=0)
             nxt = b
-        g = np.concatenate(((gold_emit - emit).ravel(), (gold_move - move).ravel(), gold_start - begin)) - l2 * theta
+        g = np.concatenate(((gold_emit - bits.T @ expected).ravel(), (gold_move - move).ravel(), gold_start - begin)) - l2 * theta
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return Chain(theta[:2 * N], theta[2 * N:2 * N + 4], theta[2 * N + 4:])
@@ -242,12 +250,17 @@ def _judge(model, share: float):
     return scan
 
 
+def _masked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        yield frame.drop(columns="text").assign(masks=[line_masks(t).tobytes() for t in frame["text"]])
+
+
 def _fit_task(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame.sort_values(["doc_id", "quality"])
     bad = frame["quality"].to_numpy() == 0
     n = np.array([max(1, int((~bad).sum())), max(1, int(bad.sum()))])
     weight = frame["group_n"].to_numpy(np.float64) / n[bad.astype(int)]
-    c = fit_chain(frame["text"].tolist(), bad, weight)
+    c = fit_chain([np.frombuffer(m, dtype=np.uint16) for m in frame["masks"]], bad, weight)
     return pd.DataFrame({"w": [np.concatenate((c.emit.ravel(), c.move.ravel(), c.start))]})
 
 
@@ -259,8 +272,10 @@ def fitted_chain(documents: DataFrame, labels: DataFrame, per_class: int = PER_C
                   "quality-sample")
     if sample.select("quality").distinct().count() < 2:
         return default_chain()
-    row = (docs.join(sample, "doc_id").withColumn("one", F.lit(1)).groupBy("one")
-           .applyInPandas(_fit_task, "w array<double>").first())
+    # two bytes a line go to the one task that fits, not texts
+    lines = docs.join(sample, "doc_id").select("doc_id", "quality", "group_n", "text").mapInPandas(
+        _masked, "doc_id long, quality int, group_n long, masks binary")
+    row = lines.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(_fit_task, "w array<double>").first()
     w = np.array(row.w)
     return Chain(w[:2 * N], w[2 * N:2 * N + 4], w[2 * N + 4:])
 

@@ -87,6 +87,31 @@ def test_extract_pages_rows(spark):
     assert html_mincut.extract_pages(df.limit(0)).count() == 0
 
 
+def test_raw_elements_and_formulas():
+    """A script is a script however its tag ends; formulas and fall-back texts are text."""
+    page = ("<html><body><article><h1>The bridge</h1>"
+            "<script src=/a/b/>var x = leak(1);</script><style type=text/>p { leak: 2 }</style>"
+            "<p>The old bridge carried <math><mi>x</mi><mo>+</mo><mn>1</mn></math> carts a day, as the wardens wrote, for years.</p>"
+            "<p>Nobody counted the carts <svg><text>leak</text></svg>in winter, <svg width=1 />when the river froze and they stayed home.</p>"
+            "<object data=x.bin>A plan of the bridge was drawn by the mason, it is said, before the flood came.</object>"
+            "</article></body></html>")
+    text = html_mincut.main_text(page, html_mincut.DEFAULT)
+    assert "leak" not in text and "carried x+1 carts" in text and "when the river froze" in text and "plan of the bridge" in text
+
+
+def test_deep_nesting_takes_time_in_proportion():
+    import time
+
+    def seconds(n):
+        page = "<div>" * n + "<p>A line of text that stays.</p>" + "</span></b></section>" * n + "</div>" * n
+        start = time.perf_counter()
+        assert len(html_mincut.blocks_of(page)) == 1
+        return time.perf_counter() - start
+
+    seconds(500)
+    assert seconds(16_000) < 40 * max(seconds(1_000), 0.004)
+
+
 # --- quality ---------------------------------------------------------------------
 def test_base_counts():
     text = "a b c d e f g h a b c d e f g h x\n# $\n# $\n\n \na b"
@@ -113,6 +138,52 @@ def test_viterbi_is_best(rows, seed):
     assert score(c.viterbi(rows)) == pytest.approx(best)
 
 
+def test_fit_takes_very_long_texts():
+    """Memory goes with the lines, not with the longest text times the texts."""
+    import tracemalloc
+
+    good = [line_crf.line_masks("A long and quiet line that ends well.\n" * 4)] * 300
+    bad = [line_crf.line_masks("# $ | %\n" * 4)] * 300
+    endless = line_crf.line_masks("".join(f"line {i} of a very long text.\n" for i in range(200_000)))
+    assert len(endless) == 200_000
+    masks = [*good, *bad, endless, np.zeros(0, dtype=np.uint16)]
+    wrong = np.array([False] * 300 + [True] * 300 + [False, True])
+    tracemalloc.start()
+    c = line_crf.fit_chain(masks, wrong, np.ones(len(masks)), steps=12)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    rows, _ = line_crf.line_features("# $ | %\nA long and quiet line that ends well.\n" * 2)
+    assert c.viterbi(rows[:1]) == [1] and c.viterbi(rows[1:2]) == [0]
+
+
+def test_fit_climbs_the_likelihood():
+    """The fitted chain against all label sequences of short texts: no small step helps."""
+    r = np.random.default_rng(5)
+    masks = [r.integers(0, 1 << 5, n).astype(np.uint16) for n in (1, 2, 3, 4, 2, 3)]
+    wrong = np.array([True, False, True, False, False, True])
+
+    def likelihood(c):
+        total = 0.0
+        for m, bad in zip(masks, wrong):
+            rows = [[k for k in range(line_crf.N) if x >> k & 1] for x in m]
+            e = c.scores(rows)
+            scores = {y: c.start[y[0]] + sum(e[i, k] for i, k in enumerate(y)) + sum(c.move[a, b] for a, b in zip(y, y[1:]))
+                      for y in itertools.product((0, 1), repeat=len(rows))}
+            gold = scores[tuple([int(bad)] * len(rows))]
+            total += (gold - np.logaddexp.reduce(list(scores.values()))) / len(rows) / len(masks)
+        return total
+
+    c = line_crf.fit_chain(masks, wrong, np.ones(len(masks)), steps=1500, rate=0.05, l2=1e-2)
+    flat = np.concatenate((c.emit.ravel(), c.move.ravel(), c.start))
+
+    def value(t):
+        n = 2 * line_crf.N
+        return likelihood(line_crf.Chain(t[:n], t[n:n + 4], t[n + 4:])) - 0.5e-2 * (t ** 2).sum()
+
+    for _ in range(20):
+        assert value(flat + r.normal(size=len(flat)) * 0.05) <= value(flat) + 1e-6
+
+
 def test_quality_rows(docs, spark):
     good = "The morning was cold and the river ran high after a week of rain.\n" \
            "Nobody on the bridge said a word, and the boats stayed where they were."
