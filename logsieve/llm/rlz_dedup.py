@@ -56,6 +56,8 @@ BLOCK_WORDS = 1 << 17
 #: Documents looked at to find frequent grams, the share of them that makes a gram
 #: frequent, and the tasks that such a gram is dealt over.
 SAMPLE, FREQUENT, SALTS = 2000, 0.005, 64
+#: Grams dealt over several blocks that are broadcast; more are joined by a shuffle.
+BROADCAST_GRAMS = 100_000
 
 _U = np.uint64
 _I = np.int64
@@ -411,7 +413,11 @@ def repeated_passages(documents: DataFrame, length: int = LENGTH, gram: int = GR
         _meet(length, gram, often), FOUND), "anchors")
     edges = found.filter("g is not null")
     ranges = found.filter("g is null").select("doc", "sub", "lo", "hi")
-    dealt = edges.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("salts")).filter("salts > 1")
+    dealt = keep(edges.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("salts")).filter("salts > 1"),
+                 "dealt-grams")
+    # few as a rule: then the edges of a gram need not meet to learn its salts
+    if dealt.count() <= BROADCAST_GRAMS:
+        dealt = F.broadcast(dealt)
     salted = edges.join(dealt, "g", "left").withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn(
         "salt", F.pmod(F.xxhash64("doc", "sub", "lo"), F.col("salts")).cast("int"))
     lists = salted.groupBy("doc", "sub").agg(F.collect_list(F.struct("g", "salt", "salts", "lo")).alias("edges"))
