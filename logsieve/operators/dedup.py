@@ -348,9 +348,12 @@ def similar_edges(attrs: DataFrame, cand: DataFrame | None = None) -> DataFrame:
     shorter, longer = F.least("a_nlen", "b_nlen"), F.greatest("a_nlen", "b_nlen")
     pairs = pairs.where(source_gate(F.col("a_lsrc"), F.col("b_lsrc")) & ((2 * shorter > longer) | (longer == 0)))
     sets = attrs.select(F.col("seq").alias("a"), F.transform("wc", lambda x: x["h"]).alias("a_words"))
-    digits = attrs.select(F.col("seq").alias("b"), F.transform(
-        F.sequence(F.lit(0), F.floor(F.log2(F.greatest(F.coalesce(F.array_max(F.transform("wc", lambda x: x["c"])), F.lit(1)), F.lit(1)))).cast("int")),
-        lambda k: F.transform(F.filter("wc", lambda x: F.floor(x["c"] / F.pow(F.lit(2), k)) % 2 == 1), lambda x: x["h"])).alias("b_digits"),
+    # one digit more than the largest count may need: its logarithm is a rounded number
+    most = F.greatest(F.coalesce(F.array_max(F.transform("wc", lambda x: x["c"])), F.lit(1)), F.lit(1))
+    digits = attrs.select(
+        F.col("seq").alias("b"),
+        F.transform(F.sequence(F.lit(0), F.floor(F.log2(most)).cast("int") + 1), lambda k: F.transform(
+            F.filter("wc", lambda x: F.floor(x["c"] / F.pow(F.lit(2), k)) % 2 == 1), lambda x: x["h"])).alias("b_digits"),
         F.transform("wc", lambda x: x["h"]).alias("b_words"))
     met = pairs.join(sets, "a").join(digits, "b")
     counted = pinned(
