@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 
 from logsieve.llm import bagminhash, bwt_dedup, decontaminate
 from logsieve.llm import shingles as S
@@ -108,6 +109,38 @@ def test_near_duplicates(docs):
     assert kept.columns == docs([]).columns
 
 
+def test_ids_with_several_texts_and_hubs_in_runs(docs, monkeypatch):
+    """Texts of one id are judged one by one; a hub's bag is sent once for a run."""
+    monkeypatch.setattr(bagminhash, "RUNS", 3)
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))
+    one, two, three = ([word() for _ in range(80)] for _ in range(3))
+    near = lambda w, k: " ".join(w[:k] + [word()] + w[k + 1:])
+    rows = [(5, " ".join(one)), (5, " ".join(two)), (5, " ".join(two)), (1, near(one, 3)), (9, near(two, 70)), (2, " ".join(three)),
+            (None, " ".join(three)), (None, near(three, 1))]
+    rows += [(100 + i, near(three, 40 + i % 20)) for i in range(60)]
+    found = bagminhash.near_duplicates(docs(rows)).collect()
+    got = sorted(((r.doc_id, r.class_id) for r in found), key=str)
+    want = [(5, 1), (1, 1), (5, 5), (5, 5), (9, 5), (2, 2), (None, 2), (None, None)] + [(100 + i, 2) for i in range(60)]
+    assert got == sorted(want, key=str)
+    kept = bagminhash.drop_near_duplicates(docs(rows)).select("doc_id", "text").collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted(
+        [(5, rows[1][1]), (1, rows[3][1]), (2, rows[5][1]), (None, rows[7][1])], key=str)
+    seen = []
+    monkeypatch.setattr(bagminhash, "unpack_bag", lambda b, f=bagminhash.unpack_bag: seen.append(1) or f(b))
+    bag = bagminhash.pack_bag(np.arange(5), np.ones(5, dtype=int))
+    f = pd.DataFrame({"u": [1] * 9, "v": [1, *range(2, 10)], "side": [0] + [1] * 8, "bag": [bag] * 9})
+    out = pd.concat(list(bagminhash._similarities(iter([f]))))
+    assert len(seen) == 9 and out["sim"].tolist() == [1.0] * 8
+
+
+def test_bags_pack():
+    for counts in ([], [1, 1], [1, 255], [1, 256, 3], [70_000, 1]):
+        items = np.arange(len(counts), dtype=np.uint64) * np.uint64(12345) + (np.uint64(1) << np.uint64(47))
+        x, c = bagminhash.unpack_bag(bagminhash.pack_bag(items, np.array(counts, dtype=np.int64)))
+        assert (x == items.astype(np.int64)).all() and c.tolist() == counts
+
+
 def test_bag_signatures_estimate_weighted_jaccard():
     r = np.random.default_rng(3)
     n, m = 60, 3000
