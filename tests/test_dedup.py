@@ -191,3 +191,30 @@ def test_long_messages_use_prefixes_by_size(spark):
     rnd.shuffle(rows)
     got = sorted((r.ord.p, r.duplicate_count) for r in trim(_entries(spark, rows)).collect())
     assert got == sorted(G.greedy([(i, lvl, src, msg) for i, (lvl, src, msg) in enumerate(rows)]))
+
+
+def test_long_messages_meet_in_blocks(spark):
+    """Messages of one vocabulary emit no prefix keys, and candidates lose no similar pair; the
+    edit distance of long texts is the plain one."""
+    from logsieve.functions.similarity import edit_distance
+    from logsieve.operators.dedup import Keys, _node_attrs, entry_nodes, numbered, similar_edges
+    from logsieve.session import written
+
+    rnd = random.Random(9)
+    vocab = ["".join(rnd.choice("ghijklmnop") for _ in range(5)) for _ in range(150)]
+    texts = []
+    for _ in range(4):
+        base = [rnd.choice(vocab) for _ in range(rnd.randrange(90, 110))]
+        texts.append(" ".join(base))
+        for share in (0.05, 0.3):
+            texts.append(" ".join(rnd.choice(vocab) if rnd.random() < share else x for x in base))
+    nodes = written(numbered(entry_nodes(_entries(spark, [("info", "a.go:1", x) for x in texts]))), "test-nodes")
+    attrs = written(_node_attrs(nodes), "test-attrs")
+    keys = Keys(attrs)
+    assert keys.earlier.count() == keys.later.count() == 0
+    got = {(r.a, r.b) for r in similar_edges(attrs, keys.candidates()).collect()}
+    assert got == {(i, j) for j in range(len(texts)) for i in range(j) if G.similar(texts[i], texts[j])} and got
+    for a, b in ((texts[0], texts[1]), (texts[0], texts[2]), (texts[0], texts[3])):
+        a, b = a.encode(), b.encode()
+        d, most = G.lev(a, b), max(len(a), len(b)) // 5 + 1
+        assert edit_distance(a, b, most) == (d if d <= most else -1)
