@@ -218,3 +218,33 @@ def test_long_messages_meet_in_blocks(spark):
         a, b = a.encode(), b.encode()
         d, most = G.lev(a, b), max(len(a), len(b)) // 5 + 1
         assert edit_distance(a, b, most) == (d if d <= most else -1)
+
+
+def test_unlike_long_texts_are_told_apart_early(monkeypatch):
+    from logsieve.functions import similarity
+
+    rng = random.Random(5)
+    a, b = (" ".join(rng.choice(["alpha", "bet", "gamma", "delta", "eps", "zeta"]) for _ in range(900)).encode()
+            for _ in range(2))
+    distances, cells = similarity._distances, []
+
+    def counted(pattern, text, anywhere=False):
+        cells.append(len(pattern) * len(text))
+        return distances(pattern, text, anywhere)
+
+    monkeypatch.setattr(similarity, "_distances", counted)
+    most = max(len(a), len(b)) // 10
+    assert similarity.edit_distance(a, b, most) == -1
+    # a piece's places span ``most`` bytes, not twice as many
+    assert max(cells) <= (len(a) // 16 + 1) * (most + len(a) // 16 + 400)
+    for _ in range(30):
+        c = bytearray(a[:700])
+        for _ in range(rng.randrange(60)):
+            at = rng.randrange(len(c) - 9)
+            c[at:at + rng.randrange(4)] = b"xyz"[:rng.randrange(4)]
+        c = bytes(c) if rng.random() < 0.5 else bytes(c)[rng.randrange(40):]
+        *_, d = distances(a[:700], c)
+        for most in (d - 1, d, d + 1, d + 50):
+            if most >= 0:
+                assert similarity.edit_distance(a[:700], c, most) == (d if d <= most else -1)
+                assert similarity.edit_distance(c, a[:700], most) == (d if d <= most else -1)
