@@ -40,7 +40,8 @@ def build_index(table: DataFrame) -> DataFrame:
     texts = table.select(F.col("_metadata.file_path").alias("file"), F.array(
         F.lower("message"), F.lower("source"), F.lower(extras_text(F.col("extras")))).alias("texts"))
     grams = texts.select("file", F.explode(F.array_distinct(F.flatten(F.transform("texts", _trigrams)))).alias("gram"))
-    bits = grams.select("file", _position(F.col("gram")).alias("bit"))
+    # each bit once: a hash aggregate as large as the bitmaps, so the bitmaps' sort gets few rows
+    bits = grams.select("file", _position(F.col("gram")).alias("bit")).distinct()
     return written(bits.groupBy("file", F.bitmap_bucket_number("bit").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bitmap")), "search-index")
 

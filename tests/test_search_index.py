@@ -30,3 +30,22 @@ def test_search_reads_candidate_files_only(spark, tmp_path):
         if os.path.basename(f) != os.path.basename(kept):
             open(f, "wb").write(b"damaged")
     assert search(table, index, "zebra").count() == e.where("ord.p % 3 = 0").count()
+
+
+def test_bitmaps_are_made_of_distinct_bits(spark, tmp_path, monkeypatch):
+    """The bitmaps' aggregate sorts its input in a task: it gets each bit of a file once."""
+    from logsieve.operators import search_index
+
+    rows = [(f"common words {i % 3}", "a.go:1", {"k": "v"}) for i in range(3000)]
+    spark.createDataFrame(rows, "message string, source string, extras map<string,string>").coalesce(1).write.parquet(
+        str(tmp_path / "t"))
+    made = []
+    monkeypatch.setattr(search_index, "written", lambda df, name: made.append(df) or df)
+    index = search_index.build_index(spark.read.parquet(str(tmp_path / "t")))
+    plan = made[0]._jdf.queryExecution().optimizedPlan()
+    fed = spark.read.parquet(str(tmp_path / "t"))
+    assert index.count() > 0 and fed.count() == 3000
+    # the bitmaps' aggregate stands on one that has the file and the bit as keys
+    text = plan.toString()
+    top, below = text.index("bitmap_construct_agg"), text.rindex("Aggregate [file")
+    assert below > top and "bit#" in text[below:text.index("\n", below)].split("]")[0]
