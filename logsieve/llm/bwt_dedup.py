@@ -16,10 +16,10 @@ cross documents.
    edges: each distinct context of a gram with several, once.
 3. *BWT.* The edges' bytes, by gram, are laid end to end in bounded blocks. A
    block's suffixes are sorted, which gives its Burrows-Wheeler transform. Suffix
-   intervals are then extended backwards breadth first, one symbol a round through
-   the LF mapping, which settles the longest common prefixes in increasing order;
-   it stops at ``length``. Rows not parted by then are the windows with equal
-   bytes, and all but those of the smallest document are covered.
+   intervals are then extended backwards breadth first through the LF mapping, a round
+   by as many symbols as are settled, which settles the longest common prefixes in
+   increasing order; it stops at ``length``. Rows not parted by then are the windows with
+   equal bytes, and all but those of the smallest document are covered.
 4. A gram with more contexts than a block may hold is dealt over several blocks;
    windows that no block covers are then compared by their 128-bit hashes over
    all blocks, so no match is lost.
@@ -49,6 +49,10 @@ GRAM = 20
 #: Contexts of one gram that may share a block, and bytes after which a block is closed.
 GROUP = 4096
 BLOCK_BYTES = 1 << 19
+#: Grams dealt over several blocks that are broadcast; more are joined by a shuffle.
+BROADCAST_GRAMS = 100_000
+#: Bytes of text hashed at once, so the arrays stay in the processor's cache.
+ANCHOR_BYTES = 1 << 17
 
 _U = np.uint64
 _I = np.int64
@@ -56,6 +60,13 @@ ROWS = "g long, c long, doc long, at long"
 _RANGE = _I(1 << 62)
 
 
+def _heads(sorted_: np.ndarray) -> np.ndarray:
+    """Where a sorted array's groups of equal values begin, as flags."""
+    new = np.ones(len(sorted_), dtype=bool)
+    np.not_equal(sorted_[1:], sorted_[:-1], out=new[1:])
+    return new
+
+
 def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
     """pick over every window of ``width`` values."""
     w = 1
@@ -121,14 +132,18 @@ def _anchor_rows(length: int, gram: int):
         for frame in frames:
             raw, ids, subs = frame["text"].tolist(), frame["doc_id"].to_numpy(_I), frame["sub"].to_numpy(_I)
             for a, b in S.batches(raw, 4 << 20):
-                of, at, g, c = anchors([t.encode("utf-8", "replace") for t in raw[a:b]], length, gram)
-                doc, sub = ids[a:b][of], subs[a:b][of]
-                order = np.lexsort((doc, c, g))
-                of, at, g, c, doc, sub = (x[order] for x in (of, at, g, c, doc, sub))
-                new = np.ones(len(g), dtype=bool)
-                new[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
-                first = doc[new][np.cumsum(new) - 1]
-                later = doc > first
+                texts = [t.encode("utf-8", "replace") for t in raw[a:b]]
+                parts = [(x, anchors(texts[x:y], length, gram)) for x, y in S.batches(texts, ANCHOR_BYTES)]
+                of = np.concatenate([x + p[0] for x, p in parts])
+                at, g, c = (np.concatenate([p[k] for _, p in parts]) for k in (1, 2, 3))
+                doc, sub = ids[a:b].take(of), subs[a:b].take(of)
+                order = np.argsort(g * _I(31) + c)  # equal contexts next to each other
+                new = _heads(g.take(order)) | _heads(c.take(order))
+                sorted_ = doc.take(order)
+                least = np.minimum.reduceat(sorted_, np.flatnonzero(new)) if len(g) else doc
+                # rows stay in order of the texts: neighbours in a document compress well
+                later = np.empty(len(g), dtype=bool)
+                later[order] = sorted_ > least.take(np.cumsum(new) - 1)
                 o, lo, hi = merged(of[later], np.maximum(at[later] - (length - gram), 0), at[later] + length)
                 key = S.mixed(ids[a:b][o].view(_U) * _U(31) + lo.view(_U)).view(_I)
                 here = ~later
@@ -221,76 +236,106 @@ def _contexts(length: int, gram: int):
 
 
 def suffix_order(s: np.ndarray) -> np.ndarray:
-    """Suffix array of symbols below 2**16 by prefix doubling, four at first. The
-    end of the text sorts lowest."""
+    """Suffix array of symbols. The end of the text sorts lowest."""
+    return _closed_order(np.append(s.astype(_U) + _U(1), _U(0)))[0][1:]
+
+
+def _closed_order(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Suffix array of contexts by prefix doubling, the row of each suffix, and the rows
+    that differ from the one above within so many first symbols. Symbol 0 closes a
+    context, the last one too; of two closing symbols the earlier is the smaller.
+
+    Sort keys hold the place in their low bits, so plain sorts give the order: of suffixes
+    that are equal up to their closing symbols the places decide.
+    """
     n = len(s)
-    p = np.concatenate((s.astype(_U) + _U(1), np.zeros(4, dtype=_U)))
-    key = p[:n] << _U(48) | p[1:n + 1] << _U(32) | p[2:n + 2] << _U(16) | p[3:n + 3]
-    order = np.argsort(key, kind="stable")
-    sorted_ = key[order]
-    new = np.concatenate(([True], sorted_[1:] != sorted_[:-1]))
-    rank = np.empty(n + 1, dtype=_I)
-    rank[n] = -1
-    rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]  # rank: first row of its group
-    k = 4
-    while not new.all():
-        # only rows in groups of several are sorted on
-        open_ = ~(new & np.concatenate((new[1:], [True])))
-        rows = np.flatnonzero(open_)
-        pos = order[rows]
-        key = rank[pos] * _I(n + 1) + rank[np.minimum(pos + k, n)] + 1
-        by = np.argsort(key, kind="stable")
-        order[rows] = pos[by]
-        key = key[by]
-        differs = np.concatenate(([True], key[1:] != key[:-1]))
-        new[rows] = differs
-        rank[order[rows]] = rows[np.flatnonzero(differs)[np.cumsum(differs) - 1]]
+    bits = n.bit_length()
+    width = max(1, int(s.max(initial=0)).bit_length())
+    known = (64 - bits) // width
+    ahead = np.concatenate((s, np.zeros(known, dtype=s.dtype)))
+    key, body = s.astype(_U), s != 0
+    for j in range(1, known):  # symbols after a closing one do not count
+        symbol = ahead[j:j + n] * body
+        key <<= _U(width)
+        key |= symbol
+        body &= symbol != 0
+    key <<= _U(bits)
+    key |= np.arange(n, dtype=_U)
+    key.sort()
+    places = _I((1 << bits) - 1)
+    order = key.view(_I) & places
+    key >>= _U(bits)
+    new = _heads(key) | ~body.take(order)
+    first = np.flatnonzero(new)
+    rank = np.empty(n, dtype=_I)
+    rank[order] = np.repeat(first, np.diff(first, append=n))  # rank: first row of its group
+    rows, k = np.flatnonzero(~(new & np.append(new[1:], True))), known
+    while len(rows):
+        # only rows in groups of several are sorted on; they are not closed within k symbols
+        at = order.take(rows)
+        if 3 * bits < 64:
+            key = rank.take(at) << _I(bits)
+            key |= rank.take(at + k)
+            key <<= _I(bits)
+            key |= at
+            key.sort()
+            at = key & places
+            key >>= _I(bits)
+            differs = _heads(key)
+        else:
+            at = at[np.lexsort((rank[at + k], rank[at]))]
+            differs = _heads(rank[at]) | _heads(rank[at + k])
+        order[rows] = at
+        first = np.flatnonzero(differs)
+        rank[at] = np.repeat(rows.take(first), np.diff(first, append=len(rows)))
+        rows = rows[~(differs & np.append(differs[1:], True))]
         k *= 2
-    return order
+    return order, rank, new, known
 
 
 def equal_windows(contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context number, place, class) of every ``length``-byte window of the
-    contexts; equal classes are equal bytes.
+    contexts, classes in ascending order; equal classes are equal bytes.
 
     The contexts are closed by symbols of their own and laid end to end. ``psi``
     is the inverse of the LF mapping, so extending a suffix interval backwards by
-    one symbol means: rows k-1 and k, with the same first symbol, have a common
-    prefix one longer than their rests, rows psi[k-1] and psi[k]. Round l settles
-    the rows whose common prefix with the row above is l.
+    j symbols means: rows k-1 and k, with the same first j symbols, have a common
+    prefix j longer than their rests, rows psi^j[k-1] and psi^j[k]. A round extends the
+    intervals by as many symbols as are settled, never over ``length``, and settles
+    the rows whose common prefix with the row above ends there.
     """
     m = len(contexts)
     sizes = np.array([len(x) for x in contexts], dtype=_I)
-    starts = np.concatenate(([0], np.cumsum(sizes + 1)))[:-1]
-    n = int(sizes.sum()) + m
-    s = np.empty(n, dtype=np.int32)
-    body = np.ones(n, dtype=bool)
+    starts = np.cumsum(sizes + 1) - (sizes + 1)
+    none = np.empty(0, dtype=_I)
+    if not (sizes >= length).any():
+        return none, none, none
+    text = np.frombuffer(b"\0".join(contexts) + b"\0", dtype=np.uint8)
+    body = np.ones(len(text), dtype=bool)
     body[starts + sizes] = False
-    s[~body] = np.arange(m)
-    s[body] = np.frombuffer(b"".join(contexts), dtype=np.uint8).astype(np.int32) + m
-    order = suffix_order(s)
-    bwt = s[order - 1]
-    psi = np.argsort(bwt, kind="stable").astype(np.int32)
-    head = s[order]
-    parted = np.concatenate(([True], head[1:] != head[:-1]))
-    open_ = np.flatnonzero(~parted).astype(np.int32)
-    above, below = psi[open_ - 1], psi[open_]
-    seen = -1
-    for _ in range(1, length):
+    # 0 closes, the bytes that occur are 1, 2, ...
+    code = np.cumsum(np.bincount(text[body], minlength=256) > 0)
+    s = code.astype(np.uint8 if code[-1] < 256 else np.uint16)[text]
+    s[~body] = 0
+    order, row, parted, known = _closed_order(s)
+    if known > length:
+        head = s.take(order)
+        parted, known = _heads(head) | (head == 0), 1
+    open_ = np.flatnonzero(~parted)
+    above, below = order.take(open_ - 1), order.take(open_)
+    while known < length and len(open_):
+        step = min(known, length - known)
         # intervals: number of settled rows so far
         interval = np.cumsum(parted, dtype=np.int32)
-        if interval[-1] == seen or not len(open_):
-            break
-        seen = interval[-1]
-        now = interval[above] != interval[below]
+        now = interval.take(row.take(above + step)) != interval.take(row.take(below + step))
         parted[open_[now]] = True
         rest = ~now
         open_, above, below = open_[rest], above[rest], below[rest]
-    group = np.cumsum(parted)
-    of = np.repeat(np.arange(m), sizes + 1)[order]
-    place = order - starts[of]
-    valid = place + length <= sizes[of]
-    return of[valid], place[valid], group[valid]
+        known += step
+    of = np.repeat(np.arange(m), sizes + 1).take(order)
+    place = order - starts.take(of)
+    valid = place + length <= sizes.take(of)
+    return of[valid], place[valid], np.cumsum(parted)[valid]
 
 
 def _expand(length: int):
@@ -303,10 +348,9 @@ def _expand(length: int):
         doc = np.array([r[3] for r in rows], dtype=_I)
         sub = np.array([r[4] for r in rows], dtype=_I)
         low = np.array([r[5] for r in rows], dtype=_I)
-        order = np.lexsort((doc[of], cls))
-        of, place, cls = of[order], place[order], cls[order]
-        new = np.concatenate(([True], cls[1:] != cls[:-1])) if len(cls) else np.empty(0, dtype=bool)
-        later = doc[of] > doc[of][new][np.cumsum(new) - 1] if len(cls) else new
+        mine, new = doc.take(of), _heads(cls)
+        least = np.minimum.reduceat(mine, np.flatnonzero(new)) if len(cls) else mine
+        later = mine > least.take(np.cumsum(new) - 1)
         o, lo, hi = merged(of[later], place[later], place[later] + length)
         out = pd.DataFrame({"doc": doc[o], "sub": sub[o], "lo": low[o] + lo, "hi": low[o] + hi,
                             "h1": pd.array([None] * len(o), "Int64"), "h2": pd.array([None] * len(o), "Int64")})
@@ -326,7 +370,6 @@ def _expand(length: int):
         held, size, last = [], 0, None
         for frame in frames:
             for row in frame.itertuples(index=False, name=None):
-                # 60000 contexts: their closing symbols must fit 16 bits
                 if (size >= BLOCK_BYTES or len(held) >= 50_000) and row[:2] != last:
                     yield block(held)
                     held, size = [], 0
@@ -374,8 +417,13 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM)
         _meet(length, gram), FOUND), "anchors")
     edges = found.filter("g is not null")
     ranges = found.filter("g is null").select("doc", "sub", "lo", "hi")
-    dealt = edges.groupBy("g").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("salts"))
-    salted = edges.join(dealt, "g").withColumn("salt", F.pmod(F.xxhash64("doc", "sub", "lo"), F.col("salts")).cast("int"))
+    dealt = keep(edges.groupBy("g").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("salts")).filter("salts > 1"),
+                 "dealt-grams")
+    # few as a rule: then the edges of a gram need not meet to learn its salts
+    if dealt.count() <= BROADCAST_GRAMS:
+        dealt = F.broadcast(dealt)
+    salted = edges.join(dealt, "g", "left").withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn(
+        "salt", F.pmod(F.xxhash64("doc", "sub", "lo"), F.col("salts")).cast("int"))
     lists = salted.groupBy("doc", "sub").agg(F.collect_list(F.struct("g", "salt", "salts", "lo")).alias("edges"))
     texts = told.select(F.col("doc_id").alias("doc"), "sub", "text")
     cut = texts.join(lists, ["doc", "sub"]).mapInPandas(

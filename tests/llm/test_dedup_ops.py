@@ -60,6 +60,20 @@ def test_suffix_order_and_classes():
     assert len(of) == sum(max(0, len(c) - 19) for c in contexts)
 
 
+def test_windows_of_many_contexts_and_any_bytes():
+    # more closing symbols than 16 bits number, all byte values, and a block beyond packed sort keys
+    rng = np.random.default_rng(3)
+    many = [bytes(x) for x in rng.integers(97, 99, (70_000, 14), dtype=np.uint8)]
+    whole = bytes(range(256)) * 2
+    large = [bytes(x) for x in rng.integers(0, 3, (1_100, 2_000), dtype=np.uint8)]
+    for contexts, length in ((many, 13), ([whole, b"", whole[7:], b"\0" * 90], 50), ([*large, *large[:3]], 50), ([b"ab"], 3)):
+        of, place, cls = bwt_dedup.equal_windows(contexts, length)
+        windows = [contexts[c][p:p + length] for c, p in zip(of.tolist(), place.tolist())]
+        assert len(windows) == sum(max(0, len(c) - length + 1) for c in contexts)
+        assert len(set(zip(windows, cls.tolist()))) == len(set(windows)) == len(set(cls.tolist()))
+        assert (np.diff(cls) >= 0).all()
+
+
 def bag(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     return Counter(tuple(w[i:i + 5]) for i in range(max(len(w) - 4, 1))) if w else Counter()
