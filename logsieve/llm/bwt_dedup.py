@@ -33,6 +33,7 @@ the input are ignored. Equality of whole contexts is taken from 128 hash bits.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -221,12 +222,20 @@ def _meet(length: int, gram: int):
     return scan
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts (the last column, binary) compressed one by one: they are most of what the joins
+    by document shuffle."""
+    for batch in batches:
+        texts = [None if b is None else zlib.compress(b, 1) for b in batch.columns[-1].to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.binary())], names=batch.schema.names)
+
+
 def _contexts(length: int, gram: int):
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for doc, sub, text, edges in zip(frame["doc"], frame["sub"], frame["text"], frame["edges"]):
-                b = text.encode("utf-8", "replace")
+                b = zlib.decompress(text)
                 for e in edges:
                     lo = max(0, e["lo"] - (length - gram))
                     rows.append((e["g"], e["salt"], e["salts"], doc, sub, lo, b[lo:e["lo"] + length]))
@@ -386,7 +395,7 @@ def _digests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         rows = []
         for doc, text, found in zip(frame["doc_id"], frame["text"], frame["ranges"]):
-            b = (text or "").encode("utf-8", "replace")
+            b = b"" if text is None else zlib.decompress(text)
             spans = []
             if found is not None and len(found):
                 lo = np.array([r["lo"] for r in found], dtype=_I)
@@ -425,7 +434,8 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM)
     salted = edges.join(dealt, "g", "left").withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn(
         "salt", F.pmod(F.xxhash64("doc", "sub", "lo"), F.col("salts")).cast("int"))
     lists = salted.groupBy("doc", "sub").agg(F.collect_list(F.struct("g", "salt", "salts", "lo")).alias("edges"))
-    texts = told.select(F.col("doc_id").alias("doc"), "sub", "text")
+    binary = F.col("text").cast("binary").alias("text")
+    texts = told.select(F.col("doc_id").alias("doc"), "sub", binary).mapInArrow(_packed, "doc long, sub long, text binary")
     cut = texts.join(lists, ["doc", "sub"]).mapInPandas(
         _contexts(length, gram), "g long, salt int, salts int, doc long, sub long, lo long, bytes binary")
     expanded = keep(cut.repartition("g", "salt").sortWithinPartitions("g", "salt").mapInPandas(
@@ -436,6 +446,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM)
     every = ranges.unionByName(expanded.filter("h1 is null").select("doc", "sub", "lo", "hi")).unionByName(late)
     by_doc = every.groupBy(F.col("doc").alias("doc_id"), "sub").agg(
         F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    return docs.join(by_doc, ["doc_id", "sub"], "left").select("doc_id", "text", "ranges").mapInPandas(
+    whole = docs.select("doc_id", "sub", binary).mapInArrow(_packed, "doc_id long, sub long, text binary")
+    return whole.join(by_doc, ["doc_id", "sub"], "left").select("doc_id", "text", "ranges").mapInPandas(
         _digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
                   "removed array<struct<lo:long,hi:long>>")
