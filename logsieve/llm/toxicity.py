@@ -16,8 +16,10 @@ label model over their votes, and a linear classifier fitted to its posteriors.
    counts and rates is fitted to the posteriors; it never sees labels, lang,
    source or ids.
 
-Fitting runs in one task over at most ``PER_CLASS`` documents of each label;
-scoring is one pass over the whole texts with a small broadcast model.
+Voters are induced from counts that Spark sums over the sample (at most
+``PER_CLASS`` documents of each label); the one task that fits gets the sample's
+features, no texts. Scoring is one pass over the whole texts with a small broadcast
+model.
 
 Defined results: null and empty texts get the score of a text without evidence;
 rows with a null doc_id are scored, not learned from; with no labels (or of one
@@ -44,6 +46,8 @@ from .sampling import bounded_sample, remainder
 PER_CLASS = 2500
 FOLDS, HELD = 5, 0
 MOST_VOTERS = 400
+# Bytes and texts looked at together.
+BATCH, BATCH_TEXTS = 1 << 18, 1000
 LEVELS = (1, 2, 3)
 # How often a given label says "toxic" in toxic and in clean documents.
 TRUST = (0.97, 0.005)
@@ -60,6 +64,7 @@ PATTERNS = (
     r"\b(?:shut up|go to hell|drop dead)\b",
     r"(?:[A-Z]{3,}!{1,}\s*){6,}",
 )
+RATES = 4  # features after the votes
 _COMPILED = [re.compile(p, re.I if i < 3 else 0) for i, p in enumerate(PATTERNS)]
 _U = np.uint64
 
@@ -136,25 +141,39 @@ class Features:
         return votes, np.column_stack([votes, rates])
 
 
-def induce(hashes, of, labels, most: int = MOST_VOTERS) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Lexicon and its voters, best first, by the z-score of the toxic share."""
-    d, h, c = _counts(hashes, of)
-    n1, n0 = max(1, int((labels == 1).sum())), max(1, int((labels == 0).sum()))
-    names, number = np.unique(h, return_inverse=True)
-    found = []
-    for level in LEVELS:
-        has = c >= level
-        a = np.bincount(number[has], weights=labels[d[has]] == 1, minlength=len(names))
-        b = np.bincount(number[has], weights=labels[d[has]] == 0, minlength=len(names))
-        p1, p0 = (a + 0.5) / (n1 + 1.0), (b + 0.5) / (n0 + 1.0)
-        both = (a + b + 1.0) / (n1 + n0 + 2.0)
-        z = (p1 - p0) / np.sqrt(both * (1 - both) * (1 / n1 + 1 / n0))
-        good = np.flatnonzero((z > 5) & (a >= max(4, n1 * 0.004)) & (p1 > 4 * p0))
-        found += [(-z[i], int(i), level) for i in good]
-    found = sorted(found)[:most]
-    used = sorted({i for _, i, _ in found})
-    place = {i: k for k, i in enumerate(used)}  # names are sorted, so is the lexicon
-    return names[used] if used else np.empty(0, dtype=_U), [(place[i], level) for _, i, level in found]
+def _word_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each word or beginning of a batch: the toxic and the other texts that have
+    it once, twice, three times."""
+    for frame in frames:
+        texts, labels = frame["text"].tolist(), frame["toxic"].to_numpy(np.int64)
+        for a, b in S.batches(texts, BATCH, BATCH_TEXTS):
+            d, h, c = _counts(*evidence(texts[a:b])[:2])
+            names, number = np.unique(h, return_inverse=True)
+            toxic, found = labels[a:b][d] == 1, {"hash": names.view(np.int64)}
+            for level in LEVELS:
+                for kind, own in (("a", toxic), ("b", ~toxic)):
+                    found[f"{kind}{level}"] = np.bincount(number[(c >= level) & own], minlength=len(names))
+            yield pd.DataFrame(found)
+
+
+def induce(texts: DataFrame, n1: int, n0: int, most: int = MOST_VOTERS) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Lexicon and its voters, best first, by the z-score of the toxic share among the
+    n1 toxic and n0 other rows of ``texts``."""
+    kinds = [f"{kind}{level}" for level in LEVELS for kind in "ab"]
+    counts = texts.select("text", "toxic").mapInPandas(
+        _word_counts, "hash long, " + ", ".join(f"{k} long" for k in kinds))
+    rates = ", ".join(f"{level}, a{level}, b{level}" for level in LEVELS)
+    voters = counts.groupBy("hash").agg(*[F.sum(k).alias(k) for k in kinds]).selectExpr(
+        "hash", f"stack({len(LEVELS)}, {rates}) as (level, a, b)").filter(F.col("a") >= max(4, n1 * 0.004))
+    a, b = F.col("a"), F.col("b")
+    p1, p0 = (a + F.lit(0.5)) / F.lit(n1 + 1.0), (b + F.lit(0.5)) / F.lit(n0 + 1.0)
+    both = (a + b + F.lit(1.0)) / F.lit(n1 + n0 + 2.0)
+    z = (p1 - p0) / F.sqrt(both * (F.lit(1.0) - both) * F.lit(1 / n1 + 1 / n0))
+    found = (voters.select("hash", "level", z.alias("z"), (p1 > F.lit(4.0) * p0).alias("far")).filter("z > 5 and far")
+             .orderBy(F.desc("z"), F.col("hash") < 0, "hash", "level").limit(most).collect())  # hashes have no sign
+    lexicon = np.unique(np.array([r.hash for r in found], dtype=np.int64).view(_U))
+    place = {int(h): k for k, h in enumerate(lexicon.view(np.int64))}
+    return lexicon, [(place[r.hash], r.level) for r in found]
 
 
 def label_model(votes: np.ndarray, given: np.ndarray, weight: np.ndarray, share: float,
@@ -168,7 +187,9 @@ def label_model(votes: np.ndarray, given: np.ndarray, weight: np.ndarray, share:
         rate1 = (w1 @ v + 0.5) / (w1.sum() + 1.0)
         rate0 = (w0 @ v + 0.05) / (w0.sum() + 1.0)
         # what two voters still share once the label is known
-        left = (v - np.outer(q, rate1) - np.outer(1 - q, rate0)) * np.sqrt(weight)[:, None]
+        left = v - np.outer(q, rate1)
+        left -= np.outer(1 - q, rate0)
+        left *= np.sqrt(weight)[:, None]
         size = np.sqrt((left * left).sum(axis=0)) + 1e-9
         together = np.clip((left.T @ left) / np.outer(size, size), 0.0, 1.0)
         np.fill_diagonal(together, 0.0)
@@ -201,40 +222,33 @@ def fit_classifier(x: np.ndarray, target: np.ndarray, weight: np.ndarray, l2: fl
     return w
 
 
-MODEL = "kind string, hash long, level int, weight double"
+def _featured(voters):
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        features = Features(*voters.value)
+        for frame in frames:
+            texts, rows = frame["text"].tolist(), frame.drop(columns="text")
+            for a, b in S.batches(texts, BATCH, BATCH_TEXTS):
+                yield rows.iloc[a:b].assign(x=list(features(texts[a:b])[1]))
+
+    return scan
 
 
 def _fit_task(share_toxic: float):
     def task(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "toxic"])
-        texts, labels = frame["text"].tolist(), frame["toxic"].to_numpy(np.int64)
+        x, labels = np.stack(frame["x"].tolist()), frame["toxic"].to_numpy(np.int64)
         # classes are sampled apart: rows count as many as they stand for
         weight = frame["group_n"].to_numpy(np.float64) / np.bincount(labels, minlength=2)[labels]
-        h, of, at = [], [], 0
-        for a, b in S.batches(texts):
-            x, d, _ = evidence(texts[a:b])
-            dd, hh, cc = _counts(x, d)
-            cc = np.minimum(cc, max(LEVELS))
-            h.append(np.repeat(hh, cc))
-            of.append(np.repeat(dd + a, cc))
-        lexicon, levels = induce(np.concatenate(h), np.concatenate(of), labels)
-        features = Features(lexicon, levels)
-        parts = [features(texts[a:b]) for a, b in S.batches(texts)]
-        votes, x = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         share = min(max(share_toxic, 1e-3), 0.999)
-        q = label_model(votes, labels.astype(np.float64), weight, share)
-        w = fit_classifier(x, q, weight)
-        rows = [("word", int(z), 0, 0.0) for z in lexicon.view(np.int64)]
-        rows += [("voter", i, level, 0.0) for i, level in levels]
-        rows += [("weight", i, 0, float(z)) for i, z in enumerate(w)]
-        return pd.DataFrame(rows, columns=["kind", "hash", "level", "weight"])
+        q = label_model(x[:, :-RATES], labels.astype(np.float64), weight, share)
+        return pd.DataFrame({"w": [fit_classifier(x, q, weight)]})
 
     return task
 
 
 def default_model() -> tuple[np.ndarray, list, np.ndarray]:
     """Without labels: seed lexicon and patterns, equally trusted."""
-    n = 2 + len(PATTERNS) + 1 + 4
+    n = 2 + len(PATTERNS) + 1 + RATES
     w = np.zeros(n + 1)
     w[:2 + len(PATTERNS)], w[-1] = 3.0, -2.0
     return np.empty(0, dtype=_U), [], w
@@ -246,7 +260,7 @@ def _score(model):
         features = Features(lexicon, levels)
         for frame in frames:
             texts, score = frame["text"].tolist(), np.zeros(len(frame))
-            for a, b in S.batches(texts):
+            for a, b in S.batches(texts, BATCH, BATCH_TEXTS):
                 _, x = features(texts[a:b])
                 score[a:b] = 1.0 / (1.0 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
             yield frame.drop(columns="text").assign(score=score, predicted=(score >= 0.5).astype(np.int32))
@@ -264,12 +278,14 @@ def fitted_model(documents: DataFrame, labels: DataFrame, per_class: int = PER_C
     sizes = {r.toxic: r.group_n for r in sample.groupBy("toxic").agg(F.first("group_n").alias("group_n")).collect()}
     if len(sizes) == 2:
         share = sizes[1] / (sizes[0] + sizes[1])
-        texts = docs.join(sample, "doc_id").withColumn("one", F.lit(1))
-        rows = texts.groupBy("one").applyInPandas(_fit_task(share), MODEL).collect()  # the model
-        lexicon = np.array(sorted(np.int64(r.hash).view(_U) for r in rows if r.kind == "word"), dtype=_U)
-        levels = [(r.hash, r.level) for r in rows if r.kind == "voter"]
-        weights = np.array([r.weight for r in sorted((r for r in rows if r.kind == "weight"), key=lambda r: r.hash)])
-        return lexicon, levels, weights
+        texts = keep(docs.join(sample, "doc_id"), "toxicity-texts")
+        n = {r.toxic: r["count"] for r in texts.groupBy("toxic").count().collect()}
+        texts = spread(texts)
+        lexicon, levels = induce(texts, n[1], n[0])
+        voters = documents.sparkSession.sparkContext.broadcast((lexicon, levels))
+        rows = texts.mapInPandas(_featured(voters), "doc_id long, toxic int, group_n long, x array<double>")
+        fitted = rows.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(_fit_task(share), "w array<double>")
+        return lexicon, levels, np.array(fitted.first().w)
     return default_model()
 
 
@@ -290,7 +306,7 @@ def drop_toxic(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLA
         features = Features(lexicon, levels)
         for batch in batches:
             texts, clean = batch.column("text").to_pylist(), np.ones(batch.num_rows, dtype=bool)
-            for a, b in S.batches(texts):
+            for a, b in S.batches(texts, BATCH, BATCH_TEXTS):
                 clean[a:b] = features(texts[a:b])[1] @ w[:-1] + w[-1] < 0
             yield batch.filter(pa.array(clean))
 

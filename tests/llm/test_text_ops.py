@@ -289,6 +289,64 @@ def test_toxicity_accuracy_and_rows(docs, spark):
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 4] and kept.columns == docs([]).columns
 
 
+def toxic_sample(docs, spark, n, words, each=1):
+    """Documents of random words; the toxic third often says "zorgish", some of it thrice."""
+    r = np.random.default_rng(5)
+    ids = [i for i in range(1, 3 * n) if crc(i, 5)][:n]
+    bad = {i: int(i % 3 == 0) for i in ids}
+    rows = []
+    for i in ids:
+        said = [f"w{x}" for x in r.integers(0, 3000, words)]
+        said[:1] = ["zorgish"] * int(r.integers(1, 5)) if bad[i] else ["Éclair", "w7"]
+        rows += [(i, " ".join(said))] * each
+    return docs(rows), spark.createDataFrame([(i, 1, bad[i]) for i in ids], "doc_id long, quality int, toxic int"), rows, bad
+
+
+def test_toxicity_voters_are_those_of_all_counts(docs, spark):
+    frame, labels, rows, bad = toxic_sample(docs, spark, 240, 40, each=2)
+    lexicon, levels, weights = toxicity.fitted_model(frame, labels)
+    held = {1: {}, 0: {}}
+    for i, text in rows:
+        h, n = np.unique(toxicity.evidence([text])[0], return_counts=True)
+        for x, k in ((int(x), k) for x, c in zip(h, n) for k in (1, 2, 3) if c >= k):
+            held[bad[i]][x, k] = held[bad[i]].get((x, k), 0) + 1
+    n1, n0, want = sum(bad[i] for i, _ in rows), sum(not bad[i] for i, _ in rows), []
+    for (x, k), a in held[1].items():
+        b = held[0].get((x, k), 0)
+        p1, p0, both = (a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1), (a + b + 1) / (n1 + n0 + 2)
+        z = (p1 - p0) / (both * (1 - both) * (1 / n1 + 1 / n0)) ** 0.5
+        if z > 5 and a >= max(4, n1 * 0.004) and p1 > 4 * p0:
+            want.append((-z, x, k))
+    assert len(want) >= 9 and {3, 2, 1} == {k for *_, k in want}
+    assert [(int(lexicon[i]), k) for i, k in levels] == [(x, k) for _, x, k in sorted(want)]
+    assert len(weights) == len(levels) + 2 + len(toxicity.PATTERNS) + 1 + 4 + 1
+
+
+def test_toxicity_fit_stays_small_with_long_texts(docs, spark, monkeypatch):
+    fit = toxicity._fit_task
+
+    def watched(share):
+        task = fit(share)
+
+        def run(frame):
+            import tracemalloc
+
+            tracemalloc.start()
+            out = task(frame)
+            peak = tracemalloc.get_traced_memory()[1] + int(frame.memory_usage(deep=True).sum())
+            tracemalloc.stop()
+            if peak > 8 << 20:
+                raise MemoryError(f"{peak >> 20} MB in the fitting task")
+            return out
+
+        return run
+
+    monkeypatch.setattr(toxicity, "_fit_task", watched)
+    frame, labels, rows, _ = toxic_sample(docs, spark, 60, 60_000)
+    assert sum(len(t) for _, t in rows) > 16 << 20
+    assert len(toxicity.fitted_model(frame, labels)[0]) >= 3
+
+
 def test_language_accuracy_and_rows(docs, spark):
     sf = SF.replace("0.001", "0.01")
     data = table(spark, sf, "documents")
