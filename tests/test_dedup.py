@@ -248,3 +248,83 @@ def test_unlike_long_texts_are_told_apart_early(monkeypatch):
             if most >= 0:
                 assert similarity.edit_distance(a[:700], c, most) == (d if d <= most else -1)
                 assert similarity.edit_distance(c, a[:700], most) == (d if d <= most else -1)
+
+
+def _prose(seed, n):
+    """Messages of one vocabulary, some of them changed copies of earlier ones."""
+    rnd = random.Random(seed)
+    vocab = ["".join(rnd.choice("ghijklmnop") for _ in range(5)) for _ in range(150)]
+    texts = []
+    for _ in range(n):
+        if texts and rnd.random() < 0.6:
+            share = rnd.choice((0.05, 0.12, 0.3))
+            texts.append(" ".join(rnd.choice(vocab) if rnd.random() < share else x for x in rnd.choice(texts).split()))
+        else:
+            texts.append(" ".join(rnd.choice(vocab) for _ in range(rnd.randrange(60, 130))))
+    return texts
+
+
+def test_pairs_meet_in_rounds(spark, monkeypatch):
+    """Blocks and texts are sent in rounds that shuffle all nodes about once, whatever the number of
+    block pairs; no pair is lost, and tables between the steps are deleted."""
+    import os
+
+    from logsieve.operators import dedup
+    from logsieve.session import ensure_checkpoint_dir
+
+    names, made = [], dedup.written
+
+    def named(df, name, *more):
+        names.append(name)
+        return made(df, name, *more)
+
+    texts = _prose(3, 40)
+    nodes = dedup.numbered_nodes(dedup.entry_nodes(_entries(spark, [("info", "a.go:1", x) for x in texts])))
+    monkeypatch.setattr(dedup, "written", named)
+    monkeypatch.setattr(dedup, "_CELL", 4)
+    monkeypatch.setattr(dedup, "_BLOCK_WORDS", (300, 300))
+    monkeypatch.setattr(dedup, "_ROUND_WORDS", 1)
+    monkeypatch.setattr(dedup, "_ROUND_TEXT", 1)
+    root = ensure_checkpoint_dir(spark).removeprefix("file:") + "/written"
+    before = set(os.listdir(root))
+    pairs = dedup.similar_edges(dedup._node_attrs(nodes))
+    assert {x.rsplit("-", 1)[0] for x in set(os.listdir(root)) - before} == {"edges"} and len(os.listdir(root)) == len(before) + 1
+    assert names.count("block-candidates") > 5
+    exp = {(i, j) for j in range(len(texts)) for i in range(j) if G.similar(texts[i], texts[j])}
+    assert {(r.a, r.b) for r in pairs.collect()} == exp and len(exp) > 20
+    # pairs of few nodes, and of all, go by different ways
+    monkeypatch.setattr(dedup, "_FEW_PAIRS", 0)
+    assert {(r.a, r.b) for r in dedup.similar_edges(dedup._node_attrs(nodes)).collect()} == exp
+
+
+def test_trim_leaves_its_result_only(spark):
+    import glob
+
+    from logsieve.operators.dedup import trim_appended, trimmed_entries
+    from logsieve.session import ensure_checkpoint_dir
+
+    e = _entries(spark, _random_rows(4, 60))
+    at = ensure_checkpoint_dir(spark).removeprefix("file:") + "/written/*"
+    before = set(glob.glob(at))
+    leaders = trim_appended(None, e.where("ord.p < 40"))
+    assert len(set(glob.glob(at)) - before) == 1
+    leaders = trim_appended(leaders, e.where("ord.p >= 40"))
+    assert len(set(glob.glob(at)) - before) == 2
+    assert sum(r.duplicate_count for r in trimmed_entries(leaders).collect()) == 60
+
+
+def test_few_and_many_edges_settle_alike(spark, monkeypatch):
+    from logsieve.operators import dedup
+
+    rnd = random.Random(6)
+    edges = sorted({tuple(sorted(rnd.sample(range(60), 2))) for _ in range(90)})
+    gone = set()
+    for a, b in sorted(edges, key=lambda e: e[1]):
+        if a not in gone:
+            gone.add(b)
+    df = spark.createDataFrame(edges, "a bigint, b bigint")
+    for few in (dedup._FEW_EDGES, 20, 0):
+        monkeypatch.setattr(dedup, "_FEW_EDGES", few)
+        got = [r.seq for r in dedup._settle(df).collect()]
+        assert sorted(got) == sorted(gone), few
+    assert dedup._settle(df.limit(0)).collect() == []
